@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann
+from factloom.llm import ann, consensus
+from factloom.plans.problems import sql_uuid
 from factloom.sources.tables import table
 
 
@@ -15,9 +16,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ann.similar(q, w).select(F.col("query").alias("retrieve_id"), F.col("row").alias("write_id"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "assertions")).select(F.col("claim").alias("claim_id"), "consensus")
+
+
+def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "assertions"))
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(table(spark, d, "assertions"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement}
 _P3 = """WITH w AS (SELECT DISTINCT write_id, ns, CAST(vector AS DOUBLE[]) AS v FROM write_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 q AS (SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS v FROM retrieve_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 s AS (SELECT retrieve_id, write_id, max(list_cosine_similarity(q.v, w.v)) AS c FROM q JOIN w ON q.ns = w.ns GROUP BY 1, 2)
 SELECT retrieve_id, write_id FROM s WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY retrieve_id ORDER BY c DESC, write_id) <= 10"""
-SQL = {"p3_found": _P3}
+_POSITIONS = f"""WITH a AS (SELECT {sql_uuid("claim_id")} AS claim, {sql_uuid("source_id")} AS source, assertion_id, asserted_at, lower(trim(assertion_type)) AS t
+FROM assertions WHERE trim(claim_id) <> '' AND trim(source_id) <> ''),
+l AS (SELECT DISTINCT claim, source, t FROM a QUALIFY dense_rank() OVER (PARTITION BY claim, source ORDER BY asserted_at DESC NULLS LAST, assertion_id DESC, t DESC NULLS LAST) = 1),
+v AS (SELECT claim, source, CASE t WHEN 'supports' THEN 1 ELSE 0 END AS s FROM l WHERE t IN ('supports', 'contradicts'))"""
+SQL = {
+    "p3_found": _P3,
+    "p4_agreement": _POSITIONS + """, c AS (SELECT claim, count(*) AS n, sum(s) AS s FROM v GROUP BY claim HAVING count(*) >= 2),
+t AS (SELECT count(*) AS claims, CAST(coalesce(sum(n), 0) AS BIGINT) AS positions, CAST(coalesce(sum(s), 0) AS DOUBLE) AS s, sum(2.0 * s * (n - s) / (n - 1)) AS apart FROM c)
+SELECT claims, positions, round(1 - apart / positions, 9) AS observed, round(1 - 2.0 * s * (positions - s) / (CAST(positions AS DOUBLE) * (positions - 1)), 9) AS expected,
+round(1 - (apart / positions) / (2.0 * s * (positions - s) / (CAST(positions AS DOUBLE) * (positions - 1))), 9) AS alpha FROM t""",
+}
