@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, consensus
+from factloom.llm import ann, bpe, consensus, neardup
 from factloom.plans.problems import sql_uuid
 from factloom.sources.tables import table
 
@@ -28,16 +28,36 @@ def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "assertions"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "write_requests").select(F.col("write_id").alias("id"), "content")
+    return neardup.all_pairs(*neardup.similar_pairs(w)).select(F.col("a").alias("write_id_a"), F.col("b").alias("write_id_b"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_ids(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p6_ids": p6_ids}
 _P3 = """WITH w AS (SELECT DISTINCT write_id, ns, CAST(vector AS DOUBLE[]) AS v FROM write_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 q AS (SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS v FROM retrieve_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 s AS (SELECT retrieve_id, write_id, max(list_cosine_similarity(q.v, w.v)) AS c FROM q JOIN w ON q.ns = w.ns GROUP BY 1, 2)
 SELECT retrieve_id, write_id FROM s WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY retrieve_id ORDER BY c DESC, write_id) <= 10"""
+_P5 = r"""WITH t AS (SELECT DISTINCT write_id, content FROM write_requests WHERE content IS NOT NULL),
+u AS (SELECT write_id, list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^\p{L}\p{Nd}\s\x{0B}\x{85}\p{Z}]+', '', 'g'), '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g')), ' ')) AS w FROM t),
+n AS (SELECT write_id, len(w) AS n, w FROM u WHERE len(w) >= 8),
+x AS (SELECT write_id, n, unnest(w) AS w FROM n),
+f AS (SELECT w, count(*) AS f FROM x GROUP BY w),
+o AS (SELECT x.write_id, x.n, x.w, row_number() OVER (PARTITION BY x.write_id ORDER BY f.f, x.w) AS r FROM x JOIN f USING (w)),
+p AS (SELECT * FROM o WHERE r <= n - ceil(0.7 * n) + 1),
+c AS (SELECT DISTINCT a.write_id AS a, b.write_id AS b FROM p a JOIN p b ON a.w = b.w AND a.write_id < b.write_id AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n),
+s AS (SELECT c.a, c.b, count(*) AS s FROM c JOIN x a ON a.write_id = c.a JOIN x b ON b.write_id = c.b AND a.w = b.w GROUP BY 1, 2)
+SELECT s.a AS write_id_a, s.b AS write_id_b FROM s JOIN n a ON a.write_id = s.a JOIN n b ON b.write_id = s.b WHERE 10 * s >= 7 * (a.n + b.n - s)"""
 _POSITIONS = f"""WITH a AS (SELECT {sql_uuid("claim_id")} AS claim, {sql_uuid("source_id")} AS source, assertion_id, asserted_at, lower(trim(assertion_type)) AS t
 FROM assertions WHERE trim(claim_id) <> '' AND trim(source_id) <> ''),
 l AS (SELECT DISTINCT claim, source, t FROM a QUALIFY dense_rank() OVER (PARTITION BY claim, source ORDER BY asserted_at DESC NULLS LAST, assertion_id DESC, t DESC NULLS LAST) = 1),
 v AS (SELECT claim, source, CASE t WHEN 'supports' THEN 1 ELSE 0 END AS s FROM l WHERE t IN ('supports', 'contradicts'))"""
 SQL = {
+    "p5_found": _P5,
     "p3_found": _P3,
     "p4_agreement": _POSITIONS + """, c AS (SELECT claim, count(*) AS n, sum(s) AS s FROM v GROUP BY claim HAVING count(*) >= 2),
 t AS (SELECT count(*) AS claims, CAST(coalesce(sum(n), 0) AS BIGINT) AS positions, CAST(coalesce(sum(s), 0) AS DOUBLE) AS s, sum(2.0 * s * (n - s) / (n - 1)) AS apart FROM c)
