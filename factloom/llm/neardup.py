@@ -1,18 +1,14 @@
 """Near-duplicate texts by meeting in the middle (problem 5).
 
-The fingerprint of a text is its set of distinct words (as 64-bit hashes), cut by hash into P parts. Two sets
-that share 0.7 of their words differ in k words at most, so of P = k//2 + 1 parts one at least differs by no more
-than one word on each side: radius two. Every fingerprint therefore emits, for each part, all variants within half the
-radius: the part itself and the part without any one of its words; two such parts meet in a common variant. P
-follows from the size class of the larger set; a set emits for its own class and the next.
-
-Variants are shuffled packed (a few binary rows instead of millions of small ones), each group is deduplicated, and
-colliding pairs are verified: first by sizes and a parity sketch, which can't lose a pair, then by the word sets.
-
-A variant that more than `crowd` texts share (a part of frequent words only) yields no pairs of its own. A pair is
-missed only if all its good parts meet in such variants; texts of which that is possible are joined again
-by pairs of their rarest words: sets with this overlap share two of their first n - ceil(0.7 n) + 2 words in any
-common order. So the result is exact but for 64-bit hash collisions.
+All distinct words are put in one order, rarest first. Of a set of n words, the fingerprint is its first
+L = n - ceil(s n) + 2 words, s being the least similarity. The fingerprints of two sets with that similarity share two words
+at least: each lies within L - 2 deletions of a common set, the middle between both. Every fingerprint emits all variants
+at that half radius (its pairs of words), which are shuffled, and texts that meet in a variant are verified: by sizes and a
+parity sketch, which can't lose a pair, and then by the word sets. Nothing depends on chance but 48-bit word hashes.
+
+Variants are shuffled packed: a few binary rows of byte planes instead of millions of small rows. A variant that more
+than `crowd` texts share is extended by a third word (sets of this similarity share three of their first L + 1 words), and the
+texts that meet in the longer variant are compared by their sketches, block by block.
 """
 
 from __future__ import annotations
@@ -31,21 +27,30 @@ from factloom.functions.text import normalised
 from factloom.session import cut
 
 U = np.uint64
+LOW48 = U((1 << 48) - 1)
+#: Bytes of the packed columns: key, id, size and sketch, size and sketch being one number.
+KEY, ID, TAG = 6, 8, 8
+#: Parities of a sketch.
+BITS = 40
 
 
 @dataclass(frozen=True)
 class Ball:
-    """similarity: least shared part of the words. least_words: shorter texts aren't compared. crowd: most texts of a variant
-    that become pairs directly. table: buckets of the word counts by which words are ordered. entries: of a packed partition."""
+    """similarity: least shared part of the words. least_words: shorter texts aren't compared. table: buckets of the word counts
+    that order words (a fixed size). crowd: most texts of a variant that are compared without a third word. entries: of a
+    packed partition. sent: most crowded variants sent to the tasks; if there are more, every variant counts as crowded."""
 
     similarity: Fraction = Fraction(7, 10)
     least_words: int = 8
-    crowd: int = 24
     table: int = 1 << 16
+    crowd: int = 256
     entries: int = 1_500_000
-    #: Most crowded variants that are sent to the tasks (8 bytes each); if there are more, every text is in doubt.
     sent: int = 4_000_000
 
+    def prefix(self, n: int, shared: int) -> int:
+        """Words of a set of n of which a similar set must share so many, in any common order."""
+        return min(n, n - math.ceil(self.similarity * n) + shared)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -54,228 +59,248 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-class Classes:
-    """Size classes: a set of n words lies in class j with low[j] <= n < low[j + 1]; partners lie in j - 1, j or j + 1."""
-
-    def __init__(self, p: Ball, longest: int) -> None:
-        s = self.s = p.similarity
-        low = [p.least_words]
-        while low[-1] <= longest:
-            low.append(math.ceil(low[-1] / s))
-        low += [math.ceil(low[-1] / s), math.ceil(low[-1] / s**2)]
-        self.low = np.array(low)
-        self.parts = np.array([self.apart(2 * (low[j + 1] - 1)) // 2 + 1 for j in range(len(low) - 1)])
+def _to_bytes(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width]
 
-    def apart(self, both: int) -> int:
-        """Most words in which two sets of `both` words together may differ."""
-        return math.floor((1 - self.s) / (1 + self.s) * both)
 
-    def of(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, n, side="right") - 1
+def _from_bytes(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    return wide.view(U).ravel()
 
-    def surely_good(self, n: int, j: int) -> int:
-        """Least number of good parts of a set of n words and any partner, in class j."""
-        most = min(math.floor(n / self.s), int(self.low[j + 1]) - 1)
-        return int(self.parts[j]) - self.apart(n + most) // 2
 
-
-def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sizes, and of each word its set's position and hash."""
-    h = b.column("h")
-    offsets = h.offsets.to_numpy()
-    n = np.diff(offsets)
-    return b.column("id").to_numpy(), n, np.repeat(np.arange(len(n)), n), h.values.to_numpy()[offsets[0] : offsets[-1]].view(U)
-
-
-def _variants(n: np.ndarray, item: np.ndarray, h: np.ndarray, step: int, c: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of class own + step: set, part and key of each variant; and the class of each set."""
-    j = c.of(n) + step
-    parts = c.parts[j]
-    base = np.concatenate([[0], np.cumsum(parts)])
-    part = (_mix(h) % parts[item].astype(U)).astype(np.int64)
-    cell = base[item] + part
-    order = np.argsort(cell, kind="stable")
-    ids, start = np.unique(cell[order], return_index=True)
-    whole = np.zeros(base[-1], U)
-    whole[ids] = np.bitwise_xor.reduceat(h[order], start) if len(start) else whole[ids]
-    cell_item = np.repeat(np.arange(len(n)), parts)
-    cell_part = np.arange(base[-1]) - base[cell_item]
-    salt = _mix((j[cell_item] * 4096 + cell_part + 1).astype(U))
-    keys = np.concatenate([_mix(whole ^ salt), _mix(whole[cell] ^ h ^ salt[cell])])
-    return np.concatenate([cell_item, item]), np.concatenate([cell_part, part]), keys, j
-
-
-def _pack(key: np.ndarray, cols: list[np.ndarray], partitions: int) -> pa.RecordBatch:
-    """Entries sorted by key, a binary row for each partition: bytes of each column plane by plane, which compress."""
-    pid = (key >> U(33)) % U(partitions)
-    order = np.lexsort((key, pid))
-    pid, planes = pid[order].astype(np.int32), [key[order].view(np.uint8).reshape(-1, 8)] + [x[order].astype(np.int64).view(np.uint8).reshape(-1, 8) for x in cols]
-    ids, start = np.unique(pid, return_index=True)
-    blobs = [b"".join(np.ascontiguousarray(x[a:z].T).tobytes() for x in planes) for a, z in zip(start, [*start[1:], len(pid)])]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["pid", "blob"])
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
 
-def _unpack(blobs: list[bytes], columns: int) -> list[np.ndarray]:
-    parts = []
-    for b in blobs:
-        n = len(b) // (8 * columns)
-        x = np.frombuffer(b, np.uint8).reshape(columns, 8, n)
-        parts.append([np.ascontiguousarray(x[i].T).view(np.int64).ravel() for i in range(columns)])
-    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * columns
-    return [cols[0].view(U), *cols[1:]]
+# --- word sets
 
 
-def _grouped(packed: DataFrame, partitions: int, columns: int, group, schema: str) -> DataFrame:
-    """group(columns of all entries of a partition, sorted by key) -> record batches."""
+def word_sets(texts: DataFrame, p: Ball) -> DataFrame:
+    """(id, s1, s2, h) of the texts that are compared: 128 bits that name the word set, and its sorted 48-bit word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_pid: dict[int, list[bytes]] = {}
         for b in batches:
-            for pid, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_pid.setdefault(pid, []).append(blob)
-        for pid in [*by_pid]:
-            cols = _unpack(by_pid.pop(pid), columns)
-            order = np.argsort(cols[0], kind="stable")
-            yield from group([c[order] for c in cols])
+            lists = b.column("w")
+            offsets = lists.offsets.to_numpy()
+            n = np.diff(offsets)
+            item = np.repeat(np.arange(len(n)), n)
+            w = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(U) & LOW48
+            order = np.lexsort((w, item))
+            item, w = item[order], w[order]
+            first = np.ones(len(w), bool)
+            first[1:] = (w[1:] != w[:-1]) | (item[1:] != item[:-1])
+            item, w = item[first], w[first]
+            n = np.bincount(item, minlength=len(n))
+            keep = n >= p.least_words
+            w = w[keep[item]]
+            n, ids = n[keep], b.column("id").filter(pa.array(keep))
+            if not len(n):
+                continue
+            at = _starts(n)[:-1]
+            with np.errstate(over="ignore"):
+                s1, s2 = (np.add.reduceat(_mix(w ^ U(salt)), at).view(np.int64) for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+            raw = _to_bytes(w, KEY)
+            h = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((_starts(n) * KEY).astype(np.int32)), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(s1), pa.array(s2), h], ["id", "s1", "s2", "h"])
 
-    return packed.repartition(partitions, "pid").mapInArrow(run, schema)
+    words = F.transform(F.split(normalised("content"), " "), lambda w: F.xxhash64(w))
+    rows = texts.where("id is not null and content is not null").select(F.col("id").cast("bigint").alias("id"), words.alias("w"))
+    return rows.mapInArrow(run, "id bigint, s1 bigint, s2 bigint, h binary")
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return start, np.diff(np.append(start, len(key)))
+def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes, and of each word its set's position and hash."""
+    raw = b.column("h").to_pylist()
+    n = np.array([len(x) // KEY for x in raw], np.int64)
+    h = _from_bytes(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, KEY))
+    return b.column("id").to_numpy(), n, np.repeat(np.arange(len(n)), n), h
 
 
-def _pairs_of(batch: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    a, b = batch
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _meet(p: Ball):
-    """Pairs of the variants that up to `crowd` texts share; (key, null) of the crowded ones."""
-
-    def group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, who = cols
-        start, size = _runs(key)
-        crowded = key[start[size > p.crowd]]
-        if len(crowded):
-            yield pa.RecordBatch.from_arrays([pa.array(crowded.view(np.int64)), pa.nulls(len(crowded), pa.int64())], ["a", "b"])
-        pick = (size > 1) & (size <= p.crowd)
-        rows = np.repeat(pick, size)
-        k, w = key[rows], who[rows]
-        seen = []
-        for d in range(1, p.crowd):
-            same = np.flatnonzero(k[d:] == k[:-d])
-            if not len(same):
-                break
-            x, y = w[same], w[same + d]
-            seen.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
-        if seen:
-            pairs = np.unique(np.concatenate(seen), axis=0)
-            yield _pairs_of((pairs[:, 0], pairs[:, 1]))
-
-    return group
-
-
-def _meet_rest(p: Ball, c: Classes):
-    """Pairs of all groups, however large, that pass the tests of size and sketch; compared block by block."""
-
-    s = float((1 - p.similarity) / (1 + p.similarity))
-
-    def group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, who, n, sketch = cols
-        sketch = sketch.view(U)
-        start, size = _runs(key)
-        for a, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-            order = a + np.argsort(n[a : a + m], kind="stable")
-            w, k, f = who[order], n[order], sketch[order]
-            for i in range(0, m, 512):
-                x = slice(i, min(i + 512, m))
-                upto = int(np.searchsorted(k, math.floor(k[x][-1] / p.similarity), side="right"))
-                for z in range(i, upto, 4096):
-                    y = slice(z, min(z + 4096, upto))
-                    apart = np.bitwise_count(f[x][:, None] ^ f[y][None, :])
-                    u, v = np.nonzero(apart <= s * (k[x][:, None] + k[y][None, :]) + 1e-9)
-                    u, v = u + i, v + z
-                    ok = u < v
-                    u, v = w[u[ok]], w[v[ok]]
-                    if len(u):
-                        yield _pairs_of((np.minimum(u, v), np.maximum(u, v)))
-
-    return group
-
-
-def _sketch(n: np.ndarray, item: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """64 parities: sets that differ in d words have sketches that differ in d bits at most."""
+def _tags(n: np.ndarray, item: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Size and BITS parities: sets that differ in d words have parities that differ in d bits at most."""
     f = np.zeros(len(n), U)
-    np.bitwise_xor.at(f, item, U(1) << (_mix(h ^ U(0x5851F42D4C957F2D)) & U(63)))
-    return f
+    np.bitwise_xor.at(f, item, U(1) << (_mix(h ^ U(0x5851F42D4C957F2D)) % U(BITS)))
+    return f | (n.astype(U) << U(BITS))
 
 
-def word_sets(texts: DataFrame, p: Ball) -> DataFrame:
-    """(id, s1, s2, h) of the texts that are compared: distinct word hashes, and 128 bits that name the set."""
-    words = F.array_distinct(F.split(normalised("content"), " "))
-    h = texts.where("id is not null and content is not null").select("id", words.alias("w")).where(F.size("w") >= p.least_words)
-    return h.select("id", F.array_sort(F.transform("w", lambda w: F.xxhash64(w))).alias("h")).select("id", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), "h")
-
-
-def _rest(sets: DataFrame, crowded: np.ndarray | None, c: Classes, p: Ball, partitions: int) -> DataFrame | None:
-    """Pairs of texts whose good parts may all have met in crowded variants."""
-    spark = sets.sparkSession
-    known = spark.sparkContext.broadcast(None if crowded is None else np.sort(crowded))
-
-    def doubtful(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sets in doubt and their class, for each of the two classes."""
-        ids, n, item, h = _sets(b)
-        out = []
-        for step in (0, 1):
-            if known.value is None:
-                out.append((np.arange(len(n)), c.of(n) + step))
-                continue
-            who, part, key, j = _variants(n, item, h, step, c)
-            at = np.searchsorted(known.value, key)
-            hit = known.value[np.minimum(at, len(known.value) - 1)] == key
-            unsafe = np.unique(who[hit] * 8192 + part[hit]) // 8192
-            count = np.bincount(unsafe, minlength=len(n))
-            good = np.array([c.surely_good(int(x), int(y)) for x, y in zip(n, j)]) if len(n) else count
-            some = np.flatnonzero(count >= good)
-            out.append((some, j[some]))
-        return out
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_counts(sets: DataFrame, p: Ball) -> np.ndarray:
+    """Of each bucket of word hashes, how many sets hold its words: the order of words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.zeros(p.table, np.int64)
         for b in batches:
-            h = _sets(b)[3]
-            t += np.bincount((h % U(p.table)).astype(np.int64), minlength=p.table)
+            t += np.bincount((_sets(b)[3] % U(p.table)).astype(np.int64), minlength=p.table)
         at = np.flatnonzero(t)
         yield pa.RecordBatch.from_pydict({"w": pa.array(at, pa.int64()), "n": pa.array(t[at], pa.int64())})
 
-    got = sets.select("id", "h").mapInArrow(counts, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
+    got = sets.select("id", "h").mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(p.table, np.int64)
-    table[got.w] = got.n
-    often = spark.sparkContext.broadcast(table)
+    table[got.column("w").to_numpy()] = got.column("n").to_numpy()
+    return table
+
+
+# --- variants
+
+
+def _variants(n: np.ndarray, h: np.ndarray, p: Ball) -> tuple[np.ndarray, np.ndarray]:
+    """Set and key of each variant. h: words of the sets, each set's in the common order."""
+    start = _starts(n)
+    who, keys = [], []
+    for size in np.unique(n).tolist():
+        s = np.flatnonzero(n == size)
+        length = p.prefix(size, 2)
+        x, y = np.triu_indices(length, 1)
+        step = max(1, 2_000_000 // len(x))
+        for i in range(0, len(s), step):
+            w = h[start[s[i : i + step]][:, None] + np.arange(length)]
+            with np.errstate(over="ignore"):
+                keys.append((_mix(w[:, x] + w[:, y]) & LOW48).ravel())
+            who.append(np.repeat(s[i : i + step], len(x)))
+    return np.concatenate(who), np.concatenate(keys)
+
+
+def _longer(i: int, n: int, h: np.ndarray, crowded: np.ndarray | None, p: Ball) -> np.ndarray:
+    """Keys of set i's crowded variants with a third word. h: the set's words in the common order."""
+    two, three = p.prefix(n, 2), p.prefix(n, 3)
+    x, y = np.triu_indices(two, 1)
+    with np.errstate(over="ignore"):
+        if crowded is not None:
+            hit = np.isin(_mix(h[x] + h[y]) & LOW48, crowded)
+            x, y = x[hit], y[hit]
+        z = np.arange(three)
+        free = (z[None, :] != x[:, None]) & (z[None, :] != y[:, None])
+        row, third = np.nonzero(free)
+        return np.unique(_mix(h[x[row]] + h[y[row]] + h[third] ^ U(0x3C6EF372FE94F82B)) & LOW48)
+
+
+# --- packed shuffle
+
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(key: np.ndarray, cols: list[np.ndarray], widths: list[int], partitions: int) -> pa.RecordBatch:
+    """Entries sorted by partition and key; a binary row for each partition, column after column, byte plane after byte plane."""
+    pid = ((key >> U(16)) % U(partitions)).astype(np.int32)
+    order = np.lexsort((key, pid))
+    pid = pid[order]
+    planes = [_to_bytes(x[order].view(U), w) for x, w in zip([key, *cols], widths)]
+    ids, start = np.unique(pid, return_index=True)
+    blobs = [b"".join(x[a:z].T.tobytes() for x in planes) for a, z in zip(start, [*start[1:], len(pid)])]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["pid", "blob"])
+
+
+def _unpack(blobs: list[bytes], widths: list[int]) -> list[np.ndarray]:
+    cols: list[list[np.ndarray]] = [[] for _ in widths]
+    for b in blobs:
+        n, at = len(b) // sum(widths), 0
+        for c, w in zip(cols, widths):
+            c.append(_from_bytes(np.frombuffer(b, np.uint8, n * w, at).reshape(w, n).T))
+            at += n * w
+    return [np.concatenate(c) for c in cols]
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(key)))
+
+
+def _close(a: np.ndarray, b: np.ndarray, p: Ball) -> np.ndarray:
+    """Whether two tags allow the similarity: sets of x and y words may differ in (1-s)/(1+s) (x+y) words, one is at least s of the other."""
+    s = p.similarity
+    x, y = (a >> U(BITS)).astype(np.int64), (b >> U(BITS)).astype(np.int64)
+    apart = np.bitwise_count((a ^ b) & U((1 << BITS) - 1)).astype(np.int64)
+    more, less = (s.denominator + s.numerator), (s.denominator - s.numerator)
+    return (apart * more <= less * (x + y)) & (s.numerator * np.maximum(x, y) <= s.denominator * np.minimum(x, y))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
+
+
+def _compare(key: np.ndarray, who: np.ndarray, tag: np.ndarray, most: int | None, p: Ball) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that meet and are close, of sorted entries; of groups of more than `most` entries none."""
+    start, size = _runs(key)
+    small = (size > 1) & (size <= (32 if most is None else min(32, most)))
+    rows = np.repeat(small, size)
+    k, w, t = key[rows], who[rows], tag[rows]
+    for d in range(1, 32):
+        same = np.flatnonzero(k[d:] == k[:-d])
+        if not len(same):
+            break
+        same = same[_close(t[same], t[same + d], p)]
+        yield w[same], w[same + d]
+    large = (size > 32) & (size <= (len(key) if most is None else most))
+    for a, m in zip(start[large].tolist(), size[large].tolist()):
+        order = a + np.argsort(tag[a : a + m] >> U(BITS), kind="stable")
+        w, t = who[order], tag[order]
+        n = t >> U(BITS)
+        for i in range(0, m, 512):
+            x = slice(i, min(i + 512, m))
+            upto = int(np.searchsorted(n, U(math.floor(int(n[x][-1]) / p.similarity)), side="right"))
+            for z in range(i, upto, 4096):
+                y = slice(z, min(z + 4096, upto))
+                u, v = np.nonzero(_close(t[x][:, None], t[y][None, :], p))
+                ok = u + i < v + z
+                yield w[u[ok] + i], w[v[ok] + z]
+
+
+def _meetings(packed: DataFrame, partitions: int, most: int | None, p: Ball) -> DataFrame:
+    """(a, b): pairs of texts that meet and are close; with `most`, also (key, null) of larger groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_pid: dict[int, list[bytes]] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, n, item, h = _sets(b)
-            sketch = _sketch(n, item, h)
-            rank = np.lexsort((h, often.value[(h % U(p.table)).astype(np.int64)], item))
-            start = np.concatenate([[0], np.cumsum(n)])
-            keys, who = [], []
-            for some, j in doubtful(b):
-                for i, cls in zip(some.tolist(), j.tolist()):
-                    size = int(n[i])
-                    first = _mix(h[rank[start[i] : start[i] + size - math.ceil(p.similarity * size) + 2]] ^ _mix(np.array([cls], U)))
-                    x, y = np.triu_indices(len(first), 1)
-                    keys.append(_mix(first[x] + first[y]) if len(x) else np.zeros(0, U))
-                    who.append(np.full(len(x), i))
-            if keys:
-                key, at = np.concatenate(keys), np.concatenate(who)
-                yield _pack(key, [ids[at], n[at], sketch[at].view(np.int64)], partitions)
-
-    return _grouped(sets.select("id", "h").mapInArrow(emit, "pid int, blob binary"), partitions, 4, _meet_rest(p, c), "a bigint, b bigint")
+            for pid, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by_pid.setdefault(pid, []).append(blob)
+        for pid in [*by_pid]:
+            key, who, tag = _unpack(by_pid.pop(pid), [KEY, ID, TAG])
+            order = np.argsort(key, kind="stable")
+            key, who, tag = key[order], who[order], tag[order]
+            if most is not None:
+                start, size = _runs(key)
+                crowded = key[start[size > most]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.int64())], ["a", "b"])
+            found, held = [], 0
+            for u, v in _compare(key, who, tag, most, p):
+                ok = u != v
+                found.append(np.stack([np.minimum(u[ok], v[ok]), np.maximum(u[ok], v[ok])], 1))
+                held += len(found[-1])
+                if held > 1_000_000:
+                    x = np.unique(np.concatenate(found), axis=0)
+                    yield _pairs(x[:, 0].copy(), x[:, 1].copy())
+                    found, held = [], 0
+            if held:
+                x = np.unique(np.concatenate(found), axis=0)
+                yield _pairs(x[:, 0].copy(), x[:, 1].copy())
+
+    return packed.repartition(partitions, "pid").mapInArrow(run, "a bigint, b bigint")
+
+
+def _emit(sets: DataFrame, counts, p: Ball, partitions: int, crowded=None) -> DataFrame:
+    """Packed variants of all sets; with `crowded` (a broadcast: keys, or None for all), the longer ones of these."""
+    longer = crowded is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5000):
+                b = whole.slice(at, 5000)
+                ids, n, item, h = _sets(b)
+                tags = _tags(n, item, h)
+                h = h[np.lexsort((h, counts.value[(h % U(p.table)).astype(np.int64)], item))]
+                if longer:
+                    start = _starts(n)
+                    keys = [_longer(i, m, h[start[i] : start[i + 1]], crowded.value, p) for i, m in enumerate(n.tolist())]
+                    who, key = np.repeat(np.arange(len(n)), [len(k) for k in keys]), np.concatenate(keys)
+                else:
+                    who, key = _variants(n, h, p)
+                    # of a key, crowd + 1 entries of one batch show that it is crowded
+                    order = np.argsort(key, kind="stable")
+                    start, m = _runs(key[order])
+                    order = order[np.arange(len(order)) - np.repeat(start, m) <= p.crowd]
+                    who, key = who[order], key[order]
+                if len(key):
+                    yield _pack(key, [ids[who], tags[who]], [KEY, ID, TAG], partitions)
+
+    return sets.select("id", "h").mapInArrow(run, "pid int, blob binary")
 
 
 def similar_pairs(texts: DataFrame, p: Ball = Ball()) -> tuple[DataFrame, DataFrame]:
@@ -284,53 +309,35 @@ def similar_pairs(texts: DataFrame, p: Ball = Ball()) -> tuple[DataFrame, DataFr
     texts: id bigint, content string. Texts with the same word set have one representative, the least id. Null
     contents and those of fewer than least_words distinct words aren't compared and have no row. Repeated rows
     do no harm; if contents of one id differ, each counts. Empty tables give empty results."""
-    own = word_sets(texts, p)
-    sets = cut(own.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.any_value("h").alias("h")))
-    members = own.select("id", "s1", "s2").distinct().join(sets.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"]).select("id", "rep").distinct()
-    n, longest = sets.agg(F.count("*"), F.coalesce(F.max(F.size("h")), F.lit(0))).first()
-    c = Classes(p, longest)
     spark = texts.sparkSession
-    words = sets.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(5 * words // 2) // p.entries))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, size, item, h = _sets(b)
-            for step in (0, 1):
-                who, _, key, _ = _variants(size, item, h, step, c)
-                # of a key, crowd + 1 entries of one batch show that it is crowded
-                order = np.argsort(key, kind="stable")
-                start, m = _runs(key[order])
-                at = np.arange(len(order)) - np.repeat(start, m)
-                keep = order[at <= p.crowd]
-                yield _pack(key[keep], [ids[who[keep]]], partitions)
-
-    narrow = sets.select("id", "h")
-    met = cut(_grouped(narrow.mapInArrow(emit, "pid int, blob binary"), partitions, 2, _meet(p), "a bigint, b bigint"))
-    near = met.where("b is not null")
-    crowded = met.where("b is null").select("a")
-    count = crowded.count()
-    if count:
-        keys = crowded.toArrow().column("a").to_numpy().view(U) if count <= p.sent else None
-        near = near.unionByName(_rest(sets, keys, c, p, partitions))
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = cut(word_sets(texts, p))
+    sets = cut(own.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.any_value("h").alias("h")))
+    members = own.select("id", "s1", "s2").join(sets.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"]).select("id", "rep").distinct()
+    sizes = F.length("h") / KEY
+    variants = sets.agg(F.coalesce(F.sum(sizes * sizes * 0.06), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(variants // p.entries))
+    counts = spark.sparkContext.broadcast(_word_counts(sets, p))
+    met = cut(_meetings(_emit(sets, counts, p, partitions), partitions, p.crowd, p))
+    near, crowded = met.where("b is not null"), met.where("b is null").select("a")
+    n = crowded.count()
+    if n:
+        keys = crowded.toArrow().column("a").to_numpy().view(U) if n <= p.sent else None
+        longer = _emit(sets, counts, p, partitions, spark.sparkContext.broadcast(keys))
+        near = near.unionByName(_meetings(longer, partitions, None, p))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = p.similarity
         for b in batches:
-            ids, size, item, h = _sets(b)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int32()), pa.array(_sketch(size, item, h).view(np.int64))], ["id", "n", "f"])
-
-    small = narrow.mapInArrow(sketches, "id bigint, n int, f bigint")
-    of = lambda x: small.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"))
-    num, den = (1 - p.similarity).as_integer_ratio()[0] * (1 + p.similarity).denominator, (1 - p.similarity).denominator * (1 + p.similarity).numerator
-    may = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) * den <= num * (F.col("na") + F.col("nb"))
-    near = near.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b")
-    of = lambda x: narrow.select(F.col("id").alias(x), F.col("h").alias(f"h{x}"))
-    full = near.join(of("a"), "a").join(of("b"), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    ok = shared * p.similarity.denominator >= p.similarity.numerator * (F.size("ha") + F.size("hb") - shared)
-    return full.where(ok).select("a", "b"), members
+            keep = []
+            for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist()):
+                u, v = ({z[i : i + KEY] for i in range(0, len(z), KEY)} for z in (x, y))
+                shared = len(u & v)
+                keep.append(shared * s.denominator >= s.numerator * (len(u) + len(v) - shared))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("h").alias(f"h{x}"))
+    full = near.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "ha", "hb")
+    return full.mapInArrow(verify, "a bigint, b bigint"), members
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
