@@ -180,6 +180,21 @@ def leaks(documents: DataFrame, items: DataFrame, p: Leak = Leak()) -> DataFrame
     return found.agg(F.count("*").alias("windows"), F.round(F.count("*") / F.max("total"), 6).alias("coverage"), F.min("at").alias("first_at"))
 
 
+def contamination(documents: DataFrame, items: DataFrame, p: Leak = Leak()) -> DataFrame:
+    """One row for each doc_id: items (test items of which it holds passages; 0 if none), windows, coverage of the item that it
+    covers most (ties: the least item_id), that item, and first_at of all."""
+    best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i")))
+    per = leaks(documents, items, p).groupBy("doc_id").agg(F.count("*").alias("items"), F.sum("windows").alias("windows"), best.alias("best"), F.min("first_at").alias("first_at"))
+    all_ = documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(per, "doc_id", "left")
+    none = F.lit(0).cast("bigint")
+    return all_.select("doc_id", F.coalesce("items", none).alias("items"), F.coalesce("windows", none).alias("windows"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), (-F.col("best.i")).alias("item_id"), "first_at")
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, p: Leak = Leak()) -> DataFrame:
+    """One row for each test item that leaked: documents that hold passages of it, and the largest coverage."""
+    return leaks(documents, items, p).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("coverage").alias("coverage"))
+
+
 def stored_queries(documents: DataFrame) -> DataFrame:
     """Test items of this project's data: each document of kind `query` is one; the quoted texts of its searches are
     the questions, its comment lines the answers."""

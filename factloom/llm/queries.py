@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import ann, bpe, consensus, leakage, neardup, residue
-from factloom.plans.problems import sql_uuid
+from factloom.sources.views import sql_uuid
 from factloom.sources.tables import table
 
 
@@ -37,17 +37,29 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"))
 
 
-def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of the stored queries in all other documents."""
+def _corpus_and_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored queries are the test items, all other documents the corpus."""
     docs = table(spark, d, "documents").select("doc_id", "text", "doc_kind")
-    return leakage.leaks(docs.where("doc_kind is distinct from 'query'"), leakage.stored_queries(docs))
+    return docs.where("doc_kind is distinct from 'query'"), leakage.stored_queries(docs)
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.contamination(*_corpus_and_items(spark, d))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(*_corpus_and_items(spark, d))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(*_corpus_and_items(spark, d))
 
 
 def p8_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p6_ids": p6_ids, "p7_leaks": p7_leaks, "p8_residue": p8_residue}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p6_ids": p6_ids, "p7_documents": p7_documents, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_residue": p8_residue}
 _P3 = """WITH w AS (SELECT DISTINCT write_id, ns, CAST(vector AS DOUBLE[]) AS v FROM write_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 q AS (SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS v FROM retrieve_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 s AS (SELECT retrieve_id, write_id, max(list_cosine_similarity(q.v, w.v)) AS c FROM q JOIN w ON q.ns = w.ns GROUP BY 1, 2)
