@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import asof
 from factloom.sources.tables import table
+from factloom.sources.views import _TRIM, sql_uuid
 
 
 def _seed_events(spark: SparkSession, d: str) -> DataFrame:
@@ -41,15 +42,6 @@ def p2_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
     return asof.orphan_counts(_orphans(spark, d))
 
 
-_TRIM = "trim({x}, chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)||chr(8232)||chr(8233)||chr(12288))"
-
-
-def sql_uuid(x: str) -> str:
-    t = _TRIM.format(x=x)
-    bare = f"replace(regexp_replace(regexp_replace(lower({t}), '^urn:uuid:', ''), '^\\{{(.*)\\}}$', '\\1'), '-', '')"
-    return f"CASE WHEN regexp_full_match({bare}, '[0-9a-f]{{32}}') THEN substr({bare},1,8)||'-'||substr({bare},9,4)||'-'||substr({bare},13,4)||'-'||substr({bare},17,4)||'-'||substr({bare},21,12) ELSE {t} END"
-
-
 _SPANS = "SELECT ns, id, version_no, tx_time, valid_from, valid_until, greatest(tx_time, coalesce(valid_from, tx_time)) AS b FROM nodes WHERE tx_time IS NOT NULL"
 _SEEDS = f"""SELECT DISTINCT retrieve_id, ns, t_at, {sql_uuid("s")} AS node_id FROM (
   SELECT retrieve_id, ns, coalesce(as_of, requested_at) AS t_at, unnest(seed_ids) AS s FROM retrieve_requests) WHERE s IS NOT NULL"""
