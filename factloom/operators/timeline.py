@@ -61,7 +61,7 @@ class LastEnd:
     """State of one key: the latest end of what began so far; open at ts is equal to that end >= ts."""
 
     def __init__(self) -> None:
-        self.end = BEFORE_ALL
+        self.end = BEFORE_ALL - 1  # before the rows without a time
 
     def change(self, number: int, end: int) -> None:
         self.end = max(self.end, end)
