@@ -167,6 +167,6 @@ def agreement(assertions: DataFrame) -> DataFrame:
         F.sum(2.0 * F.col("s") * (F.col("n") - F.col("s")) / (F.col("n") - 1)).alias("apart"),
     )
     n, s = F.col("positions"), F.col("s")
-    observed = F.col("apart") / n
-    expected = 2.0 * s * (n - s) / (n * (n - 1))
+    observed = F.col("apart") / F.nullif(n, F.lit(0))
+    expected = 2.0 * s * (n - s) / F.nullif(n * (n - 1), F.lit(0))
     return t.select("claims", "positions", F.round(1 - observed, 9).alias("observed"), F.round(1 - expected, 9).alias("expected"), F.round(1 - observed / F.when(expected > 0, expected), 9).alias("alpha"))
