@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Estimates held at a time, and pairs scored exactly at a time (64 dimensions: 32 MB a side).
+ESTIMATES, PAIRS = 1_000_000, 1 << 16
+
+
 @dataclass(frozen=True)
 class Index:
     """Parameters. sample: most vectors that the codebooks are fitted on. cells, words: codewords of the first and of each residual
@@ -32,14 +36,14 @@ class Index:
     sample: int = 16384
     cells: int = 1024
     words: int = 64
-    levels: int = 3
+    levels: int = 8
     beam: int = 4
     rounds: int = 8
     assign: int = 3
     near: float = 0.1
     probes: int = 12
     reach: float = 0.15
-    margin: float = 4.0
+    margin: float = 3.0
     block: int = 20000
     seed: int = 7
 
@@ -226,7 +230,7 @@ def _score(books, p: Index, k: int, least: float):
         qi, wi = np.nonzero(score >= (w["low"] * w["norm"])[None, :])
         if not len(qi):
             return [], [], []
-        cos = cosine(q[qi], w["vec"][wi])
+        cos = np.concatenate([cosine(q[qi[i : i + PAIRS]], w["vec"][wi[i : i + PAIRS]]) for i in range(0, len(qi), PAIRS)])
         ok = cos >= least
         qi, wi, cos = qi[ok], wi[ok], cos[ok]
         qo, io, co = [], [], []
@@ -256,7 +260,7 @@ def _score(books, p: Index, k: int, least: float):
                         "ids": [r[0] for r in rows], "vec": np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, p.dim),
                         "codes": np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, p.levels), "norm": np.array([r[3] for r in rows], np.float32), "low": np.array([r[4] for r in rows], np.float32),
                     }
-                step = max(1, 4_000_000 // len(rows))
+                step = max(1, ESTIMATES // len(rows))
                 for i in range(0, len(waiting), step):
                     for a, b in zip(out, best(group[1], w, waiting[i : i + step], c)):
                         a.extend(b)
