@@ -150,7 +150,7 @@ def feedback_fold(feedback: DataFrame, confidence: float = 0.5, utility: float =
         return F.struct(dc.alias("c"), du.alias("u"))
 
     g = feedback.groupBy("id").agg(steps.alias("s"))
-    return g.withColumn("f", F.aggregate("s", start, one)).select("id", F.round("f.c", 6).alias("confidence"), F.round("f.u", 6).alias("utility"), F.size("s").alias("events"))
+    return g.withColumn("f", F.aggregate("s", start, one)).select("id", F.round("f.c", 6).alias("confidence"), F.round("f.u", 6).alias("utility"), F.size("s").cast("bigint").alias("events"))
 
 
 def rate_bursts(events: DataFrame, key: list[str], seconds: int, least: int) -> DataFrame:

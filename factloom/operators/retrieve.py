@@ -77,7 +77,7 @@ def rank(candidates: DataFrame, nodes: DataFrame, requests: DataFrame, w: Weight
     s = score(F.col("similarity"), F.col("t"), w, decay=decay_alpha(F.col("mem_type")) if per_type_decay else None)
     c = c.withColumn("s", s).where("s.score > 0")
     c = c.withColumn("score", F.round("s.score", 6))
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("retrieve_id").orderBy(F.desc("score"), "id"))).where("rank <= top_k")
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("retrieve_id").orderBy(F.desc("score"), "id")).cast("bigint")).where("rank <= top_k")
     rounded = [F.round(f"s.{x}_score", 6).alias(x) for x in ("similarity", "confidence", "recency", "utility")]
     return c.select("retrieve_id", "rank", "ns", "id", "score", *rounded, "path")
 

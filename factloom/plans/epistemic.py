@@ -205,7 +205,7 @@ SELECT {key}, sum(w) AS w, sum(w * val) AS wv, sum(cr) AS c, sum(cr * val) AS cv
 _TRUTH = _cons("claim", "vo")
 _SIDE = f"SELECT l.ns, l.id, {_N5} AS conf, source_id, coalesce(supporters, 0) AS supporters FROM latest l LEFT JOIN (SELECT ns, dst, count(*) AS supporters FROM act WHERE edge_type = 'supports' GROUP BY 1, 2) s ON s.ns = l.ns AND s.dst = l.id"
 _SRC = "SELECT event_id AS event, ts, user_id, 'src' || (user_id % 20) AS source, CASE event_type WHEN 'purchase' THEN 'validated' WHEN 'error' THEN 'refuted' WHEN 'click' THEN 'useful' WHEN 'view' THEN 'stale' END AS outcome FROM events WHERE event_type IN ('purchase', 'error', 'click', 'view')"
-_HIST = "SELECT source, ts, event, alpha, beta, alpha / (alpha + beta) AS credibility FROM (SELECT source, ts, event, 1.0 + sum(CASE WHEN outcome = 'validated' THEN 1 ELSE 0 END) OVER o AS alpha, 1.0 + sum(CASE WHEN outcome = 'refuted' THEN 1 ELSE 0 END) OVER o AS beta FROM fb WHERE outcome IN ('validated', 'refuted') WINDOW o AS (PARTITION BY source ORDER BY ts, event ROWS UNBOUNDED PRECEDING))"
+_HIST = "SELECT source, ts, event, alpha, beta, alpha / (alpha + beta) AS credibility FROM (SELECT source, ts, event, CAST(1 + sum(CASE WHEN outcome = 'validated' THEN 1 ELSE 0 END) OVER o AS DOUBLE) AS alpha, CAST(1 + sum(CASE WHEN outcome = 'refuted' THEN 1 ELSE 0 END) OVER o AS DOUBLE) AS beta FROM fb WHERE outcome IN ('validated', 'refuted') WINDOW o AS (PARTITION BY source ORDER BY ts, event ROWS UNBOUNDED PRECEDING))"
 _OUTC = "SELECT greatest(0.0, least(1.0, source_credibility)) AS predicted, CAST(kind = 'supports' AS INTEGER) AS actual FROM a WHERE kind IN ('supports', 'contradicts') AND source_credibility IS NOT NULL"
 _BINS = "SELECT CAST(least(floor(predicted * 10), 9) AS BIGINT) AS bin, count(*) AS n, avg(predicted) AS p, avg(CAST(actual AS DOUBLE)) AS act FROM oc GROUP BY 1"
 _MAT = "SELECT act.ns, x.source_id AS a, y.source_id AS b, count(*) AS n FROM act JOIN latest x ON x.ns = act.ns AND x.id = act.src JOIN latest y ON y.ns = act.ns AND y.id = act.dst WHERE edge_type = 'supports' AND x.source_id <> y.source_id GROUP BY 1, 2, 3"
@@ -225,8 +225,8 @@ _AUD = dict(
     sc=f"SELECT ns, external_id, round({_EFF}, 6) AS credibility FROM s",
     au="SELECT l.ns, l.id, l.source_id, l.confidence, sc.credibility, coalesce(supporters, 0) AS supporters, coalesce(contradictors, 0) AS contradictors, coalesce(depth, 0) AS depth, versions, round(trend, 6) AS trend FROM latest l LEFT JOIN sc ON sc.ns = l.ns AND sc.external_id = l.source_id LEFT JOIN su ON su.ns = l.ns AND su.id = l.id LEFT JOIN co ON co.ns = l.ns AND co.id = l.id LEFT JOIN dp ON dp.ns = l.ns AND dp.id = l.id LEFT JOIN hi ON hi.ns = l.ns AND hi.id = l.id",
 )
-_le = [f"sum(CASE WHEN c <= {b} THEN 1 ELSE 0 END) AS le_{i}" for i, b in enumerate(BOUNDS)]
-_pct = lambda p: "CASE " + " ".join(f"WHEN le_{i} >= ceil({p} * n) THEN {b}" for i, b in enumerate(BOUNDS)) + " END"
+_le = [f"CAST(sum(CASE WHEN c <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{i}" for i, b in enumerate(BOUNDS)]
+_pct = lambda p: "CAST(CASE " + " ".join(f"WHEN le_{i} >= ceil({p} * n) THEN {b}" for i, b in enumerate(BOUNDS)) + " END AS DOUBLE)"
 _AGE = "exp(-0.001 * greatest(0.0, (epoch_us({t}) - epoch_us({x})) / 3600000000.0))"
 SQL = {
     "consensus": v.sql(_TRUTH, vo=_VOTE),

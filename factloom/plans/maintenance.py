@@ -327,7 +327,7 @@ SQL = {
     "conflict_budget": "SELECT event_id AS event, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS within FROM events",
     "claim_extractor": "SELECT DISTINCT sha256(trim(regexp_replace(regexp_replace(lower(s_name), '[^\\p{L}\\p{Nd}\\s]+', '', 'g'), '\\s+', ' ', 'g'))) AS src, sha256(trim(regexp_replace(regexp_replace(lower(n_name), '[^\\p{L}\\p{Nd}\\s]+', '', 'g'), '\\s+', ' ', 'g'))) AS dst, 'located_in' AS edge_type, 'nation:' || n_name AS labels FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "consolidate": v.sql(f"SELECT x.ns, nodes, confidence, first, last, labels FROM (SELECT ns, count(*) AS nodes, round(avg(confidence), 6) AS confidence, min(valid_from) AS first, max(valid_from) AS last FROM old GROUP BY 1 HAVING count(*) >= 3) x LEFT JOIN (SELECT ns, string_agg(l, ',' ORDER BY l) AS labels FROM (SELECT DISTINCT ns, l FROM (SELECT ns, unnest(labels) AS l FROM old) WHERE l <> 'Episode') GROUP BY 1) y ON x.ns = y.ns", vn=_VALID, old=f"SELECT * FROM vn WHERE (coalesce(mem_type = 'episodic', false) OR coalesce(list_contains(labels, 'Episode'), false)) AND epoch_us({_NOW}) - epoch_us(valid_from) >= 86400000000"),
-    "recall_cycle": v.sql("SELECT ns, id, q AS quality, CAST(1 AS INTEGER) AS interval_days, round(greatest(1.3, 2.5 + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)), 6) AS easiness, round(greatest(0.0, least(1.0, coalesce(utility, 0.5) + CASE WHEN q >= 3 THEN 0.05 * q / 5 ELSE -0.02 * (3 - q) END)), 6) AS utility FROM (SELECT *, CASE WHEN s >= 0.9 THEN 5 WHEN s >= 0.7 THEN 4 WHEN s >= 0.5 THEN 3 WHEN s >= 0.3 THEN 2 WHEN s >= 0.1 THEN 1 ELSE 0 END AS q FROM x)", vn=_VALID, x=f"SELECT *, {_Q5} AS s FROM vn"),
+    "recall_cycle": v.sql("SELECT ns, id, q AS quality, CAST(1 AS INTEGER) AS interval_days, CAST(round(greatest(1.3, 2.5 + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)), 6) AS DOUBLE) AS easiness, round(greatest(0.0, least(1.0, coalesce(utility, 0.5) + CASE WHEN q >= 3 THEN 0.05 * q / 5 ELSE -0.02 * (3 - q) END)), 6) AS utility FROM (SELECT *, CASE WHEN s >= 0.9 THEN 5 WHEN s >= 0.7 THEN 4 WHEN s >= 0.5 THEN 3 WHEN s >= 0.3 THEN 2 WHEN s >= 0.1 THEN 1 ELSE 0 END AS q FROM x)", vn=_VALID, x=f"SELECT *, {_Q5} AS s FROM vn"),
     "sm2_fold": v.sql(
         "SELECT user_id, round(arg_max(e, i), 6) AS easiness, arg_max(d, i) AS interval_days, arg_max(r, i) AS repetitions FROM w GROUP BY 1", recursive=True,
         o="SELECT user_id, CAST(event_id % 6 AS INTEGER) AS q, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events",
@@ -350,7 +350,7 @@ SQL = {
     "ranking_diff": v.sql(
         "SELECT coalesce(a.retrieve_id, b.retrieve_id) AS query, coalesce(a.id, b.id) AS id, a.rank AS before, b.rank AS after, a.rank - b.rank AS moved FROM o a FULL JOIN ob b ON a.retrieve_id = b.retrieve_id AND a.id = b.id WHERE a.rank IS DISTINCT FROM b.rank",
         **_RANK("general"), o=retrieval._OUT, kb=retrieval._ranked(retrieval.MODES["belief"].weights), ob=retrieval._OUT.replace("FROM k ", "FROM kb ")),
-    "admission_sweep": v.sql("SELECT threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT threshold, CASE WHEN sum(t) > 0 THEN sum(t * g) / sum(t) ELSE 0.0 END AS p, CASE WHEN sum(g) > 0 THEN sum(t * g) / sum(g) ELSE 0.0 END AS r FROM (SELECT threshold, CAST(sc >= threshold AS INTEGER) AS t, g FROM x, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS threshold)) GROUP BY 1)", x="SELECT round(greatest(0.0, least(1.0, source_credibility)), 6) AS sc, CAST(kind = 'supports' AS INTEGER) AS g FROM a WHERE kind IN ('supports', 'contradicts') AND source_credibility IS NOT NULL"),
+    "admission_sweep": v.sql("SELECT CAST(threshold AS DOUBLE) AS threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT threshold, CASE WHEN sum(t) > 0 THEN sum(t * g) / sum(t) ELSE 0.0 END AS p, CASE WHEN sum(g) > 0 THEN sum(t * g) / sum(g) ELSE 0.0 END AS r FROM (SELECT threshold, CAST(sc >= threshold AS INTEGER) AS t, g FROM x, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS threshold)) GROUP BY 1)", x="SELECT round(greatest(0.0, least(1.0, source_credibility)), 6) AS sc, CAST(kind = 'supports' AS INTEGER) AS g FROM a WHERE kind IN ('supports', 'contradicts') AND source_credibility IS NOT NULL"),
     "retry_recommendations": v.sql("SELECT key, attempts, last_ts, status, delay, family, ready FROM rr", **_REC),
     "retry_fatigue": v.sql("SELECT family, count(*) AS candidates, CAST(sum(CAST(ready AS BIGINT)) AS BIGINT) AS ready, CAST(sum(attempts) AS BIGINT) AS attempts, max(last_ts) AS last_ts FROM rr GROUP BY 1", **_REC),
     "source_trust_anomaly": v.sql("SELECT source, round(f, 6) AS first, round(l, 6) AS last, n AS refutations, round(greatest(CASE WHEN f - l >= 0.1 THEN 0.65 + f - l END, CASE WHEN l <= 0.49 THEN 0.75 + 0.49 - l END), 6) AS priority, CASE WHEN f - l >= 0.1 THEN 'drop' ELSE 'low_trust' END AS kind FROM (SELECT source, arg_min(credibility, (ts, event)) AS f, arg_max(credibility, (ts, event)) AS l FROM h GROUP BY 1) x JOIN (SELECT source, count(*) FILTER (WHERE outcome = 'refuted') AS n FROM fb GROUP BY 1) y USING (source) WHERE f - l >= 0.1 OR l <= 0.49", fb=_SRC, h=_HIST),
