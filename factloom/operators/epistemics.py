@@ -273,11 +273,14 @@ def isotonic(outcomes: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, key: list[str], shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """count, min, max, mean and nearest-rank quantiles: element int(p (n - 1)) of the sorted values."""
+    """count, min, max, mean and nearest-rank quantiles: element int(p (n - 1)) of the sorted values.
+
+    Equal values are counted before any sorting, so a key that holds many rows costs its distinct values only."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*key)
-    r = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    pick = [F.max(F.when(F.col("_i") == F.floor(p * (F.col("_n") - 1)), F.col(value))).alias(f"p{int(p * 100)}") for p in shares]
-    return r.groupBy(*key).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), *pick)
+    r = c.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    pick = [F.min(F.when(F.col("_upto") > F.floor(p * (F.col("_n") - 1)), F.col(value))).alias(f"p{int(p * 100)}") for p in shares]
+    return r.groupBy(*key).agg(F.sum("_c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.sum(F.col(value) * F.col("_c")) / F.sum("_c"), 6).alias("mean"), *pick)
 
 
 def histogram(df: DataFrame, value: str, bounds: list[float], shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
