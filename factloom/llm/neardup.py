@@ -8,7 +8,8 @@ parity sketch, which can't lose a pair, and then by the word sets. Nothing depen
 
 Variants are shuffled packed: a few binary rows of byte planes instead of millions of small rows. A variant that more
 than `crowd` texts share is extended by a third word (sets of this similarity share three of their first L + 1 words), and the
-texts that meet in the longer variant are compared by their sketches, block by block.
+texts that meet in the longer variant are compared by their sketches, block by block. The pairs of words of a very long text
+would be too many: pairs of sets of `long` words or more meet in single words, of which sets share one of their first L - 1.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ BITS = 40
 class Ball:
     """similarity: least shared part of the words. least_words: shorter texts aren't compared. table: buckets of the word counts
     that order words (a fixed size). crowd: most texts of a variant that are compared without a third word. entries: of a
-    packed partition. sent: most crowded variants sent to the tasks; if there are more, every variant counts as crowded."""
+    packed partition. sent: most crowded variants sent to the tasks; if there are more, every variant counts as crowded.
+    long: from so many words on both, sets meet in single words."""
 
     similarity: Fraction = Fraction(7, 10)
     least_words: int = 8
@@ -46,6 +48,7 @@ class Ball:
     crowd: int = 256
     entries: int = 1_500_000
     sent: int = 4_000_000
+    long: int = 400
 
     def prefix(self, n: int, shared: int) -> int:
         """Words of a set of n of which a similar set must share so many, in any common order."""
@@ -148,6 +151,8 @@ def _variants(n: np.ndarray, h: np.ndarray, p: Ball) -> tuple[np.ndarray, np.nda
     start = _starts(n)
     who, keys = [], []
     for size in np.unique(n).tolist():
+        if size * p.similarity >= p.long:  # no partner is shorter than p.long
+            continue
         s = np.flatnonzero(n == size)
         length = p.prefix(size, 2)
         x, y = np.triu_indices(length, 1)
@@ -157,11 +162,23 @@ def _variants(n: np.ndarray, h: np.ndarray, p: Ball) -> tuple[np.ndarray, np.nda
             with np.errstate(over="ignore"):
                 keys.append((_mix(w[:, x] + w[:, y]) & LOW48).ravel())
             who.append(np.repeat(s[i : i + step], len(x)))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, U)
     return np.concatenate(who), np.concatenate(keys)
 
 
+def _single(n: np.ndarray, h: np.ndarray, p: Ball) -> tuple[np.ndarray, np.ndarray]:
+    """Set and key of each single word variant of the long sets."""
+    some = np.flatnonzero(n >= p.long)
+    length = np.array([p.prefix(int(x), 1) for x in n[some]], np.int64)
+    at = np.repeat(_starts(n)[some] - _starts(length)[:-1], length) + np.arange(length.sum())
+    return np.repeat(some, length), _mix(h[at] ^ U(0x6A09E667F3BCC909)) & LOW48
+
+
 def _longer(i: int, n: int, h: np.ndarray, crowded: np.ndarray | None, p: Ball) -> np.ndarray:
     """Keys of set i's crowded variants with a third word. h: the set's words in the common order."""
+    if n * p.similarity >= p.long:
+        return np.zeros(0, U)
     two, three = p.prefix(n, 2), p.prefix(n, 3)
     x, y = np.triu_indices(two, 1)
     with np.errstate(over="ignore"):
@@ -275,8 +292,9 @@ def _meetings(packed: DataFrame, partitions: int, most: int | None, p: Ball) ->
     return packed.repartition(partitions, "pid").mapInArrow(run, "a bigint, b bigint")
 
 
-def _emit(sets: DataFrame, counts, p: Ball, partitions: int, crowded=None) -> DataFrame:
-    """Packed variants of all sets; with `crowded` (a broadcast: keys, or None for all), the longer ones of these."""
+def _emit(sets: DataFrame, counts, p: Ball, partitions: int, crowded=None, single: bool = False) -> DataFrame:
+    """Packed variants of all sets; with `crowded` (a broadcast: keys, or None for all), the longer ones of these; with `single`, the
+    single words of long sets."""
     longer = crowded is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +308,8 @@ def _emit(sets: DataFrame, counts, p: Ball, partitions: int, crowded=None) -> Da
                     start = _starts(n)
                     keys = [_longer(i, m, h[start[i] : start[i + 1]], crowded.value, p) for i, m in enumerate(n.tolist())]
                     who, key = np.repeat(np.arange(len(n)), [len(k) for k in keys]), np.concatenate(keys)
+                elif single:
+                    who, key = _single(n, h, p)
                 else:
                     who, key = _variants(n, h, p)
                     # of a key, crowd + 1 entries of one batch show that it is crowded
@@ -314,7 +334,7 @@ def similar_pairs(texts: DataFrame, p: Ball = Ball()) -> tuple[DataFrame, DataFr
     sets = cut(own.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.any_value("h").alias("h")))
     members = own.select("id", "s1", "s2").join(sets.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"]).select("id", "rep").distinct()
     sizes = F.length("h") / KEY
-    variants = sets.agg(F.coalesce(F.sum(sizes * sizes * 0.06), F.lit(0))).first()[0]
+    variants, longest = sets.agg(F.coalesce(F.sum(F.when(sizes * float(p.similarity) < p.long, sizes * sizes * 0.06).otherwise(sizes)), F.lit(0)), F.coalesce(F.max(sizes), F.lit(0))).first()
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(variants // p.entries))
     counts = spark.sparkContext.broadcast(_word_counts(sets, p))
     met = cut(_meetings(_emit(sets, counts, p, partitions), partitions, p.crowd, p))
@@ -324,6 +344,9 @@ def similar_pairs(texts: DataFrame, p: Ball = Ball()) -> tuple[DataFrame, DataFr
         keys = crowded.toArrow().column("a").to_numpy().view(U) if n <= p.sent else None
         longer = _emit(sets, counts, p, partitions, spark.sparkContext.broadcast(keys))
         near = near.unionByName(_meetings(longer, partitions, None, p))
+    if longest >= p.long:
+        both = sets.where(sizes >= p.long)
+        near = near.unionByName(_meetings(_emit(both, counts, p, partitions, single=True), partitions, None, p))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = p.similarity

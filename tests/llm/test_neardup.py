@@ -57,6 +57,24 @@ def test_matches_all_pairs(spark, vocabulary, crowd):
     assert len(want) > 30 and found(spark, rows, replace(neardup.Ball(), crowd=crowd)) == want
 
 
+@pytest.mark.parametrize("long", [10, 16, 25])
+def test_long_sets_meet_in_single_words(spark, long):
+    r = random.Random(long)
+    v = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(30):
+        base = [r.choice(v) for _ in range(r.randrange(8, 45))]
+        rows += [(len(rows) + i, edited(base, r, v)) for i in range(r.randrange(1, 6))]
+    want = brute(rows)
+    assert len(want) > 30 and found(spark, rows, replace(neardup.Ball(), long=long)) == want
+
+
+def test_very_long_texts(spark):
+    w = [f"w{i}" for i in range(60000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:50000])), (3, " ".join(w[:40000])), (4, " ".join(w[:9]))]
+    assert found(spark, rows) == {(1, 2), (2, 3)}
+
+
 def test_more_crowded_variants_than_are_sent(spark):
     r = random.Random(9)
     v = [f"w{i}" for i in range(50)]
