@@ -80,22 +80,27 @@ def best_parents(edges: DataFrame, edge_type: str, incoming: bool = True) -> Dat
 def chains(nodes: DataFrame, edges: DataFrame, edge_type: str = "supports", max_steps: int = 20, incoming: bool = True) -> DataFrame:
     """(ns, id, steps, compound, path) of every node: the chain along its best parents, up to a node that is on it already.
 
-    compound: the node's confidence times weight and confidence of each step (unknown confidence 0.5)."""
+    compound: the node's confidence times weight and confidence of each step (unknown confidence 0.5). Chains grow by doubling: each
+    round appends the chain of its last node, so max_steps steps take log2(max_steps) joins."""
     up = best_parents(edges, edge_type, incoming)
     conf = nodes.select("ns", "id", neutral(F.col("confidence")).alias("c"))
-    step = up.join(conf.select("ns", F.col("id").alias("parent"), "c"), ["ns", "parent"]).select("ns", F.col("id").alias("at"), "parent", (F.col("weight") * F.col("c")).alias("factor"))
-    open_ = conf.select("ns", "id", F.col("id").alias("at"), F.lit(0).alias("steps"), F.col("c").alias("compound"), F.array("id").alias("path"))
-    done = None
-    for _ in range(max_steps):
-        moved = open_.join(step, ["ns", "at"], "left")
-        go = F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent"))
-        moved = cut(moved.withColumn("go", F.coalesce(go, F.lit(False))))
-        rest = moved.where("not go").select("ns", "id", "steps", "compound", "path")
-        done = rest if done is None else done.unionByName(rest)
-        open_ = moved.where("go").select("ns", "id", F.col("parent").alias("at"), (F.col("steps") + 1).alias("steps"), (F.col("compound") * F.col("factor")).alias("compound"), F.concat("path", F.array("parent")).alias("path"))
-        if open_.isEmpty():
-            break
-    return done.unionByName(open_.select("ns", "id", "steps", "compound", "path"))
+    step = up.join(conf.select("ns", F.col("id").alias("parent"), "c"), ["ns", "parent"])
+    ahead = cut(step.select("ns", "id", F.array("parent").alias("to"), F.array(F.col("weight") * F.col("c")).alias("by")))
+    reach = 1
+    while reach < max_steps:
+        more = ahead.select("ns", F.col("id").alias("last"), F.col("to").alias("to2"), F.col("by").alias("by2"))
+        ends = ahead.withColumn("last", F.element_at("to", -1)).join(more, ["ns", "last"], "left")
+        # only a full chain goes on; a shorter one has reached its root
+        join = lambda x: F.when(F.col(f"{x}2").isNotNull(), F.concat(x, f"{x}2")).otherwise(F.col(x)).alias(x)
+        ahead = cut(ends.select("ns", "id", join("to"), join("by")))
+        reach *= 2
+    none = lambda t: F.array().cast(f"array<{t}>")
+    all_ = conf.join(ahead, ["ns", "id"], "left").withColumn("path", F.slice(F.concat(F.array("id"), F.coalesce("to", none("string"))), 1, max_steps + 1))
+    again = F.array_position(F.transform("path", lambda x, i: F.array_position("path", x) <= i), F.lit(True))
+    steps = F.when(again > 0, again - 2).otherwise(F.size("path") - 1).cast("int")
+    all_ = all_.withColumn("steps", steps)
+    compound = F.aggregate(F.slice(F.coalesce("by", none("double")), F.lit(1), F.col("steps")), F.col("c"), lambda a, x: a * x)
+    return all_.select("ns", "id", "steps", compound.alias("compound"), F.slice("path", F.lit(1), F.col("steps") + 1).alias("path"))
 
 
 def provenance_depth(nodes: DataFrame, edges: DataFrame, max_steps: int = 10) -> DataFrame:

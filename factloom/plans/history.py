@@ -112,7 +112,7 @@ def _subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 def _inference(spark: SparkSession, d: str) -> DataFrame:
     c = graph.chains(temporal.latest(v.nodes(spark, d)), graph.active(v.edges(spark, d), v.now()), "supports", 20)
-    return c.select("ns", "id", "steps", F.round("compound", 6).alias("compound"))
+    return c.select("ns", "id", "steps", F.round("compound", 12).alias("compound"))
 
 
 def _provenance(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ SQL = {
     "walk_min_weight": v.sql(_DEPTH, recursive=True, act=_ACT, sd=_SEED, fe="SELECT * FROM act WHERE edge_type IN ('supports', 'relates_to') AND weight >= 0.7", w=_WALK.format(hops=3)),
     "subgraph": v.sql("SELECT id, ns, src, dst, edge_type FROM fe WHERE EXISTS (SELECT 1 FROM w WHERE w.ns = fe.ns AND w.id = fe.src) AND EXISTS (SELECT 1 FROM w WHERE w.ns = fe.ns AND w.id = fe.dst)", recursive=True, act=_ACT, sd=_SEED, fe="SELECT * FROM act WHERE edge_type IN ('cites', 'refines')", w=_WALK.format(hops=2)),
     "cascade_retract": v.sql(_DEPTH, recursive=True, act=_ACT, sd=_SEED, fe="SELECT * FROM act WHERE edge_type = 'derived_from'", w=_WALK.format(hops=10)),
-    "inference_chain": _chain_sql("SELECT ns, id, max(steps) AS steps, round(arg_max(compound, steps), 6) AS compound FROM w GROUP BY 1, 2", "supports", "weight", 20),
+    "inference_chain": _chain_sql("SELECT ns, id, max(steps) AS steps, round(arg_max(compound, steps), 12) AS compound FROM w GROUP BY 1, 2", "supports", "weight", 20),
     "provenance_depth": _chain_sql("SELECT ns, id, max(steps) AS depth FROM w GROUP BY 1, 2", "derived_from", "greatest(coalesce(weight, 0.0), 1e-9)", 10),
     "conflict_clusters": v.sql(
         f"SELECT ns, component, count(*) AS members, min(c) AS low, max(c) AS high, round(max(c) - min(c), 6) AS gap FROM (SELECT w.ns, w.id, min(w.r) AS component, {_NEUTRAL.replace('confidence', 'any_value(l.confidence)')} AS c FROM w JOIN latest l ON l.ns = w.ns AND l.id = w.id GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(*) >= 2",
