@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,16 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: executors need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_factloom_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="factloom-"), "factloom"), "zip", root, "factloom"))
+    sc._factloom_sent = True
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with checkpoint() in the shared folder of spark.checkpoint.dir. Only where a session names
     none, as in tests, a temporary folder of this machine serves."""
