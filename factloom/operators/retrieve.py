@@ -18,12 +18,16 @@ from factloom.operators import search
 
 @dataclass(frozen=True)
 class Fusion:
-    """Weights of the three paths in the fused similarity, and candidates a request gets from the index."""
+    """Weights of the three paths in the fused similarity, and candidates a request gets from the index: `candidates` or top_k * `times`,
+    whichever is more, of the entries that are valid at t (and have the wanted labels). cut_first takes `candidates` of all
+    entries before these are looked at, so requests may fall short; so the SQL of retrieve_* says."""
 
     vector: float = 1.0
     graph: float = 0.6
     session: float = 0.8
     candidates: int = 50
+    times: int = 4
+    cut_first: bool = False
 
 
 def vector_candidates(requests: DataFrame, entries: DataFrame, k: int) -> DataFrame:
@@ -37,6 +41,18 @@ def vector_candidates(requests: DataFrame, entries: DataFrame, k: int) -> DataFr
     return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
 
 
+def allowed_candidates(requests: DataFrame, entries: DataFrame, nodes: DataFrame, f: Fusion = Fusion(), labels: bool = False) -> DataFrame:
+    """vector_candidates among the entries whose node is valid at the request's t and, with labels, has all its labels."""
+    wanted = F.col("labels") if labels else F.lit(None).cast("array<string>")
+    most = F.greatest(F.lit(f.candidates), F.col("top_k") * f.times)
+    q = requests.select(F.xxhash64("retrieve_id", "vec").alias("id"), F.col("ns").alias("scope"), "vec", "retrieve_id", "t", most.alias("most"), wanted.alias("wanted"))
+    e = entries.select("ns", "write_id", "node_id", "vec").join(nodes.select("ns", F.col("id").alias("node_id"), "labels", "valid_from", "valid_until"), ["ns", "node_id"])
+    near = search.topk_allowed(q, e.withColumnsRenamed({"write_id": "id", "ns": "scope"}))
+    near = near.join(q.select(F.col("id").alias("query"), "retrieve_id", F.col("scope").alias("ns")), "query")
+    near = near.join(entries.select(F.col("write_id").alias("row"), "node_id"), "row")
+    return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
+
+
 def graph_candidates(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """(retrieve_id, ns, id): seeds and the nodes that an edge active at the request's time leads to from a seed."""
     seeds = requests.select("retrieve_id", "ns", "t", F.explode("seeds").alias("id")).where("id is not null").distinct()
@@ -88,9 +104,15 @@ def has_labels(wanted: str = "wanted", labels: str = "labels") -> Column:
     return F.size(F.array_except(F.coalesce(wanted, none), F.coalesce(labels, none))) == 0
 
 
-def retrieve(requests: DataFrame, nodes: DataFrame, entries: DataFrame, w: Weights, edges: DataFrame | None = None, session: DataFrame | None = None, f: Fusion = Fusion(), **options) -> DataFrame:
-    """The flagship: candidates of all paths, fused, scored and cut to top_k per request."""
-    vector = vector_candidates(requests, entries, f.candidates)
+def retrieve(requests: DataFrame, nodes: DataFrame, entries: DataFrame, w: Weights, edges: DataFrame | None = None, session: DataFrame | None = None, f: Fusion = Fusion(), labels: bool = False, **options) -> DataFrame:
+    """The flagship: candidates of all paths, fused, scored and cut to top_k per request. labels: results have all labels of the request."""
+    if labels:
+        where = options.pop("where", None)
+        options["where"] = has_labels() if where is None else where & has_labels()
+    if f.cut_first:
+        vector = vector_candidates(requests, entries, f.candidates)
+    else:
+        vector = allowed_candidates(requests, entries, nodes, f, labels)
     graph = graph_candidates(requests, edges) if edges is not None else None
     return rank(fuse(vector, graph, session, f), nodes, requests, w, **options)
 

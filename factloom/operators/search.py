@@ -23,6 +23,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)[:, None]
 
 
+def _micros(column: pa.Array, null: int) -> np.ndarray:
+    return column.cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
+
+
 def _scan(k: int, least: float, strict: bool):
     """Over rows sorted by (scope, block, side): the block's vectors first, then the queries."""
 
@@ -77,6 +81,67 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _scan_allowed(least: float):
+    """As _scan, over rows with since, until and tags, and queries with since (their point in time), most and tags (the wanted ones)."""
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, whole = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            scope, block, side = b.column("scope").to_pylist(), b.column("block").to_numpy(), b.column("side").to_numpy()
+            edge = [0, *[i for i in range(1, b.num_rows) if scope[i] != scope[i - 1] or block[i] != block[i - 1] or side[i] != side[i - 1]], b.num_rows]
+            for a, z in zip(edge, edge[1:]):
+                if (scope[a], block[a]) != group:
+                    group, parts, whole = (scope[a], block[a]), [], None
+                c = b.slice(a, z - a)
+                x, own, tags = _unit(_matrix(c.column("vec"))), c.column("id").to_numpy(), [set(t or ()) for t in c.column("tags").to_pylist()]
+                if side[a] == 0:
+                    parts.append((own, x, _micros(c.column("since"), high), _micros(c.column("until"), high), tags))
+                    continue
+                if not parts:
+                    continue
+                if whole is None:
+                    rows, y, since, until = (np.concatenate(v) for v in list(zip(*parts))[:4])
+                    has: dict[str, np.ndarray] = {}
+                    held = [t for p in parts for t in p[4]]
+                    whole = True
+                t, most = _micros(c.column("since"), low), c.column("most").to_numpy()
+                for i in range(0, len(own), STEP):
+                    at = t[i : i + STEP, None]
+                    ok = (since <= at) & (at <= until)
+                    for j, wanted in enumerate(tags[i : i + STEP]):
+                        for w in wanted:
+                            if w not in has:
+                                has[w] = np.fromiter((w in h for h in held), bool, len(held))
+                            ok[j] &= has[w]
+                    s = np.where(ok, np.clip(x[i : i + STEP] @ y.T, -1, 1), -np.inf)
+                    k = int(most[i : i + STEP].max())
+                    pick = s > least
+                    if k < s.shape[1]:
+                        pick &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    q, r = np.nonzero(pick)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i : i + STEP][q]), pa.array(rows[r]), pa.array(s[q, r]), pa.array(most[i : i + STEP][q])], ["query", "row", "similarity", "most"])
+
+    return run
+
+
+def topk_allowed(queries: DataFrame, rows: DataFrame, least: float = 0.0, digits: int = 9) -> DataFrame:
+    """As topk, but of each query (also t, most, wanted) the `most` nearest among the rows (also valid_from, valid_until, labels) that
+    are valid at t and have all wanted labels: filtered before the cut. A null t or valid_from is never valid; null labels are none."""
+    n = rows.groupBy("scope").agg(F.count("*").alias("n"))
+    blocks = n.select("scope", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.select("id", "scope", "vec", F.col("valid_from").alias("since"), F.col("valid_until").alias("until"), F.lit(0).alias("most"), F.col("labels").alias("tags"))
+    placed = placed.join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("side", F.lit(0))
+    asked = queries.where("most > 0").select("id", "scope", "vec", F.col("t").alias("since"), F.col("t").alias("until"), F.col("most").cast("int").alias("most"), F.col("wanted").alias("tags"))
+    asked = asked.join(blocks, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    both = placed.unionByName(asked).select("scope", "block", "side", "id", "vec", "since", "until", "most", "tags").repartition("scope", "block").sortWithinPartitions("scope", "block", "side")
+    near = both.mapInArrow(_scan_allowed(least), "query bigint, row bigint, similarity double, most int").withColumn("similarity", F.round("similarity", digits)).where(F.col("similarity") > least)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
+    return near.withColumn("rank", rank).where("rank <= most").drop("most")
+
+
 def pairs_within(rows: DataFrame, low: float, high: float, digits: int = 9) -> DataFrame:
     """Pairs (a, b), a < b, of one scope whose cosine lies in [low, high): theta join by blocks; exact."""
     near = topk(rows, rows, 1 << 30, low, strict=False, digits=digits)

@@ -12,6 +12,8 @@ from factloom.operators import search, temporal
 from factloom.sources import views as v
 
 ALL = 1 << 20
+#: What the SQL of retrieve_* says: 50 entries of all, then validity and labels; a top_k of 0 has no results.
+AS_SQL = r.Fusion(cut_first=True)
 
 
 def _parts(spark: SparkSession, d: str):
@@ -22,29 +24,29 @@ def _parts(spark: SparkSession, d: str):
 def _mode(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         q, n, e = _parts(spark, d)
-        return r.retrieve(q, n, e, MODES[mode].weights)
+        return r.retrieve(q, n, e, MODES[mode].weights, f=AS_SQL)
 
     return run
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["general"].weights, where=r.has_labels())
+    return r.retrieve(q, n, e, MODES["general"].weights, f=AS_SQL, labels=True)
 
 
 def _exclude(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["general"].weights, exclude_sources=["agent:siozeaxfin", "user:pruwend"])
+    return r.retrieve(q, n, e, MODES["general"].weights, f=AS_SQL, exclude_sources=["agent:siozeaxfin", "user:pruwend"])
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["general"].weights, edges=v.edges(spark, d))
+    return r.retrieve(q, n, e, MODES["general"].weights, edges=v.edges(spark, d), f=AS_SQL)
 
 
 def _typed_decay(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["agent"].weights, per_type_decay=True)
+    return r.retrieve(q, n, e, MODES["agent"].weights, f=AS_SQL, per_type_decay=True)
 
 
 def _multi(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +88,9 @@ def _pairs(low: float, high: float):
 
 
 def _mmr(spark: SparkSession, d: str) -> DataFrame:
-    _, _, e = _parts(spark, d)
+    q, n, e = _parts(spark, d)
     vec = e.groupBy(F.col("node_id").alias("id")).agg(F.max_by("vec", F.struct("received_at", "write_id")).alias("vec"))
-    return r.mmr(_mode("general")(spark, d), vec, 0.5, 10)
+    return r.mmr(r.retrieve(q, n, e, MODES["general"].weights), vec, 0.5, 10)
 
 
 def _explain(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import score
 from factloom.operators import compaction, epistemics, evaluation, graph, ingest, replication, retrieve, review, search, temporal
 from factloom.sources import store
 
@@ -103,6 +104,47 @@ def test_topk_is_exact_over_blocks(spark, monkeypatch):
     assert search.topk(entries(spark, q, ["y"] * 20), entries(spark, x), 7).count() == 0
 
 
+REQUEST = "retrieve_id bigint, ns string, vec array<double>, top_k int, labels array<string>, t timestamp_ntz"
+
+
+def crowded(spark):
+    """60 near entries of expired or unlabelled nodes hide 3 farther ones that are valid and labelled A, and 70 valid ones of label B."""
+    kinds = [("old", 60, 0.0, ["A"], T0 - timedelta(hours=1)), ("a", 3, 0.5, ["A", "C"], None), ("b", 70, 0.2, ["B"], None)]
+    made = [(f"{k}{i:02}", labels, end, [1.0, far + i * 1e-4]) for k, n, far, labels, end in kinds for i in range(n)]
+    n = spark.createDataFrame([("x", i, 1, labels, "s", 0.5, 1.0, None, T0 - timedelta(days=1), T0 - timedelta(days=1), end) for i, labels, end, _ in made], NODE)
+    e = spark.createDataFrame([(j, "x", i, vec) for j, (i, _, _, vec) in enumerate(made)], "write_id bigint, ns string, node_id string, vec array<double>")
+    return n, e
+
+
+def test_retrieve_filters_before_the_cut(spark):
+    n, e = crowded(spark)
+    w = score.MODES["general"].weights
+    q = spark.createDataFrame([(1, "x", [1.0, 0.0], 20, ["A"], T0), (2, "x", [1.0, 0.0], 60, None, T0), (3, "x", [1.0, 0.0], 5, ["Z"], T0), (4, "y", [1.0, 0.0], 5, None, T0), (5, "x", [1.0, 0.0], 5, None, None)], REQUEST)
+    got = {}
+    for r in retrieve.retrieve(q, n, e, w, labels=True).collect():
+        got.setdefault(r.retrieve_id, []).append(r.id)
+    assert sorted(got[1]) == ["a00", "a01", "a02"] and len(got[2]) == 60 and set(got) == {1, 2}
+
+
+def test_candidates_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((12, 8))
+    r = random.Random(5)
+    ends = [r.choice([None, T0, T0 + timedelta(hours=9)]) for _ in x]
+    tags = [r.sample("ABC", r.randrange(4)) for _ in x]
+    n = spark.createDataFrame([("x", f"{i:03}", 1, tags[i], "s", 0.5, 1.0, None, T0, T0, ends[i]) for i in range(300)], NODE)
+    e = spark.createDataFrame([(i, "x", f"{i:03}", v.tolist()) for i, v in enumerate(x)], "write_id bigint, ns string, node_id string, vec array<double>")
+    ask = [(i, T0 + timedelta(hours=r.randrange(3) * 6), r.sample("ABC", r.randrange(3))) for i in range(12)]
+    req = spark.createDataFrame([(i, "x", q[i].tolist(), 2, want, t) for i, t, want in ask], REQUEST)
+    got = {}
+    for c in retrieve.allowed_candidates(req, e, n, retrieve.Fusion(candidates=6), labels=True).collect():
+        got.setdefault(c.retrieve_id, set()).add(c.id)
+    s = (x @ q.T).T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    for i, t, want in ask:
+        fit = [j for j in range(300) if s[i, j] > 0 and (ends[j] is None or t <= ends[j]) and set(want) <= set(tags[j])]
+        assert got.get(i, set()) == {f"{j:03}" for j in sorted(fit, key=lambda j: -s[i, j])[:8]}
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 16))
