@@ -20,7 +20,7 @@ from factloom.operators import search
 class Fusion:
     """Weights of the three paths in the fused similarity, and candidates a request gets from the index: `candidates` or top_k * `times`,
     whichever is more, of the entries that are valid at t (and have the wanted labels). cut_first takes `candidates` of all
-    entries before these are looked at, so requests may fall short; so the SQL of retrieve_* says."""
+    entries before these are looked at, so requests may fall short; top_k stays as it is: so the SQL of retrieve_* says."""
 
     vector: float = 1.0
     graph: float = 0.6
@@ -53,6 +53,11 @@ def allowed_candidates(requests: DataFrame, entries: DataFrame, nodes: DataFrame
     return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
 
 
+def with_top_k(requests: DataFrame, default: int = 10) -> DataFrame:
+    """A top_k that is null, 0 or less means the default."""
+    return requests.withColumn("top_k", F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(default)))
+
+
 def graph_candidates(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """(retrieve_id, ns, id): seeds and the nodes that an edge active at the request's time leads to from a seed."""
     seeds = requests.select("retrieve_id", "ns", "t", F.explode("seeds").alias("id")).where("id is not null").distinct()
@@ -112,6 +117,7 @@ def retrieve(requests: DataFrame, nodes: DataFrame, entries: DataFrame, w: Weigh
     if f.cut_first:
         vector = vector_candidates(requests, entries, f.candidates)
     else:
+        requests = with_top_k(requests)
         vector = allowed_candidates(requests, entries, nodes, f, labels)
     graph = graph_candidates(requests, edges) if edges is not None else None
     return rank(fuse(vector, graph, session, f), nodes, requests, w, **options)

@@ -145,6 +145,13 @@ def test_candidates_match_brute_force(spark):
         assert got.get(i, set()) == {f"{j:03}" for j in sorted(fit, key=lambda j: -s[i, j])[:8]}
 
 
+def test_retrieve_takes_the_default_for_no_top_k(spark):
+    n, e = crowded(spark)
+    q = spark.createDataFrame([(i, "x", [1.0, 0.0], k, None, T0) for i, k in enumerate([0, -3, None, 4])], REQUEST)
+    got = retrieve.retrieve(q, n, e, score.MODES["general"].weights).groupBy("retrieve_id").count().collect()
+    assert {r.retrieve_id: r["count"] for r in got} == {0: 10, 1: 10, 2: 10, 3: 4}
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 16))
