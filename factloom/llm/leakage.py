@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Test questions and answers are normalised and cut into overlapping windows; all windows form one Aho-Corasick
-automaton, by which every corpus text is scanned once, in normal form, with hits mapped back to the original. A
-passage that is contained whole, or of which a run of 1.5 windows is contained, is found. A word weighs 2 and
-an ideograph 1, so scripts without blanks are treated alike.
+Test questions and answers are normalised and cut into windows, one from every token on; all windows form one Aho-Corasick
+automaton, by which every corpus text is scanned once, in normal form, with hits mapped back to the original. Every run
+of a window's weight is found, wherever in the passage it begins; passages up to a window's weight are found
+whole or short of the word at either end (they are often cut off within it), but not below the least weight. Coverage tells how much of the item a text holds. A word weighs 2 and an ideograph 1, so scripts without blanks are treated alike.
 
 An evaluation set is bounded (Leak.chars, checked); above Leak.part its automaton is built in parts, so that one fits into a Python
 worker, and each part scans the texts.
@@ -31,10 +31,9 @@ _SINGLE = regex.compile(rf"[{_UNBROKEN}]")
 
 @dataclass(frozen=True)
 class Leak:
-    """window, step: weight of a window and between two windows' beginnings. least: lightest passage that is looked for."""
+    """window: weight of a window. least: lightest passage, and lightest part of one, that is looked for."""
 
     window: int = 16
-    step: int = 8
     least: int = 10
     part: int = 6_000_000
     chars: int = 400_000_000
@@ -54,22 +53,12 @@ def windows(passage: str, p: Leak) -> list[str]:
     ends = [0]
     for w in _weights(words):
         ends.append(ends[-1] + w)
-    total = ends[-1]
-    if total < p.least:
-        return []
-    if total <= p.window:
-        return [f" {' '.join(words)} "]
-    out, at = [], 0
-    while True:
-        i = bisect.bisect_left(ends, at)
-        j = bisect.bisect_left(ends, ends[i] + p.window)
-        if j >= len(ends):
-            j = len(ends) - 1
-            i = bisect.bisect_right(ends, total - p.window) - 1
-        out.append(f" {' '.join(words[i:j])} ")
-        if j == len(ends) - 1:
+    size, out = p.window if ends[-1] > p.window else max(p.least, ends[-1] - 2), []
+    for i, at in enumerate(ends):
+        j = bisect.bisect_left(ends, at + size)
+        if j == len(ends):
             return list(dict.fromkeys(out))
-        at += p.step
+        out.append(f" {' '.join(words[i:j])} ")
 
 
 def original_offset(text: str, at: int) -> int:

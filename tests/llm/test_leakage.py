@@ -55,6 +55,14 @@ def test_runs_of_one_and_a_half_windows_are_found():
         assert any(w in text for w in ws), a
 
 
+def test_every_run_of_a_window_is_found(spark):
+    words = [f"w{i}" for i in range(23)]
+    items = [(1, [" ".join(words)]), (2, ["Claim BR-16701 about Chaipril was reject"]), (3, ["".join(chr(0x4E00 + i) for i in range(30))])]
+    docs = [(a, f"x {' '.join(words[a : a + 8])} y") for a in range(16)]
+    docs += [(100, "The claim BR-16701 about Chaipril was rejected in May"), (101, "".join(chr(0x4E00 + i) for i in range(7, 23))), (102, " ".join(words[3:7]))]
+    assert set(found(spark, docs, items)) == {(a, 1) for a in range(16)} | {(100, 2), (101, 3)}
+
+
 def test_offsets_are_of_the_original(spark):
     passage = "The queue that Touprain rolled isn't the turbine of Jeawu"
     text = "İİ… ​" + passage.upper().replace(" ", "  \n") + "!!"
