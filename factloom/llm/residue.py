@@ -2,8 +2,8 @@
 
 Each text is read for an address (the first URL), a title (first heading or short first line) and body terms. Detectors
 look for unfilled placeholders, filler, error pages and script notices, outside fenced code. A text of
-few terms whose skeleton (digits alike) returns on one host under different addresses, and whose body shares no term
-with its address slug or title, is a canned response. All of it is column expressions; the only shuffles carry a hash
+few terms whose skeleton (digits alike) returns on one host under different addresses (without any, in different texts), and whose
+body without the title shares no term with its address slug and none with its title, is a canned response. All of it is column expressions; the only shuffles carry a hash
 and a host of the texts of few terms.
 """
 
@@ -44,7 +44,7 @@ def _terms(x: Column) -> Column:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """Per text: host, slug and title terms, body terms, matches of the detectors."""
+    """Per text: host, address, slug and title terms, terms of the text and of its body (without the title), matches of the detectors."""
     text = F.coalesce("text", F.lit(""))
     prose = F.regexp_replace(text, r"(?s)```.*?(?:```|$)", " ")
     url = F.regexp_extract(text, r"https?://([\w.-]+)(/[^\s?#<>\"']*)?", 0)
@@ -55,13 +55,18 @@ def features(documents: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id", "text", "prose",
         F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"https?://([\w.-]+)", 1)), F.lit("")), F.col("source"), F.lit("?")).alias("host"),
+        F.nullif("url", F.lit("")).alias("url"),
         F.filter(_terms(path), lambda t: ~t.rlike(r"^\d+$")).alias("slug"),
         F.when(marked != "", marked).otherwise(first).alias("title"),
     )
     matched = lambda p: F.regexp_extract_all("prose", F.lit("(?i)" + p), F.lit(0))
-    # title, slug and body are compared by terms of the text without the title and addresses
-    body = F.regexp_replace(F.regexp_replace("prose", r"https?://\S+", " "), r"\s+", " ")
-    d = d.withColumns({"body": _terms(body), "title_terms": _terms(F.col("title")), "p": matched(PLACEHOLDER), "f": matched(FILLER), "e": matched(ERROR), "s": matched(SCRIPT)})
+    # title, slug and body are compared by terms: all of the text without addresses, and the body without the title, too
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"https?://\S+", " "), r"\s+", " ")
+    title = F.col("title")
+    at = F.when(title != "", F.instr("prose", title)).otherwise(0)
+    rest = F.when(at > 0, F.concat(F.substring("prose", F.lit(1), at - 1), F.lit(" "), F.substring("prose", at + F.length(title), F.length("prose")))).otherwise(F.col("prose"))
+    body = bare("prose")
+    d = d.withColumns({"all": _terms(body), "body": _terms(bare(rest)), "title_terms": _terms(bare("title")), "p": matched(PLACEHOLDER), "f": matched(FILLER), "e": matched(ERROR), "s": matched(SCRIPT)})
     skeleton = F.regexp_replace(F.regexp_replace(F.lower(body), r"\d+", "0"), r"[^\p{L}\p{Nd}]+", " ")
     return d.withColumn("skeleton", F.xxhash64(F.trim(skeleton)))
 
@@ -74,19 +79,19 @@ def residue(documents: DataFrame, p: Residue = Residue()) -> DataFrame:
     an empty table gives an empty result."""
     d = features(documents.select("doc_id", "source", "text").distinct())
     long = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
-    terms = F.size("body")
+    terms = F.size("all")
     heavy = lambda c: (F.size(c) > 0) & ((F.size(c) >= 2) | (long(F.col(c)) >= p.share * F.length("text")))
     page = lambda c: (F.size(c) > 0) & (terms <= p.short)
     d = d.select(
-        "doc_id", "host", "skeleton", terms.alias("terms"), heavy("p").alias("placeholder"), heavy("f").alias("filler"), page("e").alias("error_page"), page("s").alias("script_notice"),
-        (~F.arrays_overlap("slug", "body")).alias("slug_apart"), (F.size("slug") > 0).alias("has_slug"),
-        (F.size(F.array_except("title_terms", F.lit([]).cast("array<string>"))) > 0).alias("has_title"), (terms > F.size("title_terms")).alias("more_than_title"),
+        "doc_id", "host", "skeleton", "url", terms.alias("terms"), heavy("p").alias("placeholder"), heavy("f").alias("filler"), page("e").alias("error_page"), page("s").alias("script_notice"),
+        # said of a title or slug: the body, where there is one, shares no term with it
+        (~F.coalesce(F.arrays_overlap("slug", "body"), F.lit(False))).alias("slug_apart"), (~F.coalesce(F.arrays_overlap("title_terms", "body"), F.lit(False))).alias("title_apart"),
     )
     little = (F.col("terms") > 0) & (F.col("terms") <= p.few)
-    # Counts of a skeleton per host: summed before the shuffle, so a copy held by a third of all rows is one row a task.
-    counts = d.where(little).groupBy("host", "skeleton").agg(F.count("*").alias("copies")).where(F.col("copies") >= p.copies)
+    # Addresses of a skeleton per host, each once; texts without one count by their doc_id. Repeats are dropped before the shuffle.
+    counts = d.where(little).groupBy("host", "skeleton").agg(F.count_distinct(F.coalesce("url", F.concat(F.lit("#"), F.col("doc_id").cast("string")))).alias("copies")).where(F.col("copies") >= p.copies)
     seen = d.join(counts, ["host", "skeleton"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    told = F.when(F.col("has_slug"), F.coalesce("slug_apart", F.lit(True))).otherwise(~F.col("has_title") | ~F.col("more_than_title"))
+    told = F.col("slug_apart") & F.col("title_apart")
     canned = little & (F.col("copies") >= p.copies) & told
     named = [F.when(canned, F.lit("canned")), *[F.when(F.col(c), F.lit(c)) for c in ("error_page", "filler", "placeholder", "script_notice")]]
     reasons = F.concat_ws(",", *named)

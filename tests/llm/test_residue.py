@@ -55,3 +55,18 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert flags(spark, []) == {}
     clash = spark.createDataFrame([(1, "s", "404 Not Found")], SCHEMA).withColumns({"host": F.lit(1), "terms": F.lit("x"), "p": F.lit(0), "copies": F.lit(None)})
     assert [(r.doc_id, r.reasons) for r in residue.residue(clash).collect()] == [(1, "error_page")]
+
+
+def test_title_is_compared_with_the_body(spark):
+    canned = [(i, "s", "Harvest report\nTemporarily offline, try later") for i in range(4)]
+    echo = [(10 + i, "s", f"# Blue kettle {i}\nhttps://shop.test/blue-kettle-{i}\nNothing to see, sorry") for i in range(4)]
+    real = [(20 + i, "s", f"Harvest report {i}\nThis harvest was good") for i in range(4)]
+    got = flags(spark, canned + echo + real)
+    assert {i for i, (f, _) in got.items() if f} == {0, 1, 2, 3, 10, 11, 12, 13}
+
+
+def test_copies_are_different_addresses(spark):
+    one = [(i, "s", "https://shop.test/blue-kettle\nSorry, nothing here") for i in range(5)]
+    two = [(10 + i, "s", f"https://other.test/blue-kettle-{i}\nSorry, nothing here") for i in range(3)]
+    got = residue.residue(spark.createDataFrame(one + two, SCHEMA)).collect()
+    assert {r.doc_id: (r.residue, r.copies) for r in got} == {i: (False, 1) for i in range(5)} | {10 + i: (True, 3) for i in range(3)}
