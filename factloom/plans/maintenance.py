@@ -37,10 +37,12 @@ def _credibility(spark, d):
     return v.sources(spark, d).select("ns", F.col("external_id").alias("source_id"), beta.effective(F.col("labels"), F.col("alpha"), F.col("beta")).alias("credibility"))
 
 
-def _new_and_stored(spark, d):
+def _new_and_stored(spark, d, admitted=True):
+    """The batch (admitted=False: also what wasn't admitted, for the gate to judge) and the stored entries."""
     w = _writes(spark, d).select("write_id", "source_id").groupBy("write_id").agg(F.max("source_id").alias("source_id"))
     e = v.vectors(spark, d).join(w, "write_id")
-    return e.where(F.col("received_at") >= _batch()), e.where(F.col("received_at") < _batch())
+    new = e if admitted else v.vectors(spark, d, admitted=False).join(w, "write_id")
+    return new.where(F.col("received_at") >= _batch()), e.where(F.col("received_at") < _batch())
 
 
 def _admit(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +51,7 @@ def _admit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _admit_in_order(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = _new_and_stored(spark, d)
+    new, _ = _new_and_stored(spark, d, admitted=False)
     return ingest.admit_in_order(new, _credibility(spark, d))
 
 

@@ -53,9 +53,10 @@ def assertions(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("assertion_id").agg(*[F.max(c).alias(c) for c in a.columns[1:]])
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of the vector index: usable vectors of admitted write requests."""
-    w = table(spark, d, "write_requests").where(F.col("admitted") & usable(F.col("vector"), DIM))
+def vectors(spark: SparkSession, d: str, admitted: bool = True) -> DataFrame:
+    """Entries of the vector index: usable vectors of admitted write requests; admitted=False: of all write requests."""
+    w = table(spark, d, "write_requests").where(usable(F.col("vector"), DIM))
+    w = w.where("admitted") if admitted else w
     return w.select("write_id", "ns", uuid_key("node_id").alias("node_id"), F.col("vector").cast("array<double>").alias("vec"), "content", "received_at").dropDuplicates(["write_id"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import score
 from factloom.operators import compaction, epistemics, evaluation, graph, ingest, replication, retrieve, review, search, temporal
+from factloom.plans import maintenance
 from factloom.sources import store
 
 T0 = datetime(2025, 1, 1)
@@ -188,6 +189,16 @@ def test_admission_order(spark):
     assert [r.w for r in df.select(why.alias("w")).collect()] == ["low_credibility", "near_duplicate", "below_threshold", "admitted"]
 
 
+def test_admit_in_order_judges_what_was_not_admitted(spark, tmp_path):
+    row = lambda i, ok, x: (i, "x", "s", None, [x] * 63 + [1.0], "", ok, datetime(2025, 5, 2))
+    w = spark.createDataFrame([row(1, True, 0.0), row(2, False, 0.0), row(3, None, 1.0)], "write_id bigint, ns string, source_id string, node_id string, vector array<float>, content string, admitted boolean, received_at timestamp_ntz")
+    w.write.parquet(f"{tmp_path}/write_requests.parquet")
+    source = spark.createDataFrame([("i", "x", "s", [], 9.0, 1.0, T0)], "id string, ns string, external_id string, labels array<string>, alpha double, beta double, created_at timestamp_ntz")
+    source.selectExpr("*", "0L as claims_asserted", "0L as claims_validated", "0L as claims_refuted", "created_at as updated_at").write.parquet(f"{tmp_path}/sources.parquet")
+    got = maintenance.QUERIES["admit_in_order"](spark, str(tmp_path)).collect()
+    assert {r.write_id: r.reason for r in got} == {1: "admitted", 2: "near_duplicate", 3: "admitted"}
+
+
 def test_admit_in_order_sees_earlier_ones(spark):
     w = spark.createDataFrame([(1, "x", "s", [1.0, 0.0], T0), (2, "x", "s", [1.0, 0.01], T0 + timedelta(1)), (3, "x", "s", [0.0, 1.0], T0), (4, "y", "s", [1.0, 0.0], T0)], "write_id bigint, ns string, source_id string, vec array<double>, received_at timestamp_ntz")
     cred = spark.createDataFrame([("x", "s", 0.9)], "ns string, source_id string, credibility double")
