@@ -172,8 +172,12 @@ def _signatures(df: DataFrame, planes: np.ndarray, flips: int, schema: str) -> D
     return df.select("id", "scope", "vec").mapInArrow(run, schema)
 
 
-def topk_lsh(queries: DataFrame, rows: DataFrame, k: int, dim: int, tables: int = 12, bits: int = 10, flips: int = 4) -> DataFrame:
-    """Approximate topk: rows that share a signature of random hyperplanes with a query are scored exactly."""
+def topk_lsh(queries: DataFrame, rows: DataFrame, k: int, dim: int, tables: int = 48, bits: int = 10, flips: int = 10, exact: int = 1 << 17) -> DataFrame:
+    """Approximate topk: rows that share a signature of random hyperplanes with a query are scored exactly. Scopes of up to `exact` rows,
+    where that is cheaper, are searched by topk."""
+    big = rows.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > exact).select("scope")
+    few = topk(queries, rows.join(big, "scope", "left_anti"), k)
+    queries, rows = queries.join(big, "scope", "left_semi"), rows.join(big, "scope", "left_semi")
     planes = hyperplanes(dim, tables, bits)
     q = _signatures(queries, planes, flips, "id bigint, scope string, sig bigint").withColumnRenamed("id", "query")
     r = _signatures(rows, planes, 0, "id bigint, scope string, sig bigint").withColumnRenamed("id", "row")
@@ -188,4 +192,4 @@ def topk_lsh(queries: DataFrame, rows: DataFrame, k: int, dim: int, tables: int
 
     near = met.select("query", "row", "a", "b").mapInArrow(cosines, "query bigint, row bigint, similarity double").where("similarity > 0")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).unionByName(few)

@@ -162,6 +162,16 @@ def test_lsh_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("exact,least", [(0, 0.9), (1 << 17, 1.0)])
+def test_lsh_recall_at_10(spark, exact, least):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((800, 64)) + 0.6 * rng.standard_normal((20, 64)).repeat(40, 0)
+    q = x[::20] + 0.6 * rng.standard_normal((40, 64))
+    pairs = lambda df: {(r.query, r.row) for r in df.collect()}
+    true = pairs(search.topk(entries(spark, q), entries(spark, x), 10))
+    assert len(true & pairs(search.topk_lsh(entries(spark, q), entries(spark, x), 10, 64, exact=exact))) >= least * len(true) and len(true) == 400
+
+
 def test_first_independent_matches_greedy(spark):
     r = random.Random(7)
     for n, m in ((1, 0), (40, 60), (60, 30)):
