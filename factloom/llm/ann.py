@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.vector import usable
+
 
 #: Estimates held at a time, and pairs scored exactly at a time (64 dimensions: 32 MB a side).
 ESTIMATES, PAIRS = 1_000_000, 1 << 16
@@ -301,10 +303,13 @@ def similar(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.8
     can matter). Empty tables give an empty result. Recall, not precision, depends on the index."""
     spark = rows.sparkSession
     queries, rows = (df.where("id is not null and ns is not null and vector is not null").select("id", "ns", "vector") for df in (queries, rows))
-    n = rows.count()
+    fit = rows.where(usable(F.col("vector"), p.dim))
+    n = fit.count()
     part = min(1.0, 1.5 * p.sample / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) < int(part * (1 << 20))).select("vector").limit(p.sample)
+    drawn = fit.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) < int(part * (1 << 20))).select("vector").limit(p.sample)
     _, sample = matrix(drawn.toArrow().column("vector"), p.dim)
+    if n and not len(sample):
+        _, sample = matrix(fit.select("vector").limit(p.sample).toArrow().column("vector"), p.dim)
     if not len(sample):
         return spark.createDataFrame([], "query bigint, row bigint, cosine double")
     books = spark.sparkContext.broadcast(Codebooks(sample, p))

@@ -83,3 +83,11 @@ def test_codes_lower_the_error():
     _, greedy = ann.Codebooks(x.astype(np.float32), replace(P, beam=1)).encode(u, cell)
     err = lambda y: ((u - y) ** 2).sum(1).mean()
     assert err(coded) < 0.6 * err(c.cells[cell]) and err(coded) <= err(greedy) + 1e-9
+
+
+def test_few_usable_vectors_among_many_others(spark):
+    other = [(i, "x", [1.0, 2.0]) for i in range(2000)]
+    rows = spark.createDataFrame(other + [(3000, "x", [1.0] * 64)], "id bigint, ns string, vector array<float>")
+    queries = spark.createDataFrame([(1, "x", [1.0] * 64)], "id bigint, ns string, vector array<float>")
+    got = ann.similar(queries, rows, p=ann.Index(sample=16)).collect()
+    assert [(r.query, r.row) for r in got] == [(1, 3000)]
