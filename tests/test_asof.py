@@ -79,8 +79,22 @@ def test_orphans(spark):
     assert months == {("nodes", "2025-01"): 5, ("nodes", None): 1, ("sources", "2025-01"): 1}
 
 
-def test_latest_open_keeps_only_what_can_win():
-    s = timeline.LatestOpen()
-    for number, end in ((1, 100), (2, 50), (3, 80), (4, 10)):
-        s.change(number, end)
-    assert s.prune().at(5) == 4 and s.at(20) == 3 and s.at(90) == 1 and s.at(101) is None
+def test_found_rows_survive_a_union(spark):
+    """Which partition inherits what doesn't depend on where the result stands in a plan."""
+    versions = spark.createDataFrame([("x", A, n, hour(n), None, hour(0), "n") for n in range(1, 300)], VERSIONS)
+    events = spark.createDataFrame([(f"e{i}", "x", A, hour(i)) for i in range(1, 200)], EVENTS)
+    line = timeline.Line(asof._changes(asof.version_spans(versions)).unionByName(events.selectExpr("ns||'\x1f'||entity as k", "unix_micros(cast(at as timestamp)) as ts", "1 as kind", "event as tie"), allowMissingColumns=True))
+    got = line.counted(lambda kind, ts, c, top, has: kind == timeline.EVENT, ["tie"])
+    both = spark.range(7).selectExpr("'x' as tie", "id as c", "id as top").union(got).where("tie <> 'x'")
+    assert {(r.tie, r.c, r.top) for r in both.collect()} == {(f"e{i}", i, i) for i in range(1, 200)}
+
+
+def test_many_versions_of_one_entity(spark, monkeypatch):
+    """Blocks of changes: with small blocks, many are looked up above them."""
+    monkeypatch.setattr(timeline, "BLOCK", 3)
+    r = random.Random(9)
+    versions = [("x", A, n, hour(b), hour(b + r.choice([0, 1, 30, 3000])) if r.random() < 0.9 else None, hour(b), "n") for n in range(1, 400) for b in [r.randrange(3000)]]
+    events = [(f"e{i}", "x", A, hour(r.randrange(-5, 6000))) for i in range(500)]
+    want = {(e, best(versions, "x", A, t)) for e, _, _, t in events}
+    got = asof.versions_at_events(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS))
+    assert {(x.event, x.version_no) for x in got.collect()} == {w for w in want if w[1] is not None}
