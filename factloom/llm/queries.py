@@ -59,7 +59,11 @@ def p8_residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p6_ids": p6_ids, "p7_documents": p7_documents, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_residue": p8_residue}
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p6_ids": p6_ids, "p7_documents": p7_documents, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_residue": p8_residue, "p8_clean": p8_clean}
 _P3 = """WITH w AS (SELECT DISTINCT write_id, ns, CAST(vector AS DOUBLE[]) AS v FROM write_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 q AS (SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS v FROM retrieve_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 s AS (SELECT retrieve_id, write_id, max(list_cosine_similarity(q.v, w.v)) AS c FROM q JOIN w ON q.ns = w.ns GROUP BY 1, 2)
@@ -79,6 +83,8 @@ FROM assertions WHERE trim(claim_id) <> '' AND trim(source_id) <> ''),
 l AS (SELECT DISTINCT claim, source, t FROM a QUALIFY dense_rank() OVER (PARTITION BY claim, source ORDER BY asserted_at DESC NULLS LAST, assertion_id DESC, t DESC NULLS LAST) = 1),
 v AS (SELECT claim, source, CASE t WHEN 'supports' THEN 1 ELSE 0 END AS s FROM l WHERE t IN ('supports', 'contradicts'))"""
 SQL = {
+    "p8_residue": residue.sql(),
+    "p8_clean": f"SELECT DISTINCT doc_id FROM ({residue.sql()}) GROUP BY doc_id HAVING NOT bool_or(residue)",
     "p5_found": _P5,
     "p3_found": _P3,
     "p4_agreement": _POSITIONS + """, c AS (SELECT claim, count(*) AS n, sum(s) AS s FROM v GROUP BY claim HAVING count(*) >= 2),
