@@ -1,22 +1,28 @@
 """Evaluation texts leaking into training text (problem 7).
 
 Test questions and answers are normalised and cut into windows, one from every token on; all windows form one Aho-Corasick
-automaton, by which every corpus text is scanned once, in normal form, with hits mapped back to the original. Every run
-of a window's weight is found, wherever in the passage it begins; passages up to a window's weight are found
-whole or short of the word at either end (they are often cut off within it), but not below the least weight. Coverage tells how much of the item a text holds. A word weighs 2 and an ideograph 1, so scripts without blanks are treated alike.
-
-An evaluation set is bounded (Leak.chars, checked); above Leak.part its automaton is built in parts, so that one fits into a Python
-worker, and each part scans the texts.
+automaton, by which every corpus text is scanned once, in normal form, with hits mapped back to the original. A token is one
+letter of the automaton, so that its size goes by tokens. Every run of a window's weight is found, wherever
+in the passage it begins; passages up to a window's weight are found whole or short of the word at either end (they are often
+cut off within it). Passages lighter than the least weight, such as short answers, are looked for whole, and count where
+the text also holds a heavier window of the item; of an item that has none, all passages must be there. Coverage tells
+how much of the item a text holds. A word weighs 2 and an ideograph 1, so scripts without blanks are treated alike.
+
+An evaluation set is bounded (Leak.chars, checked). What a task needs of it is one broadcast; the results per text and per item are summed
+within the tasks, pairs are written only where they are the result. A set of more than Leak.tokens is scanned for in parts, each with some of the items.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,41 +30,59 @@ from pyspark.sql import functions as F
 
 from factloom.session import cut
 
-_UNBROKEN = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-_TOKEN = regex.compile(rf"[{_UNBROKEN}]|(?:(?![{_UNBROKEN}])[\p{{L}}\p{{M}}\p{{Nd}}])+")
-_SINGLE = regex.compile(rf"[{_UNBROKEN}]")
+#: Scripts without blanks between words: each letter is a token.
+UNBROKEN = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = r"[\p{L}\p{M}\p{Nd}]"
+_WORDS = regex.compile(f"{WORD}+")
+_MIXED = regex.compile(rf"(?={WORD})[{UNBROKEN}]|(?:(?![{UNBROKEN}]){WORD})+")
+_SINGLE = regex.compile(rf"[{UNBROKEN}]")
+#: Whether one of these scripts may occur, checked quickly: their blocks, all beyond.
+_MAYBE = re.compile("[฀-໿က-႟ក-៿⺀-꯿豈-\U0010ffff]")
+#: Letters of the automaton: code points but for surrogates; the first stands for tokens that no item has.
+_FIRST, _GAP, _LETTERS = 1, 0xD800, 0x10FFFF - 0x801
 
 
 @dataclass(frozen=True)
 class Leak:
-    """window: weight of a window. least: lightest passage, and lightest part of one, that is looked for."""
+    """window: weight of a window. least: lightest passage, and lightest part of one, that counts by itself. tokens: most tokens of an automaton
+    (some 40 bytes each in a Python worker). chars: most characters of the evaluation set's windows."""
 
     window: int = 16
     least: int = 10
-    part: int = 6_000_000
+    tokens: int = 12_000_000
     chars: int = 400_000_000
 
 
+def _pattern(text: str) -> regex.Pattern:
+    return _MIXED if _MAYBE.search(text) else _WORDS
+
+
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    low = text.lower()
+    return _pattern(low).findall(low)
 
 
 def _weights(words: list[str]) -> list[int]:
     return [1 if _SINGLE.match(w) else 2 for w in words]
 
 
-def windows(passage: str, p: Leak) -> list[str]:
-    """Windows of a passage in normal form, with a blank on both ends; none if the passage is too light."""
+def windows(passage: str, p: Leak) -> list[tuple[str, bool]]:
+    """Windows of a passage in normal form, with a blank on both ends, and whether it is a short one, which needs more evidence."""
     words = tokens(passage)
     ends = [0]
     for w in _weights(words):
         ends.append(ends[-1] + w)
+    if not words:
+        return []
+    if ends[-1] < p.least:
+        return [(f" {' '.join(words)} ", True)]
     size, out = p.window if ends[-1] > p.window else max(p.least, ends[-1] - 2), []
     for i, at in enumerate(ends):
         j = bisect.bisect_left(ends, at + size)
         if j == len(ends):
-            return list(dict.fromkeys(out))
-        out.append(f" {' '.join(words[i:j])} ")
+            break
+        out.append((f" {' '.join(words[i:j])} ", False))
+    return list(dict.fromkeys(out))
 
 
 def original_offset(text: str, at: int) -> int:
@@ -71,117 +95,218 @@ def original_offset(text: str, at: int) -> int:
     return len(text)
 
 
-_automata: dict[int, tuple[ahocorasick.Automaton, list[int], list[int]]] = {}
+class _Items:
+    """Test items in a Python worker: the automaton over their windows, and which items have which window."""
 
-
-def _automaton(name: int, blob: bytes) -> tuple[ahocorasick.Automaton, list[int], list[int]]:
-    """The automaton, the pattern ids and their numbers of tokens; one automaton at a time in a Python worker."""
-    if name not in _automata:
-        _automata.clear()
-        a, pids, sizes = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], []
+    def __init__(self, blob: bytes, p: Leak) -> None:
+        self.letters: dict[str, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        number: dict[str, int] = {}
+        ids, who, which, self.size, short = [], [], [], [], []
         for line in zlib.decompress(blob).decode().split("\n"):
-            pid, pattern = line.split("\t")
-            a.add_word(pattern, len(pids))
-            pids.append(int(pid))
-            sizes.append(pattern.count(" ") - 1)
-        a.make_automaton()
-        _automata[name] = a, pids, sizes
-    return _automata[name]
+            name, *patterns = line.split("\t")
+            for x in patterns:
+                n = number.setdefault(x, len(number))
+                if n == len(short):
+                    words = x[1:].split()
+                    for w in words:
+                        self.letters.setdefault(w, chr(len(self.letters) + _FIRST + 1 + (0x800 if len(self.letters) + _FIRST + 1 >= _GAP else 0)))
+                    self.automaton.add_word("".join(self.letters[w] for w in words), n)
+                    self.size.append(len(words))
+                    short.append(x[0] == "s")
+                who.append(len(ids))
+                which.append(n)
+            ids.append(int(name))
+        self.automaton.make_automaton()
+        self.ids, self.short = np.array(ids, np.int64), np.array(short, bool)
+        who, which = np.array(who, np.int64), np.array(which, np.int64)
+        self.total = np.bincount(who, minlength=len(ids))
+        self.heavy = np.bincount(who[~self.short[which]], minlength=len(ids)) > 0
+        order = np.argsort(which, kind="stable")
+        self.items, self.start = who[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(short)))])
+
+    def found(self, doc: int | None, text: str | None, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Items of which a text holds passages, their windows in it, and the offset of the first; `own`: not of the item of its number."""
+        if not text:
+            return None
+        low = text.lower()
+        pattern, get, none = _pattern(low), self.letters.get, chr(_FIRST)
+        first: dict[int, int] = {}
+        for end, n in self.automaton.iter("".join([get(w, none) for w in pattern.findall(low)])):
+            first.setdefault(n, end)
+        if not first:
+            return None
+        n = np.fromiter(first, np.int64, len(first))
+        if self.short[n].all() and self.heavy[self.items[self.start[n[0]] : self.start[n[0] + 1]]].all() and len(n) == 1:
+            return None
+        width = self.start[n + 1] - self.start[n]
+        at = np.repeat(np.array([first[i] + 1 - self.size[i] for i in n.tolist()]), width)
+        item = self.items[np.repeat(self.start[n] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        short = np.repeat(self.short[n], width)
+        items, index = np.unique(item, return_inverse=True)
+        count, long = np.bincount(index), np.bincount(index, ~short)
+        start = np.full(len(items), len(low))
+        np.minimum.at(start, index, at)
+        ok = (long > 0) | ~self.heavy[items] & (count == self.total[items])
+        if own:
+            ok &= self.ids[items] != (-1 if doc is None else doc)
+        if not ok.any():
+            return None
+        items, count, start = items[ok], count[ok], start[ok]
+        wanted = set(start.tolist())
+        spots = {i: m.start() for i, m in enumerate(pattern.finditer(low)) if i in wanted}
+        if len(low) != len(text):
+            spots = {i: original_offset(text, x) for i, x in spots.items()}
+        return items, count, np.array([spots[i] for i in start.tolist()])
+
+
+_held: dict[int, _Items] = {}
+
+
+def _of(name: int, blob: bytes, p: Leak) -> _Items:
+    """One set of items at a time in a Python worker."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = _Items(blob, p)
+    return _held[name]
 
 
 def _patterns(items: DataFrame, p: Leak) -> DataFrame:
-    """(item_id, passages, window count, pattern, pid) of each distinct passage window."""
+    """(item_id, line, tokens): of each item its number and distinct windows, those of short passages marked s, others w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            item, number, pattern, total = [], [], [], []
+            ids, lines, size = [], [], []
             for i, passages in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = dict.fromkeys(w for s in passages or [] if s for w in windows(s, p))
-                item += [i] * len(ws)
-                total += [len(ws)] * len(ws)
-                pattern += ws
-            yield pa.RecordBatch.from_pydict({"item_id": pa.array(item, pa.int64()), "total": pa.array(total, pa.int32()), "pattern": pa.array(pattern, pa.string())})
+                if ws and i is not None:
+                    ids.append(i)
+                    lines.append("\t".join([str(i), *[("s" if short else "w") + w for w, short in ws]]))
+                    size.append(sum(w.count(" ") - 1 for w, _ in ws))
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(ids, pa.int64()), "line": pa.array(lines, pa.string()), "tokens": pa.array(size, pa.int64())})
 
-    rows = items.groupBy("item_id").agg(F.flatten(F.collect_list("passages")).alias("passages"))
-    return rows.mapInArrow(run, "item_id bigint, total int, pattern string").withColumn("pid", F.xxhash64("pattern"))
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.explode("passages").alias("passage")).groupBy("item_id").agg(F.collect_set("passage").alias("passages"))
+    return rows.mapInArrow(run, "item_id bigint, line string, tokens bigint")
 
 
-def leaks(documents: DataFrame, items: DataFrame, p: Leak = Leak()) -> DataFrame:
-    """(doc_id, item_id, windows, coverage, first_at): documents that contain passages of a test item.
-
-    documents: doc_id, text. items: item_id bigint, passages array<string> (questions and answers). windows: distinct windows
-    of the item that the text contains; coverage: their share of the item's windows; first_at: offset of the
-    first in the original text, in code points. Null and empty texts and passages have no hits; repeated rows
-    count once; passages lighter than Leak.least aren't looked for; empty tables give an empty result."""
+def _scans(documents: DataFrame, items: DataFrame, p: Leak, own: bool, schema: str, rows) -> list[DataFrame]:
+    """Of each part of the items, what `rows` makes of (items, doc_id and text of a batch, found) over all documents."""
     spark = documents.sparkSession
     wanted = cut(_patterns(items, p))
-    chars = wanted.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0]
+    chars, size = wanted.agg(F.coalesce(F.sum(F.length("line")), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     if chars > p.chars:
         raise ValueError(f"the evaluation set's windows hold {chars} characters; Leak.chars allows {p.chars}: scan for its parts in turn")
-    n = max(1, -(-chars // p.part))
-    blobs: dict[int, bytes] = {}
+    n = max(1, -(-size // p.tokens), -(-size // _LETTERS) if size > 8 * _LETTERS else 1)
+    out = []
     for part in range(n):
-        lines = [f"{r.pid}\t{r.pattern}" for r in wanted.where(F.pmod("pid", F.lit(n)) == part).select("pid", "pattern").distinct().toLocalIterator()]
-        if lines:
-            blobs[part] = zlib.compress("\n".join(lines).encode(), 1)
-    empty = spark.createDataFrame([], "doc_id bigint, item_id bigint, windows bigint, coverage double, first_at bigint")
-    if not blobs:
-        return empty
-
-    def scan(part: int):
-        blob = spark.sparkContext.broadcast(blobs[part])
-        name = zlib.crc32(blobs[part])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a, pids, sizes = _automaton(name, blob.value)
+        lines = [r.line for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == part).select("line").toLocalIterator()]
+        if not lines:
+            continue
+        packed = zlib.compress("\n".join(sorted(lines)).encode(), 1)
+        blob, name = spark.sparkContext.broadcast(packed), zlib.crc32(packed)
+
+        def run(batches: Iterator[pa.RecordBatch], blob=blob, name=name) -> Iterator[pa.RecordBatch]:
+            held = None
             for b in batches:
-                doc, pid, at = [], [], []
-                for d, t in zip(b.column(0), b.column(1)):
-                    text = t.as_py()
-                    if not text:
-                        continue
-                    words = tokens(text)
-                    hits: dict[int, int] = {}
-                    for end, i in a.iter(f" {' '.join(words)} "):
-                        hits.setdefault(i, end)
-                    if not hits:
-                        continue
-                    ends = [0]  # of the blank before each token
-                    for w in words:
-                        ends.append(ends[-1] + len(w) + 1)
-                    low = text.lower()
-                    spots = [m.start() for m in _TOKEN.finditer(low)]
-                    for i, end in hits.items():
-                        first = bisect.bisect_left(ends, end) - sizes[i]
-                        doc.append(d.as_py())
-                        pid.append(pids[i])
-                        at.append(spots[first] if len(low) == len(text) else original_offset(text, spots[first]))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "pid": pa.array(pid, pa.int64()), "at": pa.array(at, pa.int64())})
-
-        return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, pid bigint, at bigint")
-
-    hits = None
-    for part in blobs:
-        one = scan(part)
-        hits = one if hits is None else hits.unionByName(one)
-    hits = hits.groupBy("doc_id", "pid").agg(F.min("at").alias("at"))
-    found = hits.join(wanted.select("pid", "item_id", "total").distinct(), "pid").groupBy("doc_id", "item_id")
-    return found.agg(F.count("*").alias("windows"), F.round(F.count("*") / F.max("total"), 6).alias("coverage"), F.min("at").alias("first_at"))
-
-
-def contamination(documents: DataFrame, items: DataFrame, p: Leak = Leak()) -> DataFrame:
-    """One row for each doc_id: items (test items of which it holds passages; 0 if none), windows, coverage of the item that it
-    covers most (ties: the least item_id), that item, and first_at of all."""
-    best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i")))
-    per = leaks(documents, items, p).groupBy("doc_id").agg(F.count("*").alias("items"), F.sum("windows").alias("windows"), best.alias("best"), F.min("first_at").alias("first_at"))
-    all_ = documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(per, "doc_id", "left")
-    none = F.lit(0).cast("bigint")
-    return all_.select("doc_id", F.coalesce("items", none).alias("items"), F.coalesce("windows", none).alias("windows"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), (-F.col("best.i")).alias("item_id"), "first_at")
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, p: Leak = Leak()) -> DataFrame:
-    """One row for each test item that leaked: documents that hold passages of it, and the largest coverage."""
-    return leaks(documents, items, p).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("coverage").alias("coverage"))
+                held = held or _of(name, blob.value, p)
+                docs = b.column(0).to_pylist()
+                yield from rows(held, docs, (held.found(d, t.as_py(), own) for d, t in zip(docs, b.column(1))))
+
+        out.append(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema))
+    return out
+
+
+def _coverage(held: _Items, items: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.round(count / held.total[items], 6)
+
+
+def leaks(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own: bool = False) -> DataFrame:
+    """(doc_id, item_id, windows, coverage, first_at): documents that contain passages of a test item.
+
+    documents: doc_id, text. items: item_id bigint, passages array<string> (questions and answers). windows: distinct windows
+    of the item that the text contains; coverage: their share of the item's windows; first_at: offset of the
+    first in the original text, in code points. With `own` a document isn't searched for the item of its own number. Null and empty texts
+    and passages have no hits; repeated rows count once (of several texts of one doc_id, that with the most windows counts);
+    empty tables give an empty result."""
+
+    def rows(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+        for d, f in zip(docs, found):
+            if f:
+                items, count, at = f
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(items), pa.int64()), pa.array(held.ids[items]), pa.array(count, pa.int64()), pa.array(_coverage(held, items, count)), pa.array(at, pa.int64())], ["doc_id", "item_id", "windows", "coverage", "first_at"])
+
+    schema = "doc_id bigint, item_id bigint, windows bigint, coverage double, first_at bigint"
+    scans = _scans(documents, items, p, own, schema, _joined(rows))
+    if not scans:
+        return documents.sparkSession.createDataFrame([], schema)
+    best = F.max(F.struct("windows", "coverage", (-F.col("first_at")).alias("at"))).alias("b")
+    return reduce(DataFrame.unionByName, scans).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.windows", "b.coverage", (-F.col("b.at")).alias("first_at"))
+
+
+def _joined(rows):
+    """Small batches joined to one for each batch of documents."""
+
+    def run(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in rows(held, docs, found):
+            parts.append(b)
+            n += b.num_rows
+            if n > 100_000:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts, n = [], 0
+        if parts:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    return run
+
+
+def contamination(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own: bool = False) -> DataFrame:
+    """One row for each doc_id: items (test items of which it holds passages; 0 if none), windows (of each item), coverage of the item that it
+    covers most (ties: the least item_id), that item, and first_at of all. Summed text by text, without pairs. Odd rows as in leaks."""
+
+    def rows(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for d, f in zip(docs, found):
+            if f:
+                items, count, at = f
+                cover = _coverage(held, items, count)
+                top = cover.max()
+                out.append((d, len(items), int(count.sum()), float(top), int(held.ids[items[cover == top]].min()), int(at.min())))
+            else:
+                out.append((d, 0, 0, 0.0, None, None))
+        cols = list(zip(*out)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2)], ["doc_id", "items", "windows", "coverage", "item_id", "first_at"])
+
+    scans = _scans(documents, items, p, own, "doc_id bigint, items bigint, windows bigint, coverage double, item_id bigint, first_at bigint", rows)
+    if not scans:
+        none = F.lit(None).cast("bigint")
+        return documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().select("doc_id", F.lit(0).cast("bigint").alias("items"), F.lit(0).cast("bigint").alias("windows"), F.lit(0.0).alias("coverage"), none.alias("item_id"), none.alias("first_at"))
+    best = F.max(F.struct("windows", "items", "coverage", (-F.col("item_id")).alias("i"), (-F.col("first_at")).alias("at"))).alias("b")
+    each = [s.groupBy("doc_id").agg(best).select("doc_id", "b.*") for s in scans]
+    top = F.max(F.struct("coverage", "i"))
+    t = reduce(DataFrame.unionByName, each).groupBy("doc_id").agg(F.sum("items").alias("items"), F.sum("windows").alias("windows"), top.alias("t"), F.max("at").alias("at"))
+    return t.select("doc_id", "items", "windows", "t.coverage", (-F.col("t.i")).alias("item_id"), (-F.col("at")).alias("first_at"))
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own: bool = False) -> DataFrame:
+    """One row for each test item that leaked: documents that hold passages of it, and the largest coverage. Summed within
+    the tasks, without pairs. A doc_id with several texts counts once for each of them; other odd rows as in leaks."""
+
+    def rows(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+        n, cover = np.zeros(len(held.ids), np.int64), np.zeros(len(held.ids))
+        for f in found:
+            if f:
+                items, count, _ = f
+                n[items] += 1
+                cover[items] = np.maximum(cover[items], _coverage(held, items, count))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held.ids[some]), pa.array(n[some]), pa.array(cover[some])], ["item_id", "documents", "coverage"])
+
+    schema = "item_id bigint, documents bigint, coverage double"
+    scans = _scans(documents.select("doc_id", "text").distinct(), items, p, own, schema, rows)
+    if not scans:
+        return documents.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, scans).groupBy("item_id").agg(F.sum("documents").alias("documents"), F.max("coverage").alias("coverage"))
 
 
 def stored_queries(documents: DataFrame) -> DataFrame:
@@ -189,5 +314,24 @@ def stored_queries(documents: DataFrame) -> DataFrame:
     the questions, its comment lines the answers."""
     q = documents.where("doc_kind = 'query' and text is not null")
     asked = F.regexp_extract_all("text", F.lit(r'(?:search|FIND) "([^"\n]*)"'), F.lit(1))
-    answers = F.regexp_extract_all("text", F.lit(r"(?m)^-- (.*)$"), F.lit(1))
+    answers = F.regexp_extract_all("text", F.lit(r"(?:^|\n)-- ([^\n]*)"), F.lit(1))
     return q.select(F.col("doc_id").alias("item_id"), F.concat(asked, answers).alias("passages"))
+
+
+def sql(result: str, p: Leak = Leak()) -> str:
+    """The stored queries' leaks in DuckDB's SQL, every window looked for in every text: `result` selects from `leaks`."""
+    split = lambda x: rf"regexp_extract_all(regexp_replace(lower({x}), '([{UNBROKEN}])', ' \1 ', 'g'), '{WORD}+')"
+    return rf"""WITH t AS (SELECT DISTINCT doc_id, ' ' || array_to_string({split("text")}, ' ') || ' ' AS norm FROM documents WHERE text <> ''),
+q AS (SELECT DISTINCT doc_id AS item_id, unnest(list_concat(regexp_extract_all(text, '(?:search|FIND) "([^"\n]*)"', 1), regexp_extract_all(text, '(?:^|\n)-- ([^\n]*)', 1))) AS passage FROM documents WHERE doc_kind = 'query' AND text IS NOT NULL),
+w AS (SELECT DISTINCT item_id, {split("passage")} AS words FROM q),
+e AS (SELECT item_id, words, list_transform(range(len(words) + 1), lambda i: coalesce(list_sum(list_transform(words[1:i], lambda x: CASE WHEN regexp_matches(x, '^[{UNBROKEN}]') THEN 1 ELSE 2 END)), 0)) AS ends FROM w WHERE len(words) > 0),
+z AS (SELECT *, ends[-1] AS total, CASE WHEN ends[-1] < {p.least} THEN ends[-1] WHEN ends[-1] > {p.window} THEN {p.window} ELSE greatest({p.least}, ends[-1] - 2) END AS size FROM e),
+i AS (SELECT *, unnest(range(len(words))) AS i FROM z),
+j AS (SELECT *, list_filter(range(len(ends)), lambda j: ends[j + 1] >= ends[i + 1] + size)[1] AS j FROM i),
+pat AS (SELECT DISTINCT item_id, total < {p.least} AS short, ' ' || array_to_string(words[i + 1:j], ' ') || ' ' AS pattern FROM j WHERE j IS NOT NULL AND (i = 0 OR total >= {p.least})),
+item AS (SELECT item_id, count(*) AS n, bool_or(NOT short) AS heavy FROM pat GROUP BY 1),
+one AS (SELECT DISTINCT pattern FROM pat),
+hit AS (SELECT t.doc_id, one.pattern FROM t JOIN one ON contains(t.norm, one.pattern)),
+found AS (SELECT doc_id, item_id, count(*) AS windows FROM hit JOIN pat USING (pattern) JOIN item USING (item_id) WHERE doc_id <> item_id GROUP BY doc_id, item_id, n, heavy HAVING bool_or(NOT short) OR (NOT heavy AND count(*) = n)),
+leaks AS (SELECT doc_id, item_id, windows, round(windows / n, 6) AS coverage FROM found JOIN item USING (item_id))
+{result}"""

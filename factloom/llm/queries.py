@@ -38,21 +38,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus_and_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The stored queries are the test items, all other documents the corpus."""
+    """All documents are the corpus; the stored queries among them are the test items, each looked for in all other documents."""
     docs = table(spark, d, "documents").select("doc_id", "text", "doc_kind")
-    return docs.where("doc_kind is distinct from 'query'"), leakage.stored_queries(docs)
+    return docs, leakage.stored_queries(docs)
 
 
 def p7_documents(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.contamination(*_corpus_and_items(spark, d))
+    return leakage.contamination(*_corpus_and_items(spark, d), own=True).select("doc_id", "items", "windows", "coverage", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_items(*_corpus_and_items(spark, d))
+    return leakage.leaked_items(*_corpus_and_items(spark, d), own=True)
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(*_corpus_and_items(spark, d))
+    return leakage.leaks(*_corpus_and_items(spark, d), own=True).select("doc_id", "item_id", "windows", "coverage")
 
 
 def p8_residue(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,14 @@ FROM assertions WHERE trim(claim_id) <> '' AND trim(source_id) <> ''),
 l AS (SELECT DISTINCT claim, source, t FROM a QUALIFY dense_rank() OVER (PARTITION BY claim, source ORDER BY asserted_at DESC NULLS LAST, assertion_id DESC, t DESC NULLS LAST) = 1),
 v AS (SELECT claim, source, CASE t WHEN 'supports' THEN 1 ELSE 0 END AS s FROM l WHERE t IN ('supports', 'contradicts'))"""
 SQL = {
+    "p7_leaks": leakage.sql("SELECT doc_id, item_id, windows, coverage FROM leaks"),
+    "p7_items": leakage.sql("SELECT item_id, count(*) AS documents, max(coverage) AS coverage FROM leaks GROUP BY 1"),
+    "p7_documents": leakage.sql(
+        """, per AS (SELECT doc_id, count(*) AS items, CAST(sum(windows) AS BIGINT) AS windows, max(coverage) AS coverage FROM leaks GROUP BY 1),
+best AS (SELECT leaks.doc_id, min(item_id) AS item_id FROM leaks JOIN per ON leaks.doc_id = per.doc_id AND leaks.coverage = per.coverage GROUP BY 1)
+SELECT d.doc_id, coalesce(per.items, 0) AS items, coalesce(per.windows, 0) AS windows, coalesce(per.coverage, 0) AS coverage, best.item_id
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN best ON d.doc_id = best.doc_id"""
+    ),
     "p8_residue": residue.sql(),
     "p8_clean": f"SELECT DISTINCT doc_id FROM ({residue.sql()}) GROUP BY doc_id HAVING NOT bool_or(residue)",
     "p5_found": _P5,

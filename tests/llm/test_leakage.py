@@ -12,13 +12,14 @@ P = leakage.Leak()
 
 
 def brute(docs, items, p=P):
+    """Every window looked for in every text; short passages need a heavier window of the item, or all of an item that has none."""
     out = {}
     for d, t in docs:
         norm = f" {' '.join(leakage.tokens(t or ''))} "
         for i, passages in items:
             ws = {w for s in passages or [] if s for w in leakage.windows(s, p)}
-            hits = {w for w in ws if w in norm}
-            if hits:
+            hits = {w for w in ws if w[0] in norm}
+            if any(not short for _, short in hits) or hits and hits == ws:
                 out[d, i] = (len(hits), round(len(hits) / len(ws), 6))
     return out
 
@@ -28,12 +29,12 @@ def found(spark, docs, items, p=P):
     return {(r.doc_id, r.item_id): (r.windows, r.coverage) for r in got.collect()}
 
 
-@pytest.mark.parametrize("part", [6_000_000, 300])
+@pytest.mark.parametrize("part", [6_000_000, 1500])
 def test_matches_brute_force(spark, part):
     r = random.Random(1)
     v = [f"word{i}" for i in range(50)] + ["人", "信", "頼", "版"]
     say = lambda n: " ".join(r.choice(v) for _ in range(n))
-    items = [(i, [say(r.randrange(3, 40)), say(6)]) for i in range(30)]
+    items = [(i, [say(r.randrange(3, 40)), say(6), say(r.randrange(1, 4))]) for i in range(30)] + [(100 + i, [say(2), say(1)]) for i in range(4)]
     docs = []
     for d in range(60):
         text = say(80)
@@ -42,14 +43,19 @@ def test_matches_brute_force(spark, part):
             a = r.randrange(len(words))
             text += ", " + "; ".join(words[a : a + 20]).upper() + ". " + say(5)
         docs.append((d, text))
-    p = leakage.Leak(part=part)
+    p = leakage.Leak(tokens=part)
     want = brute(docs, items, p)
     assert len(want) >= 10 and found(spark, docs, items, p) == want
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    per_doc = {r.doc_id: (r["items"], r.windows, r.coverage) for r in leakage.contamination(d, i, p).collect()}
+    assert per_doc == {n: (sum(k[0] == n for k in want), sum(v[0] for k, v in want.items() if k[0] == n), max([v[1] for k, v in want.items() if k[0] == n], default=0)) for n, _ in docs}
+    per_item = {r.item_id: (r.documents, r.coverage) for r in leakage.leaked_items(d, i, p).collect()}
+    assert per_item == {k: (sum(x[1] == k for x in want), max(v[1] for x, v in want.items() if x[1] == k)) for k in {x[1] for x in want}}
 
 
 def test_runs_of_one_and_a_half_windows_are_found():
     words = [f"w{i}" for i in range(40)]
-    ws = leakage.windows(" ".join(words), P)
+    ws = [w for w, _ in leakage.windows(" ".join(words), P)]
     for a in range(40 - 12):
         text = f" x {' '.join(words[a : a + 12])} y "
         assert any(w in text for w in ws), a
@@ -73,7 +79,7 @@ def test_offsets_are_of_the_original(spark):
 
 def test_odd_inputs(spark):
     docs = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, "one two three four fivesix"), (5, "x " * 60000 + "one two, three: four five six")]
-    items = [(1, ["One two three; four five"]), (1, ["One two three; four five"]), (2, ["one two"]), (3, None), (4, []), (5, [None, "", "..."])]
+    items = [(1, ["One two three; four five"]), (1, ["One two three; four five"]), (2, ["one two", "and"]), (3, None), (4, []), (5, [None, "", "..."])]
     assert found(spark, docs, items) == {(3, 1): (1, 1.0), (5, 1): (1, 1.0)}
     assert found(spark, [], items) == {} and found(spark, docs, []) == {}
 
@@ -91,3 +97,38 @@ def test_stored_queries(spark):
     text = 'search "one two" | top 3\n-- a comment;\nFIND "three four" IN NAMESPACE x LIMIT 2'
     df = spark.createDataFrame([(1, text, "query"), (2, text, "digest"), (3, None, "query")], "doc_id bigint, text string, doc_kind string")
     assert [(r.item_id, r.passages) for r in leakage.stored_queries(df).collect()] == [(1, ["one two", "three four", "a comment;"])]
+
+
+def test_short_answers_need_their_question(spark):
+    question = "which river runs past the old mill of Gaklun"
+    items = [(1, [question, "the Bamus"]), (2, ["forty two"]), (3, ["yes", "no way"])]
+    docs = [(1, f"Quiz: {question}? The Bamus."), (2, "They crossed the Bamus at dawn."), (3, "Forty-two of them, yes."), (4, "No way, yes!"), (5, question)]
+    want = {(1, 1): 1.0, (3, 2): 1.0, (4, 3): 1.0}
+    got = found(spark, docs, items)
+    assert {k: c for k, (_, c) in got.items() if k != (5, 1)} == want and 0 < got[5, 1][1] < 1
+
+
+def test_own_number(spark):
+    text = "which river runs past the old mill of Gaklun"
+    docs, items = spark.createDataFrame([(1, text), (2, text), (None, text)], DOCS), spark.createDataFrame([(1, [text])], ITEMS)
+    assert {r.doc_id for r in leakage.leaks(docs, items, own=True).collect()} == {2, None}
+    assert {r.doc_id: r["items"] for r in leakage.contamination(docs, items, own=True).collect()} == {1: 0, 2: 1, None: 1}
+    assert [r.documents for r in leakage.leaked_items(docs, items, own=True).collect()] == [2]
+
+
+def test_planted_leaks_among_real_texts(spark, data):
+    """Whole and partial passages planted into real documents: all come out, and nothing else of their items."""
+    r = random.Random(3)
+    real = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(i, [" ".join(f"{r.choice('bcdfgklm')}{r.choice('aeiou')}{r.choice('nrst')}{r.randrange(99)}" for _ in range(r.randrange(10, 40)))]) for i in range(40)]
+    planted = {}
+    docs = dict(real)
+    for i, (words,) in items:
+        words = words.split()
+        d = r.choice([k for k, t in real if t])
+        n = len(words) if i % 2 else max(8, len(words) // 3)
+        a = r.randrange(len(words) - n + 1)
+        docs[d] += "\n" + " — ".join(words[a : a + n]).title()
+        planted[d, i] = i % 2
+    got = found(spark, list(docs.items()), items)
+    assert set(got) == set(planted) and all(got[k][1] == 1.0 for k, whole in planted.items() if whole)
