@@ -12,8 +12,9 @@ rows or queries are split into blocks, each pair of blocks being a group of its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +30,36 @@ ESTIMATES, PAIRS = 1_000_000, 1 << 16
 
 @dataclass(frozen=True)
 class Index:
-    """Parameters. sample: most vectors that the codebooks are fitted on. cells, words: codewords of the first and of each residual
-    codebook. levels: residual codebooks. beam: width of the beam search. assign, near: a vector lies in up to so
+    """Parameters. cells: fewest codewords of the first codebook; above, they are `grow` times the square root of the rows, up to `most`, so
+    that a query meets a number of rows that grows as this root. sample: vectors that the codebooks are fitted on, or `each` for
+    each cell, if that is more: 131,072 at most. words: codewords of each residual codebook. levels: residual codebooks. beam: width of the beam search. assign, near: a vector lies in up to so
     many cells whose cosine is within `near` of its best cell's. probes, reach: the same of a query. margin: standard deviations
     of the coding error that an estimate may be short. block: most rows or queries of a group."""
 
     dim: int = 64
-    sample: int = 16384
-    cells: int = 1024
+    sample: int = 32768
+    cells: int = 4096
+    grow: float = 5.0
+    most: int = 16384
+    each: int = 8
     words: int = 64
     levels: int = 8
     beam: int = 4
     rounds: int = 8
+    refits: int = 2
     assign: int = 3
     near: float = 0.1
-    probes: int = 12
-    reach: float = 0.15
-    margin: float = 3.0
+    probes: int = 16
+    reach: float = 0.2
+    margin: float = 3.5
     block: int = 20000
     seed: int = 7
 
+    def of(self, rows: int) -> Index:
+        """These parameters for so many rows."""
+        cells = max(self.cells, min(self.most, round(self.grow * math.sqrt(rows))))
+        return replace(self, cells=cells, sample=max(self.sample, self.each * cells))
+
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and values of the usable vectors of an array column: dim elements, all finite, not all zero."""
@@ -107,6 +118,20 @@ class Codebooks:
             c[0] = 0
             self.residual.append(c)
             left = left - c[(left @ c.T - 0.5 * (c * c).sum(1)).argmax(1)]
+        for _ in range(p.refits):
+            self._refit(x, best)
+
+    def _refit(self, x: np.ndarray, cell: np.ndarray) -> None:
+        """All residual codebooks at once, by least squares over the sample's beam-searched codes; the zero words stay."""
+        at = np.cumsum([0, *[len(c) for c in self.residual]])
+        codes = np.concatenate([self.encode(x[i : i + 4096], cell[i : i + 4096])[0] for i in range(0, len(x), 4096)]) + at[:-1]
+        a = np.zeros((len(x), at[-1]), np.float32)
+        np.put_along_axis(a, codes, 1, 1)
+        a[:, at[:-1]] = 0
+        left = x - self.cells[cell]
+        words = np.linalg.solve((a.T @ a).astype(np.float64) + 0.1 * np.eye(at[-1]), (a.T @ left).astype(np.float64)).astype(np.float32)
+        words[at[:-1]] = 0
+        self.residual = [words[i:j] for i, j in zip(at, at[1:])]
 
     def nearest(self, x: np.ndarray, most: int, within: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cells: of each unit vector up to `most` cells whose cosine is within `within` of the best."""
@@ -305,6 +330,7 @@ def similar(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.8
     queries, rows = (df.where("id is not null and ns is not null and vector is not null").select("id", "ns", "vector") for df in (queries, rows))
     fit = rows.where(usable(F.col("vector"), p.dim))
     n = fit.count()
+    p = p.of(n)
     part = min(1.0, 1.5 * p.sample / max(n, 1))
     drawn = fit.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) < int(part * (1 << 20))).select("vector").limit(p.sample)
     _, sample = matrix(drawn.toArrow().column("vector"), p.dim)

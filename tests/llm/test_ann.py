@@ -91,3 +91,27 @@ def test_few_usable_vectors_among_many_others(spark):
     queries = spark.createDataFrame([(1, "x", [1.0] * 64)], "id bigint, ns string, vector array<float>")
     got = ann.similar(queries, rows, p=ann.Index(sample=16)).collect()
     assert [(r.query, r.row) for r in got] == [(1, 3000)]
+
+
+def test_cells_grow_with_the_rows():
+    p = ann.Index()
+    assert [p.of(n).cells for n in (0, 10**5, 10**6, 10**8)] == [4096, 4096, 5000, 16384]
+    assert p.of(10**8).sample == 131072 and p.of(10).sample == 32768
+
+
+def test_recall_with_production_parameters(spark):
+    """All requests against all writes of the larger tables, as p3_found has them."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    read = lambda t, i: spark.read.parquet(f"{folder}/{t}.parquet").selectExpr(f"{i} as id", "ns", "vector").where("ns is not null").dropDuplicates(["id"])
+    w, q = read("write_requests", "write_id"), read("retrieve_requests", "retrieve_id")
+    found = pairs(ann.similar(q, w))
+    want = set()
+    (wi, wn, wx), (qi, qn, qx) = ((r.column("id").to_numpy()[at], np.array(r.column("ns").to_pylist())[at], x) for r in (w.toArrow(), q.toArrow()) for at, x in [ann.matrix(r.column("vector"), 64)])
+    for ns in set(wn):
+        a, b = np.flatnonzero(wn == ns), np.flatnonzero(qn == ns)
+        want |= {(int(qi[b[i]]), int(wi[a[j]])) for i, j in brute(qx[b], wx[a], 10, 0.85)}
+    assert len(want) > 15000 and len(found & want) >= 0.999 * len(want) and len(found - want) <= 0.001 * len(want)
