@@ -34,7 +34,7 @@ class Index:
     that a query meets a number of rows that grows as this root. sample: vectors that the codebooks are fitted on, or `each` for
     each cell, if that is more: 131,072 at most. words: codewords of each residual codebook. levels: residual codebooks. beam: width of the beam search. assign, near: a vector lies in up to so
     many cells whose cosine is within `near` of its best cell's. probes, reach: the same of a query. margin: standard deviations
-    of the coding error that an estimate may be short. block: most rows or queries of a group."""
+    of the coding error that an estimate may be short. apart: largest cosine of two cells. block: most rows or queries of a group."""
 
     dim: int = 64
     sample: int = 32768
@@ -52,6 +52,7 @@ class Index:
     probes: int = 16
     reach: float = 0.2
     margin: float = 3.5
+    apart: float = 0.95
     block: int = 20000
     seed: int = 7
 
@@ -102,6 +103,15 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheric
     return c.astype(np.float32)
 
 
+def _apart(c: np.ndarray, most: float) -> np.ndarray:
+    """Codewords of which no two have a larger cosine: a crowd of near copies is one cell, split by blocks, not many that tell nothing."""
+    keep = np.ones(len(c), bool)
+    for i in range(len(c)):
+        if keep[i]:
+            keep[i + 1 :] &= c[i + 1 :] @ c[i] <= most
+    return c[keep]
+
+
 class Codebooks:
     """First codebook (unit cells) and residual codebooks; one word of each of these is zero."""
 
@@ -109,7 +119,7 @@ class Codebooks:
         rng = np.random.default_rng(p.seed)
         x = unit(np.unique(sample, axis=0))
         self.p = p
-        self.cells = _means(x, min(p.cells, len(x)), p.rounds, rng, True)
+        self.cells = _apart(_means(x, min(p.cells, len(x)), p.rounds, rng, True), p.apart)
         best = (x @ self.cells.T).argmax(1)
         left = x - self.cells[best]
         self.residual = []
