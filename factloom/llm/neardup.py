@@ -8,8 +8,12 @@ parity sketch, which can't lose a pair, and then by the word sets. Nothing depen
 
 Variants are shuffled packed: a few binary rows of byte planes instead of millions of small rows. A variant that more
 than `crowd` texts share is extended by a third word (sets of this similarity share three of their first L + 1 words), and the
-texts that meet in the longer variant are compared by their sketches, block by block. The pairs of words of a very long text
-would be too many: pairs of sets of `long` words or more meet in single words, of which sets share one of their first L - 1.
+texts that meet in the longer variant are compared by their sketches; where more than `block` texts meet, each pair of blocks of them is
+a row of its own, for any task. The pairs of words of a very long text would be too many: two sets of `long` words or more meet in single
+words, of which sets share one of their first L - 1. This, too, is exact.
+
+A fingerprint of a fixed number of bits, with flipped bits as its variants, can't give this result: at a similarity of 0.7, word sets of n words
+may differ in 0.35 n words, so the radius grows with the text; the README has figures. Hence the variable length and variants by deletion.
 """
 
 from __future__ import annotations
@@ -39,15 +43,16 @@ BITS = 40
 class Ball:
     """similarity: least shared part of the words. least_words: shorter texts aren't compared. table: buckets of the word counts
     that order words (a fixed size). crowd: most texts of a variant that are compared without a third word. entries: of a
-    packed partition. sent: most crowded variants sent to the tasks; if there are more, every variant counts as crowded.
-    long: from so many words on both, sets meet in single words."""
+    packed partition. bits: of the table by which tasks know crowded variants (a fixed size; what it shows besides is only extended
+    needlessly). block: texts of a longer variant that are compared in one piece. long: from so many words on both, sets meet in single words."""
 
     similarity: Fraction = Fraction(7, 10)
     least_words: int = 8
     table: int = 1 << 16
     crowd: int = 256
     entries: int = 1_500_000
-    sent: int = 4_000_000
+    bits: int = 1 << 27
+    block: int = 8192
     long: int = 400
 
     def prefix(self, n: int, shared: int) -> int:
@@ -175,16 +180,16 @@ def _single(n: np.ndarray, h: np.ndarray, p: Ball) -> tuple[np.ndarray, np.ndarr
     return np.repeat(some, length), _mix(h[at] ^ U(0x6A09E667F3BCC909)) & LOW48
 
 
-def _longer(i: int, n: int, h: np.ndarray, crowded: np.ndarray | None, p: Ball) -> np.ndarray:
+def _longer(i: int, n: int, h: np.ndarray, crowded: np.ndarray, p: Ball) -> np.ndarray:
     """Keys of set i's crowded variants with a third word. h: the set's words in the common order."""
     if n * p.similarity >= p.long:
         return np.zeros(0, U)
     two, three = p.prefix(n, 2), p.prefix(n, 3)
     x, y = np.triu_indices(two, 1)
     with np.errstate(over="ignore"):
-        if crowded is not None:
-            hit = np.isin(_mix(h[x] + h[y]) & LOW48, crowded)
-            x, y = x[hit], y[hit]
+        at = (_mix(h[x] + h[y]) & U(p.bits - 1)).astype(np.int64)
+        hit = (crowded[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        x, y = x[hit], y[hit]
         z = np.arange(three)
         free = (z[None, :] != x[:, None]) & (z[None, :] != y[:, None])
         row, third = np.nonzero(free)
@@ -229,10 +234,6 @@ def _close(a: np.ndarray, b: np.ndarray, p: Ball) -> np.ndarray:
     return (apart * more <= less * (x + y)) & (s.numerator * np.maximum(x, y) <= s.denominator * np.minimum(x, y))
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
-
-
 def _compare(key: np.ndarray, who: np.ndarray, tag: np.ndarray, most: int | None, p: Ball) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that meet and are close, of sorted entries; of groups of more than `most` entries none."""
     start, size = _runs(key)
@@ -260,40 +261,100 @@ def _compare(key: np.ndarray, who: np.ndarray, tag: np.ndarray, most: int | None
                 yield w[u[ok] + i], w[v[ok] + z]
 
 
+_MET = "a bigint, b bigint, key bigint, x binary, y binary"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    n = max(map(len, columns.values()))
+    types = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "x": pa.binary(), "y": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], [*types])
+
+
+def _unique(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different texts, the smaller id first, each once in a batch."""
+    kept, held = [], 0
+    for u, v in found:
+        ok = u != v
+        kept.append(np.stack([np.minimum(u[ok], v[ok]), np.maximum(u[ok], v[ok])], 1))
+        held += len(kept[-1])
+        if held > 1_000_000:
+            x = np.unique(np.concatenate(kept), axis=0)
+            yield _rows(a=x[:, 0].copy().view(np.int64), b=x[:, 1].copy().view(np.int64))
+            kept, held = [], 0
+    if held:
+        x = np.unique(np.concatenate(kept), axis=0)
+        yield _rows(a=x[:, 0].copy().view(np.int64), b=x[:, 1].copy().view(np.int64))
+
+
+def _blocks(who: np.ndarray, tag: np.ndarray, p: Ball) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of one large group, by size; of which none reaches the similarity by size, none."""
+    order = np.argsort(tag >> U(BITS), kind="stable")
+    raw = np.stack([who[order], tag[order]], 1)
+    n = (raw[:, 1] >> U(BITS)).astype(np.int64)
+    starts = range(0, len(raw), p.block)
+    for i in starts:
+        for j in starts:
+            if j >= i and n[j] * p.similarity <= n[min(i + p.block, len(raw)) - 1]:
+                yield _rows(x=[raw[i : i + p.block].tobytes()], y=[raw[j : j + p.block].tobytes()])
+
+
 def _meetings(packed: DataFrame, partitions: int, most: int | None, p: Ball) -> DataFrame:
-    """(a, b): pairs of texts that meet and are close; with `most`, also (key, null) of larger groups."""
+    """(a, b): pairs of texts that meet and are close; with `most`, also the key of each larger group; else, pairs (x, y) of blocks of each
+    group of more than Ball.block texts."""
+
+    def meet(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, who, tag = _unpack(blobs, [KEY, ID, TAG])
+        order = np.argsort(key, kind="stable")
+        key, who, tag = key[order], who[order], tag[order]
+        start, size = _runs(key)
+        if most is not None:
+            yield _rows(key=key[start[size > most]].view(np.int64))
+        else:
+            for a, m in zip(start[size > p.block].tolist(), size[size > p.block].tolist()):
+                yield from _blocks(who[a : a + m], tag[a : a + m], p)
+        yield from _unique(_compare(key, who, tag, p.block if most is None else most, p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for b in batches:
+            for pid, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if pid != now:
+                    if blobs:
+                        yield from meet(blobs)
+                    now, blobs = pid, []
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from meet(blobs)
+
+    return packed.repartition(partitions, "pid").sortWithinPartitions("pid").mapInArrow(run, _MET)
+
+
+def _between(blocks: DataFrame, partitions: int, p: Ball) -> DataFrame:
+    """(a, b): close pairs within pairs of blocks, spread over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_pid: dict[int, list[bytes]] = {}
         for b in batches:
-            for pid, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_pid.setdefault(pid, []).append(blob)
-        for pid in [*by_pid]:
-            key, who, tag = _unpack(by_pid.pop(pid), [KEY, ID, TAG])
-            order = np.argsort(key, kind="stable")
-            key, who, tag = key[order], who[order], tag[order]
-            if most is not None:
-                start, size = _runs(key)
-                crowded = key[start[size > most]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.int64())], ["a", "b"])
-            found, held = [], 0
-            for u, v in _compare(key, who, tag, most, p):
-                ok = u != v
-                found.append(np.stack([np.minimum(u[ok], v[ok]), np.maximum(u[ok], v[ok])], 1))
-                held += len(found[-1])
-                if held > 1_000_000:
-                    x = np.unique(np.concatenate(found), axis=0)
-                    yield _pairs(x[:, 0].copy(), x[:, 1].copy())
-                    found, held = [], 0
-            if held:
-                x = np.unique(np.concatenate(found), axis=0)
-                yield _pairs(x[:, 0].copy(), x[:, 1].copy())
-
-    return packed.repartition(partitions, "pid").mapInArrow(run, "a bigint, b bigint")
+            for x, y in zip(b.column("x"), b.column("y")):
+                (u, s), (v, t) = (np.frombuffer(z.as_py(), U).reshape(-1, 2).T for z in (x, y))
+                found = ((w[0], w[1]) for i in range(0, len(u), 512) for w in [np.nonzero(_close(s[i : i + 512, None], t[None, :], p))] for w in [(u[i : i + 512][w[0]], v[w[1]])])
+                yield from _unique(found)
+
+    return blocks.select("x", "y").repartition(partitions, F.xxhash64("x", "y")).mapInArrow(run, _MET)
+
+
+def _crowded(keys: DataFrame, p: Ball) -> np.ndarray:
+    """The table of crowded variants: one bit for each place that a key has by its low bits."""
+    place, wide = F.col("key").bitwiseAND(p.bits - 1), 1 << 15
+    parts = keys.select((place / wide).cast("int").alias("part"), (place % wide).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator()
+    table = np.zeros(max(p.bits, wide) // 8, np.uint8)
+    for r in parts:
+        own = np.frombuffer(bytes(r.bits), np.uint8)
+        table[r.part * (wide // 8) :][: len(own)] = own
+    return table
 
 
 def _emit(sets: DataFrame, counts, p: Ball, partitions: int, crowded=None, single: bool = False) -> DataFrame:
-    """Packed variants of all sets; with `crowded` (a broadcast: keys, or None for all), the longer ones of these; with `single`, the
+    """Packed variants of all sets; with `crowded` (a broadcast table), the longer ones of these; with `single`, the
     single words of long sets."""
     longer = crowded is not None
 
@@ -323,6 +384,19 @@ def _emit(sets: DataFrame, counts, p: Ball, partitions: int, crowded=None, singl
     return sets.select("id", "h").mapInArrow(run, "pid int, blob binary")
 
 
+def _longer_variants(sets: DataFrame, counts, p: Ball, crowded) -> int:
+    """How many longer variants there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n, item, h = _sets(b)
+            h = h[np.lexsort((h, counts.value[(h % U(p.table)).astype(np.int64)], item))]
+            start = _starts(n)
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(_longer(i, m, h[start[i] : start[i + 1]], crowded.value, p)) for i, m in enumerate(n.tolist()))], pa.int64())], ["n"])
+
+    return sets.select("id", "h").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def similar_pairs(texts: DataFrame, p: Ball = Ball()) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of representatives whose word sets reach the similarity, and membership (id, rep) of every text.
 
@@ -338,15 +412,21 @@ def similar_pairs(texts: DataFrame, p: Ball = Ball()) -> tuple[DataFrame, DataFr
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(variants // p.entries))
     counts = spark.sparkContext.broadcast(_word_counts(sets, p))
     met = cut(_meetings(_emit(sets, counts, p, partitions), partitions, p.crowd, p))
-    near, crowded = met.where("b is not null"), met.where("b is null").select("a")
-    n = crowded.count()
-    if n:
-        keys = crowded.toArrow().column("a").to_numpy().view(U) if n <= p.sent else None
-        longer = _emit(sets, counts, p, partitions, spark.sparkContext.broadcast(keys))
-        near = near.unionByName(_meetings(longer, partitions, None, p))
+    found = met.where("a is not null")
+    more = []
+    if not met.where("key is not null").isEmpty():
+        table = spark.sparkContext.broadcast(_crowded(met.where("key is not null"), p))
+        wide = max(partitions, int(_longer_variants(sets, counts, p, table) // p.entries))
+        more.append(_meetings(_emit(sets, counts, p, wide, table), wide, None, p))
     if longest >= p.long:
-        both = sets.where(sizes >= p.long)
-        near = near.unionByName(_meetings(_emit(both, counts, p, partitions, single=True), partitions, None, p))
+        more.append(_meetings(_emit(sets.where(sizes >= p.long), counts, p, partitions, single=True), partitions, None, p))
+    for each in more:
+        each = cut(each)
+        found = found.unionByName(each.where("a is not null"))
+        large = each.where("x is not null")
+        if not large.isEmpty():
+            found = found.unionByName(_between(large, 4 * partitions, p))
+    near = found.select("a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = p.similarity
@@ -370,3 +450,18 @@ def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     many = members.groupBy("rep").count().where("count > 1").select("rep")
     inside = m("rep", "x").join(many, "rep").join(m("rep", "y"), "rep").where("x < y").select("x", "y")
     return across.unionByName(inside).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, group, links) of every text that is compared: the least id that links lead to, and the other texts it is similar to.
+
+    Links are followed and counted between representatives of equal word sets; copies are never written out as pairs."""
+    from factloom.operators.graph import components
+
+    members, pairs = cut(members), cut(pairs)
+    size = members.groupBy("rep").agg(F.count("*").alias("n"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    links = both.join(size.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("linked"))
+    group = components(pairs.select(F.lit("").alias("ns"), F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("rep"), "component")
+    of = size.join(links, "rep", "left").join(group, "rep", "left").select("rep", F.coalesce("component", "rep").alias("group"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    return members.join(of, "rep").groupBy("id").agg(F.min("group").alias("group"), F.max("links").alias("links"))

@@ -33,6 +33,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.all_pairs(*neardup.similar_pairs(w)).select(F.col("a").alias("write_id_a"), F.col("b").alias("write_id_b"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "write_requests").select(F.col("write_id").alias("id"), "content")
+    return neardup.groups(*neardup.similar_pairs(w)).select(F.col("id").alias("write_id"), F.col("group").alias("group_id"), "links")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"))
 
@@ -63,7 +68,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p6_ids": p6_ids, "p7_documents": p7_documents, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_residue": p8_residue, "p8_clean": p8_clean}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_reliability": p4_reliability, "p4_agreement": p4_agreement, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_documents": p7_documents, "p7_items": p7_items, "p7_leaks": p7_leaks, "p8_residue": p8_residue, "p8_clean": p8_clean}
 _P3 = """WITH w AS (SELECT DISTINCT write_id, ns, CAST(vector AS DOUBLE[]) AS v FROM write_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 q AS (SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS v FROM retrieve_requests WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 s AS (SELECT retrieve_id, write_id, max(list_cosine_similarity(q.v, w.v)) AS c FROM q JOIN w ON q.ns = w.ns GROUP BY 1, 2)
@@ -83,6 +88,9 @@ FROM assertions WHERE trim(claim_id) <> '' AND trim(source_id) <> ''),
 l AS (SELECT DISTINCT claim, source, t FROM a QUALIFY dense_rank() OVER (PARTITION BY claim, source ORDER BY asserted_at DESC NULLS LAST, assertion_id DESC, t DESC NULLS LAST) = 1),
 v AS (SELECT claim, source, CASE t WHEN 'supports' THEN 1 ELSE 0 END AS s FROM l WHERE t IN ('supports', 'contradicts'))"""
 SQL = {
+    "p5_groups": _P5.replace("WITH t AS", "WITH RECURSIVE t AS", 1).replace("SELECT s.a AS write_id_a, s.b AS write_id_b", ", l AS (SELECT s.a, s.b", 1)
+    + """), m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT DISTINCT write_id AS a, write_id AS b FROM n UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a)
+SELECT r.a AS write_id, min(r.b) AS group_id, (SELECT count(DISTINCT m.b) FROM m WHERE m.a = r.a) AS links FROM r GROUP BY r.a""",
     "p7_leaks": leakage.sql("SELECT doc_id, item_id, windows, coverage FROM leaks"),
     "p7_items": leakage.sql("SELECT item_id, count(*) AS documents, max(coverage) AS coverage FROM leaks GROUP BY 1"),
     "p7_documents": leakage.sql(

@@ -75,11 +75,13 @@ def test_very_long_texts(spark):
     assert found(spark, rows) == {(1, 2), (2, 3)}
 
 
-def test_more_crowded_variants_than_are_sent(spark):
+@pytest.mark.parametrize("bits,block", [(1 << 3, 8192), (1 << 27, 16), (1 << 6, 8)])
+def test_crowded_variants_and_large_groups(spark, bits, block):
+    """A table too small to tell variants apart only extends more of them; large groups are compared block by block."""
     r = random.Random(9)
     v = [f"w{i}" for i in range(50)]
     rows = [(i, " ".join(r.sample(v, 20))) for i in range(80)] + [(100 + i, " ".join(v[:20])) for i in range(3)]
-    assert found(spark, rows, replace(neardup.Ball(), crowd=2, sent=1)) == brute(rows)
+    assert found(spark, rows, replace(neardup.Ball(), crowd=2, bits=bits, block=block)) == brute(rows)
 
 
 def test_odd_contents(spark):
@@ -109,3 +111,13 @@ def test_empty_and_extra_columns(spark):
     t = "one two three four five six seven eight"
     df = spark.createDataFrame([(1, t), (2, t + " nine")], "id bigint, content string").withColumns({"w": F.lit(1), "h": F.lit("x"), "a": F.lit(0), "pid": F.lit(None), "s1": F.lit(3)})
     assert [(r.a, r.b) for r in neardup.all_pairs(*neardup.similar_pairs(df)).collect()] == [(1, 2)]
+
+
+def test_groups_follow_links_and_count_them(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [(i, base) for i in range(5)] + [(10, base + " eleven"), (11, base + " eleven twelve thirteen"), (12, base + " eleven twelve thirteen fourteen fifteen sixteen"), (20, "alpha beta gamma delta epsilon zeta eta theta"), (30, "a b c"), (31, None)]
+    df = spark.createDataFrame(rows + rows[:2], "id bigint, content string")
+    got = {r.id: (r.group, r.links) for r in neardup.groups(*neardup.similar_pairs(df)).collect()}
+    links = {i: sum(i in x for x in brute(rows)) for i in [0, 1, 2, 3, 4, 10, 11, 12, 20]}
+    assert got == {i: (20 if i == 20 else 0, links[i]) for i in links}
+    assert neardup.groups(*neardup.similar_pairs(df.where("id is null"))).collect() == []
