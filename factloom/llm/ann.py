@@ -90,10 +90,15 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), -1, 1)
 
 
+def _best(x: np.ndarray, c: np.ndarray, half: np.ndarray | float = 0.0) -> np.ndarray:
+    """Of each row the codeword of the largest inner product less `half`, 2048 rows at a time."""
+    return np.concatenate([(x[i : i + 2048] @ c.T - half).argmax(1) for i in range(0, len(x), 2048)])
+
+
 def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - (0 if spherical else 0.5 * (c * c).sum(1))).argmax(1)
+        near = _best(x, c, 0.0 if spherical else 0.5 * (c * c).sum(1))
         order = np.argsort(near, kind="stable")
         ids, start = np.unique(near[order], return_index=True)
         sums = np.add.reduceat(x[order], start, axis=0)
@@ -120,26 +125,29 @@ class Codebooks:
         x = unit(np.unique(sample, axis=0))
         self.p = p
         self.cells = _apart(_means(x, min(p.cells, len(x)), p.rounds, rng, True), p.apart)
-        best = (x @ self.cells.T).argmax(1)
+        best = _best(x, self.cells)
         left = x - self.cells[best]
         self.residual = []
         for _ in range(p.levels):
             c = _means(left, min(p.words, len(left)), p.rounds, rng, False)
             c[0] = 0
             self.residual.append(c)
-            left = left - c[(left @ c.T - 0.5 * (c * c).sum(1)).argmax(1)]
+            left = left - c[_best(left, c, 0.5 * (c * c).sum(1))]
         for _ in range(p.refits):
             self._refit(x, best)
 
     def _refit(self, x: np.ndarray, cell: np.ndarray) -> None:
         """All residual codebooks at once, by least squares over the sample's beam-searched codes; the zero words stay."""
         at = np.cumsum([0, *[len(c) for c in self.residual]])
-        codes = np.concatenate([self.encode(x[i : i + 4096], cell[i : i + 4096])[0] for i in range(0, len(x), 4096)]) + at[:-1]
-        a = np.zeros((len(x), at[-1]), np.float32)
-        np.put_along_axis(a, codes, 1, 1)
-        a[:, at[:-1]] = 0
-        left = x - self.cells[cell]
-        words = np.linalg.solve((a.T @ a).astype(np.float64) + 0.1 * np.eye(at[-1]), (a.T @ left).astype(np.float64)).astype(np.float32)
+        square, right = 0.1 * np.eye(at[-1]), np.zeros((at[-1], x.shape[1]))
+        for i in range(0, len(x), 2048):
+            part, own = x[i : i + 2048], cell[i : i + 2048]
+            a = np.zeros((len(part), at[-1]), np.float32)
+            np.put_along_axis(a, self.encode(part, own)[0] + at[:-1], 1, 1)
+            a[:, at[:-1]] = 0
+            square += a.T @ a
+            right += a.T @ (part - self.cells[own])
+        words = np.linalg.solve(square, right).astype(np.float32)
         words[at[:-1]] = 0
         self.residual = [words[i:j] for i, j in zip(at, at[1:])]
 
