@@ -21,9 +21,11 @@ def dedup(writes: DataFrame, latest_valid: DataFrame) -> DataFrame:
     `repeats` an earlier write of the batch, otherwise null. Blank contents have no fingerprint and are never repeats."""
     w = writes.where(F.coalesce("dedup", F.lit(False))).select("write_id", "ns", "received_at", F.nullif(fingerprint("content"), F.lit("")).alias("fp")).distinct()
     n = latest_valid.where("fingerprint is not null and fingerprint <> ''").groupBy("ns", F.col("fingerprint").alias("fp")).agg(F.min("id").alias("node_id"))
-    nth = F.row_number().over(Window.partitionBy("ns", "fp").orderBy("received_at", "write_id"))
-    j = w.withColumn("nth", nth).join(n, ["ns", "fp"], "left")
-    reason = F.when(F.col("node_id").isNotNull(), "deduplicated").when(F.col("fp").isNotNull() & (F.col("nth") > 1), "repeats")
+    # a repeat is told by the first of its fingerprint; blanks are numbered by nothing and stay where they are
+    first = w.where("fp is not null").groupBy("ns", "fp").agg(F.min(F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), "write_id")).alias("first"))
+    spread = F.coalesce("fp", F.concat(F.lit("#"), F.col("write_id").cast("string")))
+    j = w.withColumn("key", spread).join(first.select("ns", F.col("fp").alias("key"), F.col("first.write_id").alias("first")), ["ns", "key"], "left").join(n.withColumnRenamed("fp", "key"), ["ns", "key"], "left")
+    reason = F.when(F.col("node_id").isNotNull(), "deduplicated").when(F.col("first") != F.col("write_id"), "repeats")
     return j.select("write_id", "fp", "node_id", reason.alias("reason"))
 
 
@@ -34,11 +36,11 @@ def admission(credibility: Column, most_similar: Column, threshold: float) -> tu
     return reason == "admitted", reason
 
 
-def admit(writes: DataFrame, corpus: DataFrame, credibility: DataFrame, threshold: float = 0.25) -> DataFrame:
+def admit(writes: DataFrame, corpus: DataFrame, credibility: DataFrame, threshold: float = 0.25, near: search.Search = search.topk) -> DataFrame:
     """Gate of a batch against what is already stored. writes: write_id, ns, source_id, vec; corpus: write_id, ns, vec; credibility: ns, source_id,
     credibility (0.5 where unknown). Result: write_id, most_similar, credibility, admitted, reason, multiplier."""
     side = lambda df: df.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "vec")
-    near = search.topk(side(writes), side(corpus), 1).select(F.col("query").alias("write_id"), F.col("similarity").alias("most"))
+    near = near(side(writes), side(corpus), 1).select(F.col("query").alias("write_id"), F.col("similarity").alias("most"))
     w = writes.select("write_id", "ns", "source_id").join(near, "write_id", "left").join(credibility, ["ns", "source_id"], "left")
     most, cred = F.coalesce("most", F.lit(0.0)), F.coalesce("credibility", F.lit(0.5))
     ok, reason = admission(cred, most, threshold)
@@ -105,11 +107,11 @@ def contradiction_score(labels_a: Column, labels_b: Column, text_a: Column, text
     return F.when((j == 0) | (F.coalesce(text_a, F.lit("")) == F.coalesce(text_b, F.lit(""))), 0.0).otherwise(score)
 
 
-def conflict_candidates(new: DataFrame, stored: DataFrame, k: int = 5, low: float = 0.3, high: float = 0.95) -> DataFrame:
+def conflict_candidates(new: DataFrame, stored: DataFrame, k: int = 5, low: float = 0.3, high: float = 0.95, near: search.Search = search.topk) -> DataFrame:
     """(candidate, existing, similarity, weight): contradictions between new entries and their k nearest stored ones: related but not the
     same, with a shared label and validity in common. Both: id, ns, vec, labels, text, valid_from, valid_until."""
     side = lambda df: df.select("id", F.col("ns").alias("scope"), "vec")
-    near = search.topk(side(new), side(stored), k).where((F.col("similarity") >= low) & (F.col("similarity") < high))
+    near = near(side(new), side(stored), k).where((F.col("similarity") >= low) & (F.col("similarity") < high))
     of = lambda df, x: df.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("labels", "text", "valid_from", "valid_until")])
     p = near.select("query", "row", "similarity").join(of(new, "query"), "query").join(of(stored, "row"), "row")
     p = p.where(overlap(F.col("valid_from_query"), F.col("valid_until_query"), F.col("valid_from_row"), F.col("valid_until_row")))

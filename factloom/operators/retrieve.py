@@ -19,23 +19,23 @@ from factloom.operators import search
 @dataclass(frozen=True)
 class Fusion:
     """Weights of the three paths in the fused similarity, and candidates a request gets from the index: `candidates` or top_k * `times`,
-    whichever is more, of the entries that are valid at t (and have the wanted labels). cut_first takes `candidates` of all
-    entries before these are looked at, so requests may fall short; top_k stays as it is: so the SQL of retrieve_* says."""
+    whichever is more, of the entries that are valid at t (and have the wanted labels). cells: parameters of an index to search
+    in, for collections too large to compare every request with all of its namespace; without it the search is exact."""
 
     vector: float = 1.0
     graph: float = 0.6
     session: float = 0.8
     candidates: int = 50
     times: int = 4
-    cut_first: bool = False
+    cells: search.Cells | None = None
 
 
-def vector_candidates(requests: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """(retrieve_id, ns, id, similarity): nodes of the k nearest entries, each with its best similarity.
+def vector_candidates(requests: DataFrame, entries: DataFrame, k: int, near: search.Search = search.topk) -> DataFrame:
+    """(retrieve_id, ns, id, similarity): nodes of the k nearest entries, each with its best similarity. near: the search, exact or in cells.
 
     requests: retrieve_id, ns, vec; several rows of one request are several query vectors, of which the best counts."""
     q = requests.select(F.xxhash64("retrieve_id", "vec").alias("id"), F.col("ns").alias("scope"), "vec", "retrieve_id")
-    near = search.topk(q.select("id", "scope", "vec"), entries.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "vec"), k)
+    near = near(q.select("id", "scope", "vec"), entries.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "vec"), k)
     near = near.join(q.select(F.col("id").alias("query"), "retrieve_id", F.col("scope").alias("ns")), "query")
     near = near.join(entries.select(F.col("write_id").alias("row"), "node_id"), "row").where("node_id is not null")
     return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
@@ -47,7 +47,8 @@ def allowed_candidates(requests: DataFrame, entries: DataFrame, nodes: DataFrame
     most = F.greatest(F.lit(f.candidates), F.col("top_k") * f.times)
     q = requests.select(F.xxhash64("retrieve_id", "vec").alias("id"), F.col("ns").alias("scope"), "vec", "retrieve_id", "t", most.alias("most"), wanted.alias("wanted"))
     e = entries.select("ns", "write_id", "node_id", "vec").join(nodes.select("ns", F.col("id").alias("node_id"), "labels", "valid_from", "valid_until"), ["ns", "node_id"])
-    near = search.topk_allowed(q, e.withColumnsRenamed({"write_id": "id", "ns": "scope"}))
+    e = e.withColumnsRenamed({"write_id": "id", "ns": "scope"})
+    near = search.topk_allowed(*(search.in_cells(q, e, f.cells) if f.cells else (q, e)))
     near = near.join(q.select(F.col("id").alias("query"), "retrieve_id", F.col("scope").alias("ns")), "query")
     near = near.join(entries.select(F.col("write_id").alias("row"), "node_id"), "row")
     return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
@@ -114,11 +115,8 @@ def retrieve(requests: DataFrame, nodes: DataFrame, entries: DataFrame, w: Weigh
     if labels:
         where = options.pop("where", None)
         options["where"] = has_labels() if where is None else where & has_labels()
-    if f.cut_first:
-        vector = vector_candidates(requests, entries, f.candidates)
-    else:
-        requests = with_top_k(requests)
-        vector = allowed_candidates(requests, entries, nodes, f, labels)
+    requests = with_top_k(requests)
+    vector = allowed_candidates(requests, entries, nodes, f, labels)
     graph = graph_candidates(requests, edges) if edges is not None else None
     return rank(fuse(vector, graph, session, f), nodes, requests, w, **options)
 

@@ -1,8 +1,13 @@
-"""Vector search: exact by blocks of matrix products, approximate by random hyperplanes."""
+"""Vector search: exact by blocks of matrix products; over an index of cells where that would be too much.
+
+An index only narrows scopes: `in_cells` puts every row into the cell nearest to it and every query into the cells that it looks at, and each
+search below takes the results as it takes whole scopes. Rows are never copied, so nothing is found twice."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +32,8 @@ def _micros(column: pa.Array, null: int) -> np.ndarray:
     return column.cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def _scan(k: int, least: float, strict: bool):
-    """Over rows sorted by (scope, block, side): the block's vectors first, then the queries."""
+def _scan(k: int | None, least: float, strict: bool):
+    """Over rows sorted by (scope, block, side): the block's vectors first, then the queries. Without k, all rows of a larger id than the query's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, parts, whole = None, [], [], None
@@ -52,33 +57,38 @@ def _scan(k: int, least: float, strict: bool):
                     whole, rows = np.concatenate(parts), np.concatenate(ids)
                 for i in range(0, len(own), STEP):
                     s = np.clip(x[i : i + STEP] @ whole.T, -1, 1)
-                    if k < s.shape[1]:
+                    if k is not None and k < s.shape[1]:
                         cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
                         pick = s >= np.maximum(cut, least)  # ties at the cut stay until all blocks are merged
                     else:
                         pick = s >= least
                     if strict:
                         pick &= s > least
+                    if k is None:
+                        pick &= own[i : i + STEP, None] < rows[None, :]
                     q, r = np.nonzero(pick)
                     yield pa.RecordBatch.from_arrays([pa.array(own[i : i + STEP][q]), pa.array(rows[r]), pa.array(s[q, r])], ["query", "row", "similarity"])
 
     return run
 
 
-def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict: bool = True, digits: int = 9) -> DataFrame:
-    """Of each query (id, scope, vec) the k most similar rows (id, scope, vec) of its scope by cosine above `least`; exact.
-
-    Every row is in one block of its scope, every query goes to all blocks of its scope, and each block gives k
-    rows (and ties) at most; similarities are rounded, ties go to the smaller row id. Ids are bigint."""
+def _near(queries: DataFrame, rows: DataFrame, k: int | None, least: float, strict: bool, digits: int) -> DataFrame:
+    """Every row is in one block of its scope, every query goes to all blocks of its scope, and each block gives k rows (and ties) at most."""
     n = rows.groupBy("scope").agg(F.count("*").alias("n"))
     blocks = n.select("scope", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     cols = ["id", "scope", "vec"]
     placed = rows.select(*cols).join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("side", F.lit(0))
     asked = queries.select(*cols).join(blocks, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     both = placed.unionByName(asked).select("scope", "block", "side", "id", "vec").repartition("scope", "block").sortWithinPartitions("scope", "block", "side")
-    near = both.mapInArrow(_scan(k, least, strict), "query bigint, row bigint, similarity double").withColumn("similarity", F.round("similarity", digits))
+    return both.mapInArrow(_scan(k, least, strict), "query bigint, row bigint, similarity double").withColumn("similarity", F.round("similarity", digits))
+
+
+def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict: bool = True, digits: int = 9) -> DataFrame:
+    """Of each query (id, scope, vec) the k most similar rows (id, scope, vec) of its scope by cosine above `least`; exact.
+
+    Similarities are rounded, ties go to the smaller row id. Ids are bigint."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _near(queries, rows, k, least, strict, digits).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _scan_allowed(least: float):
@@ -144,52 +154,86 @@ def topk_allowed(queries: DataFrame, rows: DataFrame, least: float = 0.0, digits
 
 def pairs_within(rows: DataFrame, low: float, high: float, digits: int = 9) -> DataFrame:
     """Pairs (a, b), a < b, of one scope whose cosine lies in [low, high): theta join by blocks; exact."""
-    near = topk(rows, rows, 1 << 30, low, strict=False, digits=digits)
-    return near.where((F.col("query") < F.col("row")) & (F.col("similarity") >= low) & (F.col("similarity") < high)).select(F.col("query").alias("a"), F.col("row").alias("b"), "similarity")
+    near = _near(rows, rows, None, low - 10.0**-digits, False, digits)
+    return near.where((F.col("similarity") >= low) & (F.col("similarity") < high)).select(F.col("query").alias("a"), F.col("row").alias("b"), "similarity")
+
+
+# --- index
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Parameters of an index. grow: cells as a multiple of the square root of the rows, between `fewest` and `most`; so a query that looks at
+    `probes` cells meets a number of rows that grows as this root. each: vectors of the fitting sample for each cell, so 131,072 at most."""
+
+    grow: float = 4.0
+    fewest: int = 64
+    most: int = 16384
+    each: int = 8
+    probes: int = 160
+    rounds: int = 8
+    seed: int = 7
 
 
-def hyperplanes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+def centroids(rows: DataFrame, p: Cells = Cells()) -> np.ndarray:
+    """Unit vectors that stand for the cells, by spherical k-means over a bounded sample of all rows."""
+    n = rows.count()
+    k = max(p.fewest, min(p.most, round(p.grow * math.sqrt(n))))
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 20)) <= int(1.5 * p.each * k / max(n, 1) * (1 << 20))).select("vec").limit(p.each * k).toArrow().column("vec").combine_chunks()
+    if not len(some):
+        return np.zeros((0, 0))
+    x = np.unique(_unit(_matrix(some)), axis=0)
+    c = x[np.random.default_rng(p.seed).choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(p.rounds):
+        near = np.concatenate([(x[i : i + STEP] @ c.T).argmax(1) for i in range(0, len(x), STEP)])
+        order = np.argsort(near, kind="stable")
+        ids, start = np.unique(near[order], return_index=True)
+        c[ids] = _unit(np.add.reduceat(x[order], start, axis=0))
+    return c
 
 
-def _signatures(df: DataFrame, planes: np.ndarray, flips: int, schema: str) -> DataFrame:
-    """One row for each table and signature; with flips, also the signatures at the least certain bits."""
+def _placed(df: DataFrame, cells: np.ndarray, most: int) -> DataFrame:
+    """df with each row once for each of its `most` nearest cells, its scope being that cell within its scope."""
+    books = df.sparkSession.sparkContext.broadcast(cells)
+    at = df.columns.index("scope")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, bits, dim = planes.shape
-        weight = 1 << np.arange(bits, dtype=np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column("vec"))
-            v = np.einsum("nd,tbd->ntb", x, planes)
-            own = ((v > 0) * weight).sum(2)
-            least = np.argsort(np.abs(v), axis=2)[:, :, :flips]
-            probes = np.concatenate([own[:, :, None], own[:, :, None] ^ weight[least]], 2) if flips else own[:, :, None]
-            i, t, _ = (y.ravel() for y in np.indices(probes.shape))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(i)), b.column("scope").take(pa.array(i)), pa.array(t * (1 << bits) + probes.ravel())], ["id", "scope", "sig"])
-
-    return df.select("id", "scope", "vec").mapInArrow(run, schema)
-
-
-def topk_lsh(queries: DataFrame, rows: DataFrame, k: int, dim: int, tables: int = 48, bits: int = 10, flips: int = 10, exact: int = 1 << 17) -> DataFrame:
-    """Approximate topk: rows that share a signature of random hyperplanes with a query are scored exactly. Scopes of up to `exact` rows,
-    where that is cheaper, are searched by topk."""
-    big = rows.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > exact).select("scope")
-    few = topk(queries, rows.join(big, "scope", "left_anti"), k)
-    queries, rows = queries.join(big, "scope", "left_semi"), rows.join(big, "scope", "left_semi")
-    planes = hyperplanes(dim, tables, bits)
-    q = _signatures(queries, planes, flips, "id bigint, scope string, sig bigint").withColumnRenamed("id", "query")
-    r = _signatures(rows, planes, 0, "id bigint, scope string, sig bigint").withColumnRenamed("id", "row")
-    met = q.join(r, ["scope", "sig"]).select("query", "row").distinct()
-    met = met.join(queries.select(F.col("id").alias("query"), F.col("vec").alias("a")), "query").join(rows.select(F.col("id").alias("row"), F.col("vec").alias("b")), "row")
-
-    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                s = np.einsum("ij,ij->i", _unit(_matrix(b.column("a"))), _unit(_matrix(b.column("b"))))
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("row"), pa.array(np.clip(s, -1, 1).round(9))], ["query", "row", "similarity"])
+        c = books.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, STEP):
+                b = whole.slice(i, STEP)
+                s = _unit(_matrix(b.column("vec"))) @ c.T
+                top = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                out = b.take(pa.array(np.repeat(np.arange(b.num_rows), top.shape[1])))
+                scope = pa.array([f"{x}\x1f{k}" for x, k in zip(out.column("scope").to_pylist(), top.ravel().tolist())], pa.string())
+                yield out.set_column(at, "scope", scope)
 
-    near = met.select("query", "row", "a", "b").mapInArrow(cosines, "query bigint, row bigint, similarity double").where("similarity > 0")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).unionByName(few)
+    return df.where("scope is not null").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+
+
+def in_cells(queries: DataFrame, rows: DataFrame, p: Cells = Cells(), cells: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows (id, scope, vec and more) for an approximate search: each row in its nearest cell, each query in its `probes` nearest.
+    Recall depends on the data, cost on probes; with as many probes as cells the search is exact. `cells`: centroids found before."""
+    c = centroids(rows, p) if cells is None else cells
+    return (_placed(queries, c, p.probes), _placed(rows, c, 1)) if len(c) else (queries, rows)
+
+
+def topk_cells(queries: DataFrame, rows: DataFrame, k: int, p: Cells = Cells(), **options) -> DataFrame:
+    """topk over an index of cells."""
+    cols = ["id", "scope", "vec"]
+    return topk(*in_cells(queries.select(*cols), rows.select(*cols), p), k, **options)
+
+
+def pairs_cells(rows: DataFrame, low: float, high: float, p: Cells = Cells(), **options) -> DataFrame:
+    """pairs_within over an index of cells: pairs of which one lies in a cell that the other looks at."""
+    asked, placed = in_cells(rows.select("id", "scope", "vec"), rows.select("id", "scope", "vec"), p)
+    digits = options.get("digits", 9)
+    turned = lambda df: df.withColumn("id", -F.col("id"))
+    up = _near(asked, placed, None, low - 10.0**-digits, False, digits)
+    down = _near(turned(asked), turned(placed), None, low - 10.0**-digits, False, digits)  # rows of a smaller id than the query's
+    both = up.select(F.col("query").alias("a"), F.col("row").alias("b"), "similarity").unionByName(down.select((-F.col("row")).alias("a"), (-F.col("query")).alias("b"), "similarity"))
+    return both.distinct().where((F.col("similarity") >= low) & (F.col("similarity") < high))
+
+
+#: Any search of topk's form: (queries, rows, k, ...) -> query, row, similarity, rank.
+Search = Callable[..., DataFrame]

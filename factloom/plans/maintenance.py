@@ -280,7 +280,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _join_source(spark: SparkSession, d: str) -> DataFrame:
     n = temporal.latest(v.nodes(spark, d)).select("ns", "id", trimmed("source_id").alias("source_id"))
-    return n.join(F.broadcast(_credibility(spark, d)), ["ns", "source_id"], "left").groupBy("ns").agg(F.count("*").alias("nodes"), F.count("credibility").alias("known"), F.round(F.avg("credibility"), 6).alias("credibility"))
+    return n.join(_credibility(spark, d), ["ns", "source_id"], "left").groupBy("ns").agg(F.count("*").alias("nodes"), F.count("credibility").alias("known"), F.round(F.avg("credibility"), 6).alias("credibility"))
 
 
 QUERIES = {
@@ -348,7 +348,7 @@ SQL = {
     "admin_ratios": "SELECT ns, count(*) AS writes, coalesce(CAST(sum(CAST(ok AS BIGINT)) AS BIGINT), 0) AS admitted, round(coalesce(sum(CAST(ok AS BIGINT)), 0) / count(*), 6) AS ratio FROM (SELECT write_id, max(ns) AS ns, max(admitted) AS ok FROM write_requests GROUP BY 1) GROUP BY 1",
     "ir_metrics": v.sql(
         "SELECT rv.retrieve_id AS query, round(coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) END), 0.0) / any_value(list_sum(list_transform(range(1, least(nn, 10) + 1), lambda i: 1 / log2(i + 1.0)))), 6) AS ndcg, round(coalesce(sum(CAST(rank <= 10 AS INTEGER)), 0) / any_value(nn), 6) AS recall, round(coalesce(1 / min(rank), 0.0), 6) AS rr, coalesce(sum(CAST(rank <= 10 AS INTEGER)), 0) > 0 AS hit, min(rank) AS first_rank FROM (SELECT *, count(*) OVER (PARTITION BY retrieve_id) AS nn FROM rel) rv LEFT JOIN o ON o.retrieve_id = rv.retrieve_id AND o.id = rv.id GROUP BY 1",
-        **_RANK("general"), o=retrieval._OUT, rel="SELECT DISTINCT retrieve_id, node_id AS id FROM c0 WHERE sim >= 0.9 AND node_id IS NOT NULL"),
+        **_RANK("general"), o=retrieval._OUT, rel=f"SELECT DISTINCT retrieve_id, node_id AS id FROM ({retrieval._ALL}) WHERE sim >= 0.9 AND node_id IS NOT NULL"),
     "ranking_diff": v.sql(
         "SELECT coalesce(a.retrieve_id, b.retrieve_id) AS query, coalesce(a.id, b.id) AS id, a.rank AS before, b.rank AS after, a.rank - b.rank AS moved FROM o a FULL JOIN ob b ON a.retrieve_id = b.retrieve_id AND a.id = b.id WHERE a.rank IS DISTINCT FROM b.rank",
         **_RANK("general"), o=retrieval._OUT, kb=retrieval._ranked(retrieval.MODES["belief"].weights), ob=retrieval._OUT.replace("FROM k ", "FROM kb ")),

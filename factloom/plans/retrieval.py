@@ -12,8 +12,6 @@ from factloom.operators import search, temporal
 from factloom.sources import views as v
 
 ALL = 1 << 20
-#: What the SQL of retrieve_* says: 50 entries of all, then validity and labels; a top_k of 0 has no results.
-AS_SQL = r.Fusion(cut_first=True)
 
 
 def _parts(spark: SparkSession, d: str):
@@ -24,29 +22,29 @@ def _parts(spark: SparkSession, d: str):
 def _mode(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         q, n, e = _parts(spark, d)
-        return r.retrieve(q, n, e, MODES[mode].weights, f=AS_SQL)
+        return r.retrieve(q, n, e, MODES[mode].weights)
 
     return run
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["general"].weights, f=AS_SQL, labels=True)
+    return r.retrieve(q, n, e, MODES["general"].weights, labels=True)
 
 
 def _exclude(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["general"].weights, f=AS_SQL, exclude_sources=["agent:siozeaxfin", "user:pruwend"])
+    return r.retrieve(q, n, e, MODES["general"].weights, exclude_sources=["agent:siozeaxfin", "user:pruwend"])
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["general"].weights, edges=v.edges(spark, d), f=AS_SQL)
+    return r.retrieve(q, n, e, MODES["general"].weights, edges=v.edges(spark, d))
 
 
 def _typed_decay(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
-    return r.retrieve(q, n, e, MODES["agent"].weights, f=AS_SQL, per_type_decay=True)
+    return r.retrieve(q, n, e, MODES["agent"].weights, per_type_decay=True)
 
 
 def _multi(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +52,7 @@ def _multi(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
     before = F.lag("vec").over(Window.partitionBy("ns").orderBy("retrieve_id"))
     two = q.withColumn("before", before).withColumn("vec", F.explode(F.array_compact(F.array("vec", "before"))))
-    return r.rank(r.fuse(r.vector_candidates(two, e, 50)), n, q, MODES["general"].weights)
+    return r.rank(r.fuse(r.allowed_candidates(two, e, n)), n, q, MODES["general"].weights)
 
 
 def _session(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +60,7 @@ def _session(spark: SparkSession, d: str) -> DataFrame:
     q, n, e = _parts(spark, d)
     seeds = q.select("retrieve_id", "ns", F.explode("seeds").alias("id")).where("id is not null").distinct()
     vec = e.groupBy("ns", F.col("node_id").alias("id")).agg(F.max_by("vec", F.struct("received_at", "write_id")).alias("vec"))
-    c = r.fuse(r.vector_candidates(q, e, 50), session=seeds).join(vec, ["ns", "id"], "left")
+    c = r.fuse(r.allowed_candidates(q, e, n), session=seeds).join(vec, ["ns", "id"], "left")
     c = r.penalise_session(c, seeds.join(vec, ["ns", "id"]))
     return r.rank(c, n, q, MODES["general"].weights)
 
@@ -73,10 +71,23 @@ def _topk(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("query").alias("retrieve_id"), F.col("row").alias("write_id"), F.round("similarity", 6).alias("similarity"))
 
 
-def _lsh(spark: SparkSession, d: str) -> DataFrame:
+def _cells(spark: SparkSession, d: str) -> DataFrame:
     q, _, e = _parts(spark, d)
-    near = search.topk_lsh(q.select(F.col("retrieve_id").alias("id"), F.col("ns").alias("scope"), "vec"), e.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "vec"), 10, v.DIM)
-    return near.select(F.col("query").alias("retrieve_id"), F.col("row").alias("write_id"), "similarity", "rank")
+    near = search.topk_cells(q.select(F.col("retrieve_id").alias("id"), F.col("ns").alias("scope"), "vec"), e.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "vec"), 10)
+    return near.select(F.col("query").alias("retrieve_id"), F.col("row").alias("write_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the search in cells finds 0.95 or more of the ten nearest entries of all requests."""
+    true = _topk(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("retrieve_id").orderBy(F.desc("similarity"), "write_id"))).where("n <= 10").select("retrieve_id", "write_id")
+    found = _cells(spark, d).select("retrieve_id", "write_id").withColumn("found", F.lit(1))
+    return true.join(found, ["retrieve_id", "write_id"], "left").agg((F.count("found") >= 0.95 * F.count("*")).alias("enough"))
+
+
+def _in_cells(spark: SparkSession, d: str) -> DataFrame:
+    """retrieve_general over an index of cells."""
+    q, n, e = _parts(spark, d)
+    return r.retrieve(q, n, e, MODES["general"].weights, f=r.Fusion(cells=search.Cells()))
 
 
 def _pairs(low: float, high: float):
@@ -108,12 +119,14 @@ def _rerank(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     **{f"retrieve_{m}": _mode(m) for m in MODES}, "retrieve_labels": _labels, "retrieve_exclude_sources": _exclude, "retrieve_hybrid_graph": _hybrid, "retrieve_typed_decay": _typed_decay,
-    "retrieve_multi_vector": _multi, "retrieve_session": _session, "vector_topk": _topk, "vector_topk_lsh": _lsh, "near_dup_pairs": _pairs(0.95, 2.0), "similar_pairs_band": _pairs(0.85, 0.95),
+    "retrieve_multi_vector": _multi, "retrieve_session": _session, "vector_topk": _topk, "vector_topk_cells": _cells, "vector_cells_recall": _cells_recall, "retrieve_in_cells": _in_cells, "near_dup_pairs": _pairs(0.95, 2.0), "similar_pairs_band": _pairs(0.85, 0.95),
     "mmr_rerank": _mmr, "explain_rank": _explain, "contrastive": _contrastive, "rerank_reverse": _rerank,
 }
 
-_CAND = "SELECT q.retrieve_id, q.ns, v.write_id, v.node_id, round(list_cosine_similarity(q.vec, v.vec), 9) AS sim FROM {q} q JOIN v ON q.ns = v.ns"
-_K = "SELECT * FROM c0 WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY sim DESC, write_id) <= 50"
+_ALL = "SELECT q.retrieve_id, q.ns, v.write_id, v.node_id, round(list_cosine_similarity(q.vec, v.vec), 9) AS sim FROM q JOIN v ON q.ns = v.ns"
+_CAND = "SELECT q.retrieve_id, q.ns, q.vec AS qv, q.top_k, v.write_id, v.node_id, round(list_cosine_similarity(q.vec, v.vec), 9) AS sim FROM {q} q JOIN v ON q.ns = v.ns JOIN latest l ON l.ns = v.ns AND l.id = v.node_id AND l.valid_from <= q.t AND (l.valid_until IS NULL OR q.t <= l.valid_until)"
+_LAB = " AND (q.labels IS NULL OR list_has_all(coalesce(l.labels, []), q.labels))"
+_K = "SELECT * FROM c0 WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY sim DESC, write_id) <= greatest(50, 4 * top_k)"
 _BEST = "SELECT retrieve_id, ns, node_id AS id, max(sim) AS similarity, 'vector' AS path FROM c1 WHERE node_id IS NOT NULL GROUP BY 1, 2, 3"
 _HOURS = "(epoch_us({b}) - epoch_us({a})) / 3600000000.0"
 
@@ -142,8 +155,8 @@ round({p["recency"]}, 6) AS recency, round({p["utility"]}, 6) AS utility FROM c2
 _OUT = "SELECT retrieve_id, row_number() OVER (PARTITION BY retrieve_id ORDER BY score DESC, id) AS rank, ns, id, score, similarity, confidence, recency, utility, path FROM k QUALIFY row_number() OVER (PARTITION BY retrieve_id ORDER BY score DESC, id) <= top_k"
 
 
-def _sql(w, where: str = "TRUE", alpha: str | None = None, body: str = _OUT, c2: str = "SELECT * FROM cv", q: str = "q", key: str = "retrieve_id", **more: str) -> str:
-    return v.sql(body, c0=_CAND.format(q=q), c1=_K.format(key=key), cv=_BEST, **more, c2=c2, k=_ranked(w, where, alpha))
+def _sql(w, where: str = "TRUE", alpha: str | None = None, body: str = _OUT, c2: str = "SELECT * FROM cv", q: str = "q", key: str = "retrieve_id", also: str = "", **more: str) -> str:
+    return v.sql(body, c0=_CAND.format(q=q) + also, c1=_K.format(key=key), cv=_BEST, **more, c2=c2, k=_ranked(w, where, alpha))
 
 
 _SEEDS = f"SELECT DISTINCT retrieve_id, ns, t, {v.sql_uuid('s')} AS id FROM (SELECT retrieve_id, ns, t, unnest(seed_ids) AS s FROM q) WHERE {v.sql_uuid('s')} IS NOT NULL"
@@ -159,16 +172,17 @@ _NOW = f"TIMESTAMP '{v.AS_OF}'"
 _ACTIVE = "valid_from <= {t} AND (valid_until IS NULL OR {t} <= valid_until) AND (invalidated_at IS NULL OR {t} < invalidated_at)"
 SQL = {
     **{f"retrieve_{m}": _sql(MODES[m].weights) for m in MODES},
-    "retrieve_labels": _sql(_G, "wanted IS NULL OR list_has_all(coalesce(n.labels, []), wanted)"),
+    "retrieve_labels": _sql(_G, "wanted IS NULL OR list_has_all(coalesce(n.labels, []), wanted)", also=_LAB),
     "retrieve_exclude_sources": _sql(_G, "n.source_id IS NULL OR n.source_id NOT IN ('agent:siozeaxfin', 'user:pruwend')"),
     "retrieve_hybrid_graph": _sql(_G, seeds=_SEEDS, g=_GRAPH, c2=_FUSE.format(g="g")),
     "retrieve_typed_decay": _sql(MODES["agent"].weights, alpha=_TYPED),
-    "retrieve_multi_vector": v.sql(_OUT, q2="SELECT retrieve_id, ns, vec FROM q UNION ALL SELECT retrieve_id, ns, pv FROM (SELECT retrieve_id, ns, lag(vec) OVER (PARTITION BY ns ORDER BY retrieve_id) AS pv FROM q) WHERE pv IS NOT NULL",
-                                   c0="SELECT q.retrieve_id, q.ns, q.vec AS qv, v.write_id, v.node_id, round(list_cosine_similarity(q.vec, v.vec), 9) AS sim FROM q2 q JOIN v ON q.ns = v.ns", c1=_K.format(key="retrieve_id, qv"), cv=_BEST, c2="SELECT * FROM cv", k=_ranked(_G)),
+    "retrieve_multi_vector": v.sql(_OUT, q2="SELECT retrieve_id, ns, vec, top_k, t FROM q UNION ALL SELECT retrieve_id, ns, pv, top_k, t FROM (SELECT retrieve_id, ns, top_k, t, lag(vec) OVER (PARTITION BY ns ORDER BY retrieve_id) AS pv FROM q) WHERE pv IS NOT NULL",
+                                   c0=_CAND.format(q="q2"), c1=_K.format(key="retrieve_id, qv"), cv=_BEST, c2="SELECT * FROM cv", k=_ranked(_G)),
     "retrieve_session": _sql(_G, seeds=_SEEDS, g="SELECT DISTINCT retrieve_id, ns, id, 0.8 AS similarity, 'session' AS path FROM seeds", f=_FUSE.format(g="g"), nv=_VEC,
                              m="SELECT f.retrieve_id, f.id, max(list_cosine_similarity(x.vec, y.vec)) AS most FROM f JOIN nv x ON x.ns = f.ns AND x.id = f.id JOIN seeds s ON s.retrieve_id = f.retrieve_id JOIN nv y ON y.ns = s.ns AND y.id = s.id GROUP BY 1, 2",
                              c2="SELECT f.retrieve_id, f.ns, f.id, f.path, f.similarity * (CASE WHEN coalesce(m.most, 0) > 0.8 THEN greatest(0.5, 1 - (m.most - 0.8) * 2.5) ELSE 1.0 END) AS similarity FROM f LEFT JOIN m ON f.retrieve_id = m.retrieve_id AND f.id = m.id"),
-    "vector_topk": v.sql("SELECT retrieve_id, write_id, round(sim, 6) AS similarity FROM c0 WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY retrieve_id ORDER BY sim DESC, write_id) <= 20", c0=_CAND.format(q="q")),
+    "vector_topk": v.sql("SELECT retrieve_id, write_id, round(sim, 6) AS similarity FROM c0 WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY retrieve_id ORDER BY sim DESC, write_id) <= 20", c0=_ALL),
+    "vector_cells_recall": "SELECT true AS enough",
     "near_dup_pairs": v.sql("SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.95", p="SELECT a.write_id AS a, b.write_id AS b, round(list_cosine_similarity(a.vec, b.vec), 9) AS s FROM v a JOIN v b ON a.ns = b.ns AND a.write_id < b.write_id"),
     "similar_pairs_band": v.sql("SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.85 AND s < 0.95", p="SELECT a.write_id AS a, b.write_id AS b, round(list_cosine_similarity(a.vec, b.vec), 9) AS s FROM v a JOIN v b ON a.ns = b.ns AND a.write_id < b.write_id"),
     "explain_rank": v.sql(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.keys import uuid_key
@@ -12,6 +12,8 @@ from factloom.functions.vector import usable
 from factloom.sources.tables import table
 
 DIM = 64
+#: Fields of a version besides its key.
+NODE = ["labels", "source_id", "mem_type", "epistemic_type", "utility", "fingerprint", "confidence", "tx_time", "valid_from", "valid_until"]
 #: The clock of queries that need one.
 AS_OF = "2025-06-01 00:00:00"
 
@@ -29,16 +31,22 @@ def sql_uuid(x: str) -> str:
     return f"CASE WHEN regexp_full_match({bare}, '[0-9a-f]{{32}}') THEN {spelled} ELSE nullif({t}, '') END"
 
 
+def _whole(df: DataFrame, key: list[str], labels: str | None = None) -> DataFrame:
+    """One row of each key, whole: the largest by all its other fields in turn, nulls last."""
+    order = [F.array_join(c, "\x1f").desc_nulls_last() if c == labels else F.col(c).desc_nulls_last() for c in df.columns if c not in key]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Versions. Repeated rows are merged, each field by its largest value; a null valid_from is tx_time."""
-    n = table(spark, d, "nodes").groupBy("ns", "id", "version_no")
-    fields = ["labels", "source_id", "mem_type", "epistemic_type", "utility", "fingerprint", "confidence", "tx_time", "valid_from", "valid_until"]
-    return n.agg(*[F.max(c).alias(c) for c in fields]).withColumn("valid_from", F.coalesce("valid_from", "tx_time"))
+    """Versions. Of repeated rows one, whole; a null valid_from is tx_time. All versions of a node lie in one partition,
+    so that what follows by (ns, id) needs no other shuffle."""
+    n = table(spark, d, "nodes").select("ns", "id", "version_no", *NODE).repartition("ns", "id")
+    return _whole(n, ["ns", "id", "version_no"], "labels").withColumn("valid_from", F.coalesce("valid_from", "tx_time"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "edges").select("id", "ns", uuid_key("src").alias("src"), uuid_key("dst").alias("dst"), "edge_type", "weight", F.coalesce("valid_from", "tx_time").alias("valid_from"), "valid_until", "tx_time", "invalidated_at")
-    return e.groupBy("id").agg(*[F.max(c).alias(c) for c in e.columns[1:]])
+    return _whole(e, ["id"])
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +58,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 def assertions(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "assertions")
     a = a.select("assertion_id", uuid_key("claim_id").alias("claim"), uuid_key("source_id").alias("source"), "source_credibility", F.lower(F.trim("assertion_type")).alias("kind"), F.col("epistemic_type").alias("epistemic"), F.col("claim_domain").alias("domain"), "asserted_at")
-    return a.groupBy("assertion_id").agg(*[F.max(c).alias(c) for c in a.columns[1:]])
+    return _whole(a, ["assertion_id"])
 
 
 def vectors(spark: SparkSession, d: str, admitted: bool = True) -> DataFrame:
@@ -63,20 +71,20 @@ def vectors(spark: SparkSession, d: str, admitted: bool = True) -> DataFrame:
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Retrieve requests with a usable vector; t is their point in time."""
     r = table(spark, d, "retrieve_requests").where(usable(F.col("vector"), DIM))
-    return r.select("retrieve_id", "ns", F.col("vector").cast("array<double>").alias("vec"), F.coalesce("top_k", F.lit(10)).alias("top_k"), "labels", F.coalesce("as_of", "requested_at").alias("t"), "seed_ids").dropDuplicates(["retrieve_id"])
+    return r.select("retrieve_id", "ns", F.col("vector").cast("array<double>").alias("vec"), F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(10)).alias("top_k"), "labels", F.coalesce("as_of", "requested_at").alias("t"), "seed_ids").dropDuplicates(["retrieve_id"])
 
 
 _GOOD = f"len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
 SQL = {
-    "n": """SELECT ns, id, version_no, max(labels) AS labels, max(source_id) AS source_id, max(mem_type) AS mem_type, max(epistemic_type) AS epistemic_type, max(utility) AS utility,
-      max(fingerprint) AS fingerprint, max(confidence) AS confidence, max(tx_time) AS tx_time, coalesce(max(valid_from), max(tx_time)) AS valid_from, max(valid_until) AS valid_until FROM nodes GROUP BY ns, id, version_no""",
-    "e": f"""SELECT id, max(ns) AS ns, max({sql_uuid("src")}) AS src, max({sql_uuid("dst")}) AS dst, max(edge_type) AS edge_type, max(weight) AS weight, max(coalesce(valid_from, tx_time)) AS valid_from,
-      max(valid_until) AS valid_until, max(tx_time) AS tx_time, max(invalidated_at) AS invalidated_at FROM edges GROUP BY id""",
+    "n": f"""SELECT ns, id, version_no, {", ".join(NODE).replace("valid_from", "coalesce(valid_from, tx_time) AS valid_from")} FROM nodes
+      QUALIFY row_number() OVER (PARTITION BY ns, id, version_no ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in NODE).replace("labels", "array_to_string(labels, chr(31))").replace("valid_from DESC", "nodes.valid_from DESC")}) = 1""",
+    "e": f"""SELECT * FROM (SELECT id, ns, {sql_uuid("src")} AS src, {sql_uuid("dst")} AS dst, edge_type, weight, coalesce(valid_from, tx_time) AS valid_from, valid_until, tx_time, invalidated_at FROM edges)
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in ["ns", "src", "dst", "edge_type", "weight", "valid_from", "valid_until", "tx_time", "invalidated_at"])}) = 1""",
     "s": "SELECT id, ns, external_id, coalesce(labels, []) AS labels, coalesce(alpha, 1) AS alpha, coalesce(beta, 1) AS beta, claims_asserted, claims_validated, claims_refuted, created_at, coalesce(updated_at, created_at) AS updated_at FROM sources",
-    "a": f"""SELECT assertion_id, max({sql_uuid("claim_id")}) AS claim, max({sql_uuid("source_id")}) AS source, max(source_credibility) AS source_credibility, max(lower(trim(assertion_type))) AS kind,
-      max(epistemic_type) AS epistemic, max(claim_domain) AS domain, max(asserted_at) AS asserted_at FROM assertions GROUP BY assertion_id""",
+    "a": f"""SELECT * FROM (SELECT assertion_id, {sql_uuid("claim_id")} AS claim, {sql_uuid("source_id")} AS source, source_credibility, lower(trim(assertion_type)) AS kind, epistemic_type AS epistemic, claim_domain AS domain, asserted_at FROM assertions)
+      QUALIFY row_number() OVER (PARTITION BY assertion_id ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in ["claim", "source", "source_credibility", "kind", "epistemic", "domain", "asserted_at"])}) = 1""",
     "v": f"""SELECT DISTINCT write_id, ns, {sql_uuid("node_id")} AS node_id, CAST(vector AS DOUBLE[]) AS vec, content, received_at FROM write_requests WHERE admitted AND {_GOOD}""",
-    "q": f"""SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS vec, coalesce(top_k, 10) AS top_k, labels, coalesce(as_of, requested_at) AS t, seed_ids FROM retrieve_requests WHERE {_GOOD}""",
+    "q": f"""SELECT DISTINCT retrieve_id, ns, CAST(vector AS DOUBLE[]) AS vec, CASE WHEN top_k > 0 THEN top_k ELSE 10 END AS top_k, labels, coalesce(as_of, requested_at) AS t, seed_ids FROM retrieve_requests WHERE {_GOOD}""",
     "latest": "SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY ns, id ORDER BY version_no DESC) = 1",
     "clock": f"SELECT TIMESTAMP '{AS_OF}' AS now",
 }

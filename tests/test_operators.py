@@ -153,23 +153,31 @@ def test_retrieve_takes_the_default_for_no_top_k(spark):
     assert {r.retrieve_id: r["count"] for r in got} == {0: 10, 1: 10, 2: 10, 3: 4}
 
 
-def test_lsh_recall(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((400, 16))
-    q = x[:60] + 0.2 * rng.standard_normal((60, 16))
-    exact = {(r.query, r.row) for r in search.topk(entries(spark, q), entries(spark, x), 1).collect()}
-    found = {(r.query, r.row) for r in search.topk_lsh(entries(spark, q), entries(spark, x), 1, 16).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
-@pytest.mark.parametrize("exact,least", [(0, 0.9), (1 << 17, 1.0)])
-def test_lsh_recall_at_10(spark, exact, least):
+def test_cells_find_what_topk_finds(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((800, 64)) + 0.6 * rng.standard_normal((20, 64)).repeat(40, 0)
     q = x[::20] + 0.6 * rng.standard_normal((40, 64))
-    pairs = lambda df: {(r.query, r.row) for r in df.collect()}
+    pairs = lambda df: {(r[0], r[1]) for r in df.select(df.columns[:2]).collect()}
     true = pairs(search.topk(entries(spark, q), entries(spark, x), 10))
-    assert len(true & pairs(search.topk_lsh(entries(spark, q), entries(spark, x), 10, 64, exact=exact))) >= least * len(true) and len(true) == 400
+    for p, least in ((search.Cells(probes=60), 0.9), (search.Cells(probes=1000), 1.0)):
+        assert len(true & pairs(search.topk_cells(entries(spark, q), entries(spark, x), 10, p))) >= least * len(true) == least * 400
+    near = pairs(search.pairs_within(entries(spark, x), 0.4, 2.0))
+    assert pairs(search.pairs_cells(entries(spark, x), 0.4, 2.0, search.Cells(probes=1000))) == near
+    found = pairs(search.pairs_cells(entries(spark, x), 0.4, 2.0, search.Cells(probes=20)))
+    assert found <= near and len(found) >= 0.9 * len(near)
+    assert search.topk_cells(entries(spark, q), entries(spark, x[:0]), 7).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_of_cells_on_the_tables(spark, folder):
+    """recall@10 of the index with its own parameters against the exact search, all requests against all entries."""
+    import os
+
+    from factloom.plans import retrieval
+
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    assert retrieval._cells_recall(spark, folder).first().enough
 
 
 def test_first_independent_matches_greedy(spark):
