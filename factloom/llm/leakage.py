@@ -2,7 +2,7 @@
 
 Test questions and answers are normalised and cut into windows, one from every token on; all windows form one Aho-Corasick
 automaton, by which every corpus text is scanned once, in normal form, with hits mapped back to the original. A token is one
-letter of the automaton, so that its size goes by tokens. Every run of a window's weight is found, wherever
+or two letters of the automaton, so that its size goes by tokens. Every run of a window's weight is found, wherever
 in the passage it begins; passages up to a window's weight are found whole or short of the word at either end (they are often
 cut off within it). Passages lighter than the least weight, such as short answers, are looked for whole, and count where
 the text also holds a heavier window of the item; of an item that has none, all passages must be there. Coverage tells
@@ -15,11 +15,14 @@ within the tasks, pairs are written only where they are the result. A set of mor
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -38,18 +41,18 @@ _MIXED = regex.compile(rf"(?={WORD})[{UNBROKEN}]|(?:(?![{UNBROKEN}]){WORD})+")
 _SINGLE = regex.compile(rf"[{UNBROKEN}]")
 #: Whether one of these scripts may occur, checked quickly: their blocks, all beyond.
 _MAYBE = re.compile("[฀-໿က-႟ក-៿⺀-꯿豈-\U0010ffff]")
-#: Letters of the automaton: code points but for surrogates; the first stands for tokens that no item has.
-_FIRST, _GAP, _LETTERS = 1, 0xD800, 0x10FFFF - 0x801
+#: Words that are a single letter of the automaton.
+FREQUENT = 200
 
 
 @dataclass(frozen=True)
 class Leak:
     """window: weight of a window. least: lightest passage, and lightest part of one, that counts by itself. tokens: most tokens of an automaton
-    (some 40 bytes each in a Python worker). chars: most characters of the evaluation set's windows."""
+    (some 60 bytes each in a Python worker). chars: most characters of the evaluation set's windows."""
 
     window: int = 16
     least: int = 10
-    tokens: int = 12_000_000
+    tokens: int = 6_000_000
     chars: int = 400_000_000
 
 
@@ -95,44 +98,51 @@ def original_offset(text: str, at: int) -> int:
     return len(text)
 
 
+def _codes(words: list[str]) -> dict[str, str]:
+    """Letters of each word, given the most frequent first: one for the first FREQUENT, two for all others, the first and the second of two from
+    alphabets of their own. So no node has very many branches, of which the automaton looks through one after the other."""
+    base = max(1, math.isqrt(len(words)) + 1)
+    at = lambda i: chr(i + 2 if i + 2 < 0xD800 else i + 0x802)  # noqa: E731  (code points but for surrogates; 1 stands for unknown words)
+    first, second = [at(FREQUENT + i) for i in range(base)], [at(FREQUENT + base + i) for i in range(base)]
+    rare = (a + b for a in first for b in second)
+    return {w: at(i) if i < FREQUENT else next(rare) for i, w in enumerate(words)}
+
+
 class _Items:
     """Test items in a Python worker: the automaton over their windows, and which items have which window."""
 
     def __init__(self, blob: bytes, p: Leak) -> None:
-        self.letters: dict[str, str] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         number: dict[str, int] = {}
-        ids, who, which, self.size, short = [], [], [], [], []
+        ids, who, which = [], [], []
         for line in zlib.decompress(blob).decode().split("\n"):
             name, *patterns = line.split("\t")
-            for x in patterns:
-                n = number.setdefault(x, len(number))
-                if n == len(short):
-                    words = x[1:].split()
-                    for w in words:
-                        self.letters.setdefault(w, chr(len(self.letters) + _FIRST + 1 + (0x800 if len(self.letters) + _FIRST + 1 >= _GAP else 0)))
-                    self.automaton.add_word("".join(self.letters[w] for w in words), n)
-                    self.size.append(len(words))
-                    short.append(x[0] == "s")
-                who.append(len(ids))
-                which.append(n)
+            which += [number.setdefault(x, len(number)) for x in patterns]
+            who += [len(ids)] * len(patterns)
             ids.append(int(name))
+        count = Counter(w for x in number for w in x[1:].split())
+        self.letters = _codes([w for w, _ in count.most_common()])
+        self.automaton, self.end = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+        for x, n in number.items():
+            code = "".join([self.letters[w] for w in x[1:].split()])
+            self.automaton.add_word(code, n)
+            self.end.append(len(code))
         self.automaton.make_automaton()
-        self.ids, self.short = np.array(ids, np.int64), np.array(short, bool)
+        self.ids, self.short = np.array(ids, np.int64), np.fromiter((x[0] == "s" for x in number), bool, len(number))
         who, which = np.array(who, np.int64), np.array(which, np.int64)
         self.total = np.bincount(who, minlength=len(ids))
         self.heavy = np.bincount(who[~self.short[which]], minlength=len(ids)) > 0
         order = np.argsort(which, kind="stable")
-        self.items, self.start = who[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(short)))])
+        self.items, self.start = who[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(number)))])
 
     def found(self, doc: int | None, text: str | None, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Items of which a text holds passages, their windows in it, and the offset of the first; `own`: not of the item of its number."""
+        """Items of which a text holds passages, their windows in it, and the token where the first begins; `own`: not of the item of its number."""
         if not text:
             return None
         low = text.lower()
-        pattern, get, none = _pattern(low), self.letters.get, chr(_FIRST)
+        get = self.letters.get
+        codes = [get(w, "\x01") for w in _pattern(low).findall(low)]
         first: dict[int, int] = {}
-        for end, n in self.automaton.iter("".join([get(w, none) for w in pattern.findall(low)])):
+        for end, n in self.automaton.iter("".join(codes)):
             first.setdefault(n, end)
         if not first:
             return None
@@ -140,24 +150,30 @@ class _Items:
         if self.short[n].all() and self.heavy[self.items[self.start[n[0]] : self.start[n[0] + 1]]].all() and len(n) == 1:
             return None
         width = self.start[n + 1] - self.start[n]
-        at = np.repeat(np.array([first[i] + 1 - self.size[i] for i in n.tolist()]), width)
+        ends = np.cumsum([0, *map(len, codes)])
+        at = np.repeat(np.searchsorted(ends, [first[i] + 1 - self.end[i] for i in n.tolist()]), width)
         item = self.items[np.repeat(self.start[n] - np.cumsum(width) + width, width) + np.arange(width.sum())]
         short = np.repeat(self.short[n], width)
         items, index = np.unique(item, return_inverse=True)
         count, long = np.bincount(index), np.bincount(index, ~short)
-        start = np.full(len(items), len(low))
+        start = np.full(len(items), len(low), np.int64)
         np.minimum.at(start, index, at)
         ok = (long > 0) | ~self.heavy[items] & (count == self.total[items])
         if own:
             ok &= self.ids[items] != (-1 if doc is None else doc)
         if not ok.any():
             return None
-        items, count, start = items[ok], count[ok], start[ok]
-        wanted = set(start.tolist())
-        spots = {i: m.start() for i, m in enumerate(pattern.finditer(low)) if i in wanted}
-        if len(low) != len(text):
-            spots = {i: original_offset(text, x) for i, x in spots.items()}
-        return items, count, np.array([spots[i] for i in start.tolist()])
+        return items[ok], count[ok], start[ok]
+
+
+def offsets(text: str, start: np.ndarray) -> np.ndarray:
+    """Offsets in the original text of tokens given by their numbers; read no farther than the last of them."""
+    low = text.lower()
+    wanted = set(start.tolist())
+    spots = {i: m.start() for i, m in enumerate(islice(_pattern(low).finditer(low), max(wanted) + 1)) if i in wanted}
+    if len(low) != len(text):
+        spots = {i: original_offset(text, x) for i, x in spots.items()}
+    return np.array([spots[i] for i in start.tolist()], np.int64)
 
 
 _held: dict[int, _Items] = {}
@@ -196,7 +212,7 @@ def _scans(documents: DataFrame, items: DataFrame, p: Leak, own: bool, schema: s
     chars, size = wanted.agg(F.coalesce(F.sum(F.length("line")), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     if chars > p.chars:
         raise ValueError(f"the evaluation set's windows hold {chars} characters; Leak.chars allows {p.chars}: scan for its parts in turn")
-    n = max(1, -(-size // p.tokens), -(-size // _LETTERS) if size > 8 * _LETTERS else 1)
+    n = max(1, -(-size // p.tokens))
     out = []
     for part in range(n):
         lines = [r.line for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == part).select("line").toLocalIterator()]
@@ -210,7 +226,8 @@ def _scans(documents: DataFrame, items: DataFrame, p: Leak, own: bool, schema: s
             for b in batches:
                 held = held or _of(name, blob.value, p)
                 docs = b.column(0).to_pylist()
-                yield from rows(held, docs, (held.found(d, t.as_py(), own) for d, t in zip(docs, b.column(1))))
+                texts = b.column(1).to_pylist()
+                yield from rows(held, docs, texts, (held.found(d, t, own) for d, t in zip(docs, texts)))
 
         out.append(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema))
     return out
@@ -229,10 +246,11 @@ def leaks(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own: bool =
     and passages have no hits; repeated rows count once (of several texts of one doc_id, that with the most windows counts);
     empty tables give an empty result."""
 
-    def rows(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
-        for d, f in zip(docs, found):
+    def rows(held: _Items, docs: list, texts: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+        for d, t, f in zip(docs, texts, found):
             if f:
-                items, count, at = f
+                items, count, start = f
+                at = offsets(t, start)
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(items), pa.int64()), pa.array(held.ids[items]), pa.array(count, pa.int64()), pa.array(_coverage(held, items, count)), pa.array(at, pa.int64())], ["doc_id", "item_id", "windows", "coverage", "first_at"])
 
     schema = "doc_id bigint, item_id bigint, windows bigint, coverage double, first_at bigint"
@@ -246,9 +264,9 @@ def leaks(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own: bool =
 def _joined(rows):
     """Small batches joined to one for each batch of documents."""
 
-    def run(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+    def run(held: _Items, docs: list, texts: list, found: Iterator) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
-        for b in rows(held, docs, found):
+        for b in rows(held, docs, texts, found):
             parts.append(b)
             n += b.num_rows
             if n > 100_000:
@@ -264,14 +282,14 @@ def contamination(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own:
     """One row for each doc_id: items (test items of which it holds passages; 0 if none), windows (of each item), coverage of the item that it
     covers most (ties: the least item_id), that item, and first_at of all. Summed text by text, without pairs. Odd rows as in leaks."""
 
-    def rows(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+    def rows(held: _Items, docs: list, texts: list, found: Iterator) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for d, f in zip(docs, found):
+        for d, t, f in zip(docs, texts, found):
             if f:
-                items, count, at = f
+                items, count, start = f
                 cover = _coverage(held, items, count)
                 top = cover.max()
-                out.append((d, len(items), int(count.sum()), float(top), int(held.ids[items[cover == top]].min()), int(at.min())))
+                out.append((d, len(items), int(count.sum()), float(top), int(held.ids[items[cover == top]].min()), int(offsets(t, start.min(keepdims=True))[0])))
             else:
                 out.append((d, 0, 0, 0.0, None, None))
         cols = list(zip(*out)) or [[]] * 6
@@ -292,7 +310,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, p: Leak = Leak(), own:
     """One row for each test item that leaked: documents that hold passages of it, and the largest coverage. Summed within
     the tasks, without pairs. A doc_id with several texts counts once for each of them; other odd rows as in leaks."""
 
-    def rows(held: _Items, docs: list, found: Iterator) -> Iterator[pa.RecordBatch]:
+    def rows(held: _Items, docs: list, texts: list, found: Iterator) -> Iterator[pa.RecordBatch]:
         n, cover = np.zeros(len(held.ids), np.int64), np.zeros(len(held.ids))
         for f in found:
             if f:
