@@ -31,6 +31,9 @@ PLACEHOLDER = "|".join([
     r"\[(?i:insert|your|enter|add|name|date|ihr|ihre|hier|votre|insérer|su|tu|insertar|inserir|seu|sua|inserisci|uw|twój|вставьте|ваш|ваше)(?: [^\[\]\n]{1,40})?\]", r"<(?i:insert|your|enter)[ _-][^<>\n]{1,40}>", r"\[object Object\]",
 ])
 
+#: How each of them begins.
+MARK = r"[{<\[%#$@_*](?:[{%(@_|\[]|[\p{L}])"
+
 # Words of filler texts.
 LATIN = (
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
@@ -129,6 +132,15 @@ class Residue:
     repeated: float = 0.2
 
 
+def _anchors(phrases: list[str]) -> Column:
+    """The longest word of each phrase: a text without any of them holds none of the phrases."""
+    return F.array(*map(F.lit, sorted({max(_plain(x).split(), key=len) for x in phrases if _plain(x).startswith(" ")})))
+
+
+#: Scripts without blanks, in which phrases are looked for wherever they stand.
+OPEN = "[\u0e00-\u0e7f\u3040-\u9fff]"
+
+
 def _words(x: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(x), NOT_WORD, "  ")), F.lit(" "))
 
@@ -152,19 +164,26 @@ def features(documents: DataFrame, p: Residue = Residue(), address: str | None =
     prose = F.when(F.instr(text, "`") > 0, F.regexp_replace(text, FENCED, " ")).otherwise(text)
     d = documents.select("doc_id", "source", url.alias("url"), prose.alias("prose"), F.length(text).alias("n"))
     short = F.col("n").between(1, p.page)
-    marks = F.when(F.col("prose").rlike(r"[{}\[\]<>%#$@_|]"), _all("prose", PLACEHOLDER))
+    marks = F.when(F.col("prose").rlike(MARK), _all("prose", PLACEHOLDER))
     d = d.withColumns({
-        "marks": marks, "latin": F.when(F.col("prose").rlike("(?i)ipsum|consectetu|eiusmod|incididunt"), _all(_words(F.col("prose")), LATINS)),
+        "marks": marks, "latin": F.when(F.lower("prose").rlike("ipsum|consectetu|eiusmod|incididunt"), _all(_words(F.col("prose")), LATINS)),
         "bare": F.when(short, F.regexp_replace("prose", r"https?://[^ \t\r\n]+", " ")),
     })
     d = d.withColumn("title", F.when(short, F.coalesce(*[F.nullif(F.trim(F.regexp_extract("bare", x, 1)), F.lit("")) for x in (HEADING, TAGGED, FIRST)], F.lit(""))))
     at = F.when(F.col("title") != "", F.instr("bare", F.col("title"))).otherwise(0)
     rest = F.when(at > 0, F.concat(F.substring("bare", F.lit(1), at - 1), F.lit(" "), F.substring("bare", at + F.length("title"), F.length("bare")))).otherwise(F.col("bare"))
     path = F.regexp_extract("url", r"https?://[^/]+(/.*)", 1)
-    d = d.withColumns({"w": F.when(short, _words(F.col("bare"))), "tw": F.when(short, _words(F.col("title"))), "rest": rest})
-    d = d.withColumns({"body": _terms(F.col("rest")), "all": _terms(F.col("bare")), "title_terms": _terms(F.col("title")), "slug": F.when(short, F.filter(_terms(path), lambda t: ~t.rlike(r"^\p{Nd}+$")))})
+    d = d.withColumns({"w": F.when(short, _words(F.col("bare"))), "tw": F.when(short & (F.col("title") != ""), _words(F.col("title"))), "rest": F.when(at > 0, rest)})
+    split = lambda c: F.filter(F.array_distinct(F.split(F.trim(F.col(c)), "  ")), lambda t: F.length(t) > 0)
+    d = d.withColumns({"all": split("w"), "title_terms": F.when(short, F.coalesce(split("tw"), F.array().cast("array<string>")))})
+    slug = F.filter(_terms(path), lambda t: ~t.rlike(r"^\p{Nd}+$"))
+    d = d.withColumns({"body": F.coalesce(_terms(F.col("rest")), F.col("all")), "slug": F.when(short, F.when(F.col("url") != "", slug).otherwise(F.array().cast("array<string>")))})
     part = lambda pattern, x="w": _long(F.transform(_all(x, pattern), lambda m: F.replace(m, F.lit(" "), F.lit("")))) / F.greatest(F.length(F.replace(F.col(x), F.lit(" "), F.lit(""))), F.lit(1))
-    phrase = lambda pattern: F.when(short & F.col("w").rlike(pattern), F.greatest(part(f"{pattern}|{SUPPORTS}"), F.when(F.col("tw").rlike(pattern), part(f"{pattern}|{SUPPORTS}", "tw")).otherwise(0))).otherwise(0.0)
+    open_ = F.col("w").rlike(OPEN)
+    # cheap tests first: most texts hold none of the words
+    may = {ERRORS: F.arrays_overlap("all", _anchors(ERROR)) | open_, FILLERS: F.arrays_overlap("all", _anchors(FILLER)) | open_, SCRIPT: F.arrays_overlap("all", _anchors(HUMAN)) | (F.instr("w", "javascript") > 0) | (F.instr("w", "java  script") > 0) | (F.instr("w", "cookie") > 0) | open_}
+    holds = lambda pattern: short & may[pattern] & F.col("w").rlike(pattern)
+    phrase = lambda pattern: F.when(holds(pattern), F.greatest(part(f"{pattern}|{SUPPORTS}"), F.when(F.col("tw").rlike(pattern), part(f"{pattern}|{SUPPORTS}", "tw")).otherwise(0))).otherwise(0.0)
     size = F.size("all")
     little = short & size.between(p.least, p.few)
     letters_of = F.length(F.regexp_replace("prose", NOT_WORD, ""))
@@ -174,12 +193,12 @@ def features(documents: DataFrame, p: Residue = Residue(), address: str | None =
         "doc_id", F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"https?://([^/:]+)", 1)), F.lit("")), F.col("source"), F.lit("?")).alias("host"),
         (F.coalesce(_long("marks"), F.lit(0)) >= F.greatest(F.lit(1.0), p.share * F.col("n"))).alias("placeholder"),
         (
-            F.coalesce(_long(F.transform("latin", lambda m: F.replace(m, F.lit(" "), F.lit("")))) >= p.filled * letters_of, F.lit(False))
-            | F.coalesce(short & ((size >= 6) & (part(PANGRAMS) >= 0.9) | vacant | F.col("w").rlike(FILLERS) & (part(f"{FILLERS}|{SUPPORTS}") >= p.covered)), F.lit(False))
+            F.when(F.col("latin").isNotNull(), _long(F.transform("latin", lambda m: F.replace(m, F.lit(" "), F.lit("")))) >= p.filled * letters_of).otherwise(False)
+            | F.coalesce(short & ((size >= 6) & F.array_contains("all", "fox") & (part(PANGRAMS) >= 0.9) | vacant | holds(FILLERS) & (part(f"{FILLERS}|{SUPPORTS}") >= p.covered)), F.lit(False))
         ).alias("filler"),
         F.round(phrase(ERRORS), 6).alias("error"), F.round(phrase(SCRIPT), 6).alias("script"), F.coalesce(little, F.lit(False)).alias("little"), place.alias("place"),
         F.coalesce(~F.arrays_overlap("slug", "body") & ~F.arrays_overlap("title_terms", "body"), F.lit(False)).alias("apart"),
-        F.when(short, F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.transform("body", lambda t: F.regexp_replace(t, r"\p{Nd}+", "0")))), " "))).otherwise(F.xxhash64(F.lit("long"), "doc_id")).alias("skeleton"),
+        F.when(little & place.isNotNull() | holds(ERRORS) | holds(SCRIPT), F.xxhash64(F.array_join(F.array_sort(F.array_distinct(F.transform("body", lambda t: F.regexp_replace(t, r"\p{Nd}+", "0")))), " "))).otherwise(F.xxhash64(F.lit("long"), "doc_id")).alias("skeleton"),
     )
     return d.distinct()
 
@@ -228,10 +247,10 @@ f AS (SELECT *, {terms("rest")} AS body, {terms("bare")} AS terms, {terms("title
 g AS (SELECT DISTINCT doc_id, coalesce(nullif(lower(regexp_extract(url, 'https?://([^/:]+)', 1)), ''), source, '?') AS host,
   coalesce(len(array_to_string(regexp_extract_all(prose, {q(PLACEHOLDER)}), '')), 0) >= greatest(1.0, {p.share} * n) AS placeholder,
   (regexp_matches(prose, '(?i)ipsum|consectetu|eiusmod|incididunt') AND {found(words("prose"), LATINS)} >= {p.filled} * len(regexp_replace(prose, {q(NOT_WORD)}, '', 'g')))
-  OR (short AND ((len(terms) >= 6 AND {part(PANGRAMS)} >= 0.9) OR (len(terms) BETWEEN 1 AND 2 AND len(regexp_split_to_array(trim(w), ' +')) >= 8) OR (regexp_matches(w, {q(FILLERS)}) AND {part(both(FILLERS))} >= {p.covered}))) AS filler,
+  OR (short AND ((len(terms) >= 6 AND list_contains(terms, 'fox') AND {part(PANGRAMS)} >= 0.9) OR (len(terms) BETWEEN 1 AND 2 AND len(regexp_split_to_array(trim(w), ' +')) >= 8) OR (regexp_matches(w, {q(FILLERS)}) AND {part(both(FILLERS))} >= {p.covered}))) AS filler,
   round({phrase(ERRORS)}, 6) AS error, round({phrase(SCRIPT)}, 6) AS script, short AND len(terms) BETWEEN {p.least} AND {p.few} AS little,
   coalesce(nullif(url, ''), CASE WHEN short AND len(title_terms) > 0 THEN '#' || doc_id END) AS place, NOT list_has_any(slug, body) AND NOT list_has_any(title_terms, body) AS apart,
-  CASE WHEN short THEN array_to_string(list_sort(list_distinct(list_transform(body, lambda t: regexp_replace(t, '\\p{{Nd}}+', '0', 'g')))), ' ') ELSE '#' || doc_id END AS skeleton FROM f),
+  CASE WHEN (short AND len(terms) BETWEEN {p.least} AND {p.few} AND coalesce(nullif(url, ''), CASE WHEN len(title_terms) > 0 THEN '#' END) IS NOT NULL) OR (short AND (regexp_matches(w, {q(ERRORS)}) OR regexp_matches(w, {q(SCRIPT)}))) THEN array_to_string(list_sort(list_distinct(list_transform(body, lambda t: regexp_replace(t, '\\p{{Nd}}+', '0', 'g')))), ' ') ELSE '#' || doc_id END AS skeleton FROM f),
 h AS (SELECT host, skeleton, count(DISTINCT place) AS copies FROM g WHERE place IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT place) >= {p.copies}),
 i AS (SELECT g.*, coalesce(h.copies, 1) AS copies, h.copies IS NOT NULL AS again FROM g LEFT JOIN h ON g.host = h.host AND g.skeleton = h.skeleton),
 j AS (SELECT doc_id, copies, concat_ws(',', CASE WHEN little AND place IS NOT NULL AND apart AND again THEN 'canned' END, CASE WHEN error >= {p.covered} OR (again AND error >= {p.repeated}) THEN 'error_page' END,
