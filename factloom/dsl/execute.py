@@ -8,7 +8,7 @@ from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.dsl.language import Both, LanguageError, Not, Query
@@ -87,11 +87,16 @@ def mode_of(q: Query) -> Mode:
     return replace(m, weights=replace(m.weights, **q.weights))
 
 
-def run(q: Query, versions: DataFrame, entries: DataFrame, edges: DataFrame, sources: DataFrame, now: datetime, embed: Callable[[str], list[float]] = hashed_vector, default_limit: int = 10) -> DataFrame:
+def run(q: Query, versions: DataFrame, entries: DataFrame, edges: DataFrame, sources: DataFrame, now: datetime, embed: Callable[[str], list[float]] = hashed_vector, default_limit: int = 10, rerankers: dict[str, Callable[[str, list[str]], str] | None] | None = None) -> DataFrame:
     """Result of a query over versions (ns, id, ...), entries (write_id, ns, node_id, vec, content), edges and sources.
 
     Newest versions valid at AS OF (else now) and known by KNOWN AT (else whenever) are filtered, then ranked by
-    similarity of their entries; FOLLOW adds what edges lead to from the best hits. An empty namespace means all."""
+    similarity of their entries; FOLLOW adds what edges lead to from the best hits. An empty namespace means all.
+    rerankers: models by name for RERANK, each from the query and the texts to an answer like '3,1,2'; `default` keeps the order
+    unless it is given. A name that isn't there is an error. Reranked scores are 1 - i / n."""
+    models = {"default": None, **(rerankers or {})}
+    if q.rerank and q.rerank not in models:
+        raise LanguageError(f"no reranker {q.rerank!r}; there are {', '.join(sorted(models))}")
     at = q.as_of or now
     t = _literal(at)
     n = versions.where(valid_at(t))
@@ -124,6 +129,8 @@ def run(q: Query, versions: DataFrame, entries: DataFrame, edges: DataFrame, sou
     ranked = retrieve.rank(fused, n, wanted, mode.weights).orderBy(F.desc("score"), "ns", "id").limit(limit)
     keep = ["ns", "id", "score", "path", F.col("similarity").alias("_similarity")]
     out = ranked.select(*keep).join(n, ["ns", "id"]).withColumn("similarity", F.col("_similarity"))
+    if q.rerank:
+        out = _reranked(out, q.text, models[q.rerank])
     fields = q.fields or ["ns", "id", "score", "content"]
     unknown = [f for f in fields if f not in FIELDS or f == "rank"]
     if unknown:
@@ -131,5 +138,13 @@ def run(q: Query, versions: DataFrame, entries: DataFrame, edges: DataFrame, sou
     return _selected(out, fields)
 
 
+def _reranked(out: DataFrame, query: str, model: Callable[[str, list[str]], str] | None) -> DataFrame:
+    """At most the query's limit of rows, in the order that the model says."""
+    best = out.select(F.lit(0).cast("bigint").alias("retrieve_id"), F.concat_ws("\x1f", "ns", "id").alias("id"), F.coalesce("content", F.lit("")).alias("content"), F.row_number().over(Window.orderBy(F.desc("score"), "ns", "id")).alias("rank"))
+    order = (lambda pdf: retrieve.parsed_ranking(model(query, pdf.content.tolist()), len(pdf))) if model else None
+    new = retrieve.rerank(best, order).select(F.split_part("id", F.lit("\x1f"), F.lit(1)).alias("ns"), F.split_part("id", F.lit("\x1f"), F.lit(2)).alias("id"), F.round("score", 6).alias("_score"))
+    return out.join(new, ["ns", "id"]).withColumn("score", F.col("_score"))
+
+
 def _selected(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[F.col(FIELDS[f]).alias(f.replace(".", "_")) for f in fields])

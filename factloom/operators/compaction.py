@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import sm2
-from factloom.functions.score import clamp
+from factloom.functions.score import clamp, neutral
 from factloom.functions.temporal import hours_between
+from factloom.functions.text import hashed_uuid
 from factloom.functions.vector import unit
 from factloom.operators import search
 from factloom.operators.ingest import first_independent
@@ -49,9 +50,28 @@ def summaries(clusters: DataFrame, entries: DataFrame, texts: int = 3, chars: in
     return nodes, clusters.join(nodes.select("leader"), "leader", "left_semi").select(F.col("leader").alias("src"), F.col("id").alias("dst"), F.lit("derived_from").alias("edge_type"), F.lit(1.0).alias("weight"))
 
 
+def episodic(valid: DataFrame, t: Column, least_hours: float = 24) -> DataFrame:
+    """Episodic nodes of a day or older that aren't consolidated yet (where there is such a column)."""
+    old = valid.where((F.coalesce(F.col("mem_type") == "episodic", F.lit(False)) | F.coalesce(F.array_contains("labels", "Episode"), F.lit(False))) & (hours_between(F.col("valid_from"), t) >= least_hours))
+    return old.where(~F.coalesce("consolidated", F.lit(False))) if "consolidated" in valid.columns else old
+
+
+def facts(valid: DataFrame, t: Column, least_hours: float = 24, least_nodes: int = 3, chars: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(ns, id, nodes, confidence, text) of the fact of each namespace, and its originals (ns, id, fact, consolidated).
+
+    valid: also content. The text is what the first nodes say, joined, up to `chars` characters; as each adds two or more, so many
+    halved are enough. Without any text there is no fact. Unknown confidences count 0.5."""
+    old = episodic(valid, t, least_hours)
+    said = old.where("content is not null and content <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("ns").orderBy("valid_from", "id"))).where(F.col("_n") <= chars // 2)
+    text = said.groupBy("ns").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.substring("content", 1, chars).alias("c")))), lambda x: x["c"]), "; ").alias("text"))
+    g = old.groupBy("ns").agg(F.count("*").alias("nodes"), F.round(F.avg(neutral(F.col("confidence"))), 6).alias("confidence")).where(F.col("nodes") >= least_nodes)
+    out = g.join(text, "ns").select("ns", hashed_uuid(F.lit("fact"), "ns", t).alias("id"), "nodes", "confidence", F.concat(F.lit("Consolidated: "), F.substring("text", 1, chars)).alias("text"))
+    return out, old.select("ns", "id").join(out.select("ns", F.col("id").alias("fact")), "ns").select("ns", "id", "fact", F.lit(True).alias("consolidated"))
+
+
 def consolidate(valid: DataFrame, t: Column, least_hours: float = 24, least_nodes: int = 3) -> DataFrame:
     """(ns, nodes, confidence, labels, first, last): one semantic fact per namespace from its episodic nodes of a day or older, if there are enough."""
-    old = valid.where((F.coalesce(F.col("mem_type") == "episodic", F.lit(False)) | F.coalesce(F.array_contains("labels", "Episode"), F.lit(False))) & (hours_between(F.col("valid_from"), t) >= least_hours))
+    old = episodic(valid, t, least_hours)
     labels = old.select("ns", F.explode("labels").alias("l")).where("l <> 'Episode'").groupBy("ns").agg(F.sort_array(F.collect_set("l")).alias("labels"))
     g = old.groupBy("ns").agg(F.count("*").alias("nodes"), F.round(F.avg("confidence"), 6).alias("confidence"), F.min("valid_from").alias("first"), F.max("valid_from").alias("last"))
     return g.where(F.col("nodes") >= least_nodes).join(labels, "ns", "left")
@@ -66,14 +86,20 @@ def recall_quality(confidence: Column, utility: Column, age_hours: Column) -> Co
     return q
 
 
-def recall_cycle(valid: DataFrame, t: Column, most: int | None = None) -> DataFrame:
-    """(ns, id, quality, interval_days, easiness, utility): a first review of each node; with `most`, of the most urgent ones only."""
+def recall_cycle(valid: DataFrame, t: Column, most: int | None = None, schedule: DataFrame | None = None) -> DataFrame:
+    """(ns, id, quality, interval_days, easiness, utility): a first review of each node; with `most`, of the most urgent ones only.
+
+    schedule (ns, id, easiness, interval_days, repetitions, next_review): reviews before; only nodes that are due at t (next_review by t, or
+    none) are reviewed, and the result also has repetitions and next_review, the schedule of the next cycle."""
     age = F.greatest(F.lit(0.0), hours_between(F.col("valid_from"), t))
     q = recall_quality(clamp(F.coalesce("confidence", F.lit(0.0))), F.col("utility"), age)
     start = F.struct(F.lit(2.5).alias("easiness"), F.lit(0).alias("interval_days"), F.lit(0).alias("repetitions"))
+    if schedule is not None:
+        valid = valid.join(schedule.select("ns", "id", F.struct("easiness", "interval_days", "repetitions").alias("_s"), "next_review"), ["ns", "id"], "left").where(F.col("next_review").isNull() | (F.col("next_review") <= t))
+        start = F.coalesce(F.col("_s"), start)
     n = valid.withColumn("quality", q).withColumn("s", sm2.review(start, F.col("quality")))
     gain = F.when(F.col("quality") >= 3, 0.05 * F.col("quality") / 5).otherwise(-0.02 * (3 - F.col("quality")))
-    out = n.select("ns", "id", "quality", F.col("s.interval_days").alias("interval_days"), F.round("s.easiness", 6).alias("easiness"), F.round(clamp(F.coalesce("utility", F.lit(0.5)) + gain), 6).alias("utility"), age.alias("age"))
+    out = n.select("ns", "id", "quality", F.col("s.interval_days").alias("interval_days"), F.round("s.easiness", 6).alias("easiness"), F.round(clamp(F.coalesce("utility", F.lit(0.5)) + gain), 6).alias("utility"), age.alias("age"), *([] if schedule is None else [F.col("s.repetitions").alias("repetitions"), (t + F.make_dt_interval(F.col("s.interval_days"))).alias("next_review")]))
     return (out.orderBy(F.desc("age"), "ns", "id").limit(most) if most else out).drop("age")
 
 

@@ -51,12 +51,12 @@ def credibility_table(sources: DataFrame, t: Column) -> DataFrame:
 def thompson(sources: DataFrame, seed: int = 0) -> DataFrame:
     """One draw of each source's credibility from its Beta distribution."""
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = int.from_bytes(pdf.id.iloc[0].encode()[-8:], "little")
-        pdf = pdf.assign(sample=np.random.default_rng([seed, key]).beta(np.maximum(pdf.alpha, 1e-9), np.maximum(pdf.beta, 1e-9)))
-        return pdf[["id", "sample"]]
+    def draw(pdfs):
+        for pdf in pdfs:
+            rngs = [np.random.default_rng([seed, int.from_bytes(i.encode()[-8:], "little")]) for i in pdf.id]
+            yield pd.DataFrame({"id": pdf.id, "sample": [r.beta(max(a, 1e-9), max(b, 1e-9)) for r, a, b in zip(rngs, pdf.alpha, pdf.beta)]})
 
-    return sources.select("id", "alpha", "beta").groupBy("id").applyInPandas(draw, "id string, sample double")
+    return sources.where("id is not null").select("id", "alpha", "beta").mapInPandas(draw, "id string, sample double")
 
 
 def ucb_rank(sources: DataFrame, explore: float = 1.0) -> DataFrame:
@@ -134,6 +134,29 @@ def gaps(entries: DataFrame, sample: int = 20, low: float = 0.1, high: float = 0
     return mid.drop("vec").join(d, "id", "left").withColumn("density", F.coalesce("density", F.lit(0.0))).where(F.col("density") < sparse).select("ns", "a", "b", F.round("similarity", 6).alias("similarity"), "density")
 
 
+def gap_details(found: DataFrame, entries: DataFrame, nodes: DataFrame, t: Column, most: int = 10, k: int = 5) -> DataFrame:
+    """(ns, rank, a, b, density, confidence, age_hours): of each namespace the `most` sparsest gaps, with the mean confidence of the nodes around
+    the midpoint (unknown 0.5) and the age of the oldest of them.
+
+    found: of gaps. entries: also node_id."""
+    from factloom.functions.vector import midpoint
+
+    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("ns").orderBy("density", "a", "b"))).where(F.col("rank") <= most)
+    side = lambda x: entries.select(F.col("id").alias(x), F.col("vec").alias(f"v{x}"))
+    mid = top.join(side("a"), "a").join(side("b"), "b").select("ns", "rank", "a", "b", "density", midpoint(F.col("va"), F.col("vb")).alias("vec"), F.xxhash64("a", "b").alias("id"))
+    near = search.topk(mid.select("id", F.col("ns").alias("scope"), "vec"), entries.select("id", F.col("ns").alias("scope"), "vec"), k)
+    n = nodes.select("ns", F.col("id").alias("node_id"), neutral(F.col("confidence")).alias("c"), F.greatest(F.lit(0.0), hours_between(F.col("valid_from"), t)).alias("age"))
+    around = near.join(entries.select(F.col("id").alias("row"), "ns", "node_id"), "row").join(n, ["ns", "node_id"], "left")
+    g = around.groupBy(F.col("query").alias("id")).agg(F.round(F.avg(F.coalesce("c", F.lit(0.5))), 6).alias("confidence"), F.round(F.coalesce(F.max("age"), F.lit(0.0)), 6).alias("age_hours"))
+    return mid.drop("vec").join(g, "id", "left").select("ns", F.col("rank").cast("bigint").alias("rank"), "a", "b", "density", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("age_hours", F.lit(0.0)).alias("age_hours"))
+
+
+def contradiction_severity(gap: Column, weight: Column) -> Column:
+    """high, medium or low by the gap of confidence and the weight of the contradiction (0 or null counts 1)."""
+    w = F.when(F.coalesce(weight, F.lit(0.0)) == 0, 1.0).otherwise(weight)
+    return F.when((gap >= 0.5) | (w >= 0.9), "high").when((gap >= 0.2) | (w >= 0.5), "medium").otherwise("low")
+
+
 def gap_report(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per namespace: gaps, nodes and coverage max(0, 1 - gaps / nodes)."""
     n = nodes.groupBy("ns").agg(F.count("*").alias("nodes"))
@@ -148,6 +171,12 @@ def grounding(claims: DataFrame, entries: DataFrame, least: float = 0.7) -> Data
     return out.select(F.col("query").alias("claim"), F.col("row").alias("best"), F.round("similarity", 6).alias("similarity"), F.coalesce(F.round("similarity", 6) >= least, F.lit(False)).alias("grounded"))
 
 
+def acquisitions(suggested: DataFrame, budget: int = 10) -> DataFrame:
+    """(ns, rank, id, kind, priority): of each namespace the first suggestions by priority, then kind and id; a budget of 0 or less means 10."""
+    n = F.row_number().over(Window.partitionBy("ns").orderBy(F.desc("priority"), "kind", "id"))
+    return suggested.withColumn("rank", n.cast("bigint")).where(F.col("rank") <= (budget if budget > 0 else 10)).select("ns", "rank", "id", "kind", "priority")
+
+
 def active_learning(valid: DataFrame, edges: DataFrame, t: Column) -> DataFrame:
     """(ns, id, kind, priority): what to acquire: support for weak claims, what expires soon, old firm claims in conflict."""
     against = edges.where("edge_type = 'contradicts'").select("ns", F.col("src").alias("id")).distinct().withColumn("against", F.lit(True))
@@ -262,11 +291,14 @@ def isotonic_fit(outcomes: DataFrame, digits: int = 4) -> tuple[np.ndarray, np.n
 def isotonic(outcomes: DataFrame, digits: int = 4) -> DataFrame:
     x, y = isotonic_fit(outcomes, digits)
 
-    @F.pandas_udf("double")
-    def at(p: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(p, x, y)) if len(x) else p
-
-    return outcomes.withColumn("calibrated", at("predicted"))
+    if not len(x):
+        return outcomes.withColumn("calibrated", F.col("predicted"))
+    # few knots: the stretch is found by counting those below, and interpolated
+    p, xs, ys = F.col("predicted"), F.array(*map(F.lit, x.tolist())), F.array(*map(F.lit, y.tolist()))
+    i = F.size(F.filter(xs, lambda k: k <= p))
+    at = lambda a, j: F.element_at(a, F.greatest(F.lit(1), F.least(F.lit(len(x)), j)))
+    x0, x1, y0, y1 = at(xs, i), at(xs, i + 1), at(ys, i), at(ys, i + 1)
+    return outcomes.withColumn("calibrated", F.when(i == 0, float(y[0])).when((i >= len(x)) | (x1 <= x0), y0).otherwise(y0 + (y1 - y0) * (p - x0) / (x1 - x0)))
 
 
 # --- reports

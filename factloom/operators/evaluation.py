@@ -20,6 +20,25 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return j.select("query", r(F.col("dcg") / ideal, "ndcg"), r(F.col("found") / F.col("n"), "recall"), r(1 / F.col("first"), "rr"), F.coalesce(F.col("found") > 0, F.lit(False)).alias("hit"), F.col("first").alias("first_rank"))
 
 
+def ranking_eval(ranked: DataFrame, golden: DataFrame) -> DataFrame:
+    """One row: queries, mean reciprocal rank of the expected item, and how many queries pass, having it among the first `cutoff`.
+
+    ranked: query, id, rank; golden: query, id, cutoff, one expected item a query."""
+    g = golden.join(ranked.select("query", "id", "rank"), ["query", "id"], "left")
+    return g.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.sum(F.coalesce((F.col("rank") <= F.col("cutoff")).cast("bigint"), F.lit(0))).alias("passed"))
+
+
+def stats(writes: DataFrame, requests: DataFrame, latencies: DataFrame) -> DataFrame:
+    """One row: writes, admitted, rejected, retrievals, and of their latencies (latency) the mean and nearest-rank p50 and p95."""
+    from factloom.operators.epistemics import quantiles
+
+    w = writes.groupBy("write_id").agg(F.max("admitted").alias("ok")).agg(F.count("*").alias("ingest_total"), F.coalesce(F.sum(F.col("ok").cast("bigint")), F.lit(0)).alias("ingest_admitted"))
+    r = requests.select("retrieve_id").distinct().agg(F.count("*").alias("retrieval_total"))
+    one = quantiles(latencies.select("latency").withColumn("_all", F.lit(1)), "latency", ["_all"]).select("mean", "p50", "p95")
+    out = w.crossJoin(r).join(one, F.lit(True), "left")  # three single rows
+    return out.select("ingest_total", "ingest_admitted", (F.col("ingest_total") - F.col("ingest_admitted")).alias("ingest_rejected"), "retrieval_total", "mean", "p50", "p95")
+
+
 def ranking_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(query, id, before, after, moved): full join of two rankings; moved is positive upwards, null where an item appears or disappears."""
     b = before.select("query", "id", F.col("rank").alias("before"))

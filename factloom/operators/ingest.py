@@ -17,8 +17,8 @@ from factloom.session import cut
 
 
 def dedup(writes: DataFrame, latest_valid: DataFrame) -> DataFrame:
-    """(write_id, fp, node_id, reason) of writes that ask for deduplication: `deduplicated` onto the valid node of the same fingerprint,
-    `repeats` an earlier write of the batch, otherwise null. Blank contents have no fingerprint and are never repeats."""
+    """(write_id, fp, node_id, reason, first) of writes that ask for deduplication: `deduplicated` onto the valid node of the same fingerprint,
+    `repeats` an earlier write of the batch, otherwise null. first: the first write of the batch with the fingerprint. Blank contents have no fingerprint and are never repeats."""
     w = writes.where(F.coalesce("dedup", F.lit(False))).select("write_id", "ns", "received_at", F.nullif(fingerprint("content"), F.lit("")).alias("fp")).distinct()
     n = latest_valid.where("fingerprint is not null and fingerprint <> ''").groupBy("ns", F.col("fingerprint").alias("fp")).agg(F.min("id").alias("node_id"))
     # a repeat is told by the first of its fingerprint; blanks are numbered by nothing and stay where they are
@@ -26,7 +26,7 @@ def dedup(writes: DataFrame, latest_valid: DataFrame) -> DataFrame:
     spread = F.coalesce("fp", F.concat(F.lit("#"), F.col("write_id").cast("string")))
     j = w.withColumn("key", spread).join(first.select("ns", F.col("fp").alias("key"), F.col("first.write_id").alias("first")), ["ns", "key"], "left").join(n.withColumnRenamed("fp", "key"), ["ns", "key"], "left")
     reason = F.when(F.col("node_id").isNotNull(), "deduplicated").when(F.col("first") != F.col("write_id"), "repeats")
-    return j.select("write_id", "fp", "node_id", reason.alias("reason"))
+    return j.select("write_id", "fp", "node_id", reason.alias("reason"), "first")
 
 
 def admission(credibility: Column, most_similar: Column, threshold: float) -> tuple[Column, Column]:

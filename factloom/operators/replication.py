@@ -26,6 +26,15 @@ def missing(here: DataFrame, there: DataFrame, key: str, since: Column, until: C
     return here.where((F.col(ts) > since) & (F.col(ts) <= until)).join(there.select(key), key, "left_anti")
 
 
+def replicate(here: DataFrame, there: DataFrame, watermark: Column, own: str, key: list[str], order: list[str], overlap: str = "1 minute", ns: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One pull: here after the peer's rows later than the watermark less an overlap, without those of the own origin, were merged; and the
+    new watermark (one row). Rows: key, order, tx_time, origin; the last by `order` (all descending) wins, so that rows pulled again do no
+    harm. ns: only this namespace."""
+    new = there.where((F.col("tx_time") > watermark - F.expr(f"interval {overlap}")) & ~F.coalesce(F.col("origin") == own, F.lit(False)))
+    new = new.where(F.col("ns") == ns) if ns is not None else new
+    return last_writer(here.unionByName(new.select(*here.columns)), key, order), new.agg(F.coalesce(F.greatest(F.max("tx_time"), F.max(watermark)), watermark).alias("watermark"))
+
+
 def since(log: DataFrame, watermark: Column, overlap: str = "1 minute", own: str | None = None, origin: str = "origin", ts: str = "ts") -> DataFrame:
     """Events after the watermark less an overlap, without those of the own origin, in time order."""
     rows = log.where(F.col(ts) > watermark - F.expr(f"interval {overlap}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -150,6 +151,19 @@ def mmr(ranked: DataFrame, vectors: DataFrame, trade: float, k: int) -> DataFram
     return have.groupBy("retrieve_id").applyInPandas(greedy, "retrieve_id bigint, id string, score double, mmr_rank long")
 
 
+def ranking_prompt(query: str, texts: list[str]) -> str:
+    """What a model is asked for: an order of numbered texts, each cut to 200 characters."""
+    cut_ = [t if len(t) <= 200 else t[:200] + "..." for t in texts]
+    return "\n".join([f"Query: {query}", "Order the texts by how well they answer the query. Give their numbers only, the best first, separated by commas.", *[f"Text {i}: {t}" for i, t in enumerate(cut_, 1)]])
+
+
+def parsed_ranking(answer: str, n: int) -> list[int]:
+    """Positions from 1 that an answer like '3, 1, 2' gives: each once, unknown ones left out, missing ones appended."""
+    said = [int(m.group()) for x in answer.split(",") if (m := re.match(r"[+-]?\d+", x.strip()))]
+    said = list(dict.fromkeys(i for i in said if 1 <= i <= n))
+    return said + [i for i in range(1, n + 1) if i not in set(said)]
+
+
 def rerank(ranked: DataFrame, order: Callable[[pd.DataFrame], list[int]] | None = None) -> DataFrame:
     """Put each request's results into the order that a callable gives (positions from 1; unknown and repeated ones are
     ignored, missing ones follow). Without one, or where it fails, the order stays. Scores become 1 - i / n."""

@@ -34,8 +34,9 @@ def retry_recommendations(candidates: DataFrame, now: Column) -> DataFrame:
 
 
 def retry_fatigue(recommended: DataFrame, target: str = "family") -> DataFrame:
-    """Per target: candidates, ready ones, attempts and the latest failure."""
-    return recommended.groupBy(target).agg(F.count("*").alias("candidates"), F.sum(F.col("ready").cast("bigint")).alias("ready"), F.sum("attempts").alias("attempts"), F.max("last_ts").alias("last_ts"))
+    """Per target: candidates, ready and waiting ones, attempts, and when and with which status and key the latest failure was."""
+    g = recommended.groupBy(target).agg(F.count("*").alias("candidates"), F.sum(F.col("ready").cast("bigint")).alias("ready"), F.sum("attempts").alias("attempts"), F.max(F.struct("last_ts", "key", "status")).alias("x"))
+    return g.select(target, "candidates", "ready", (F.col("candidates") - F.col("ready")).alias("waiting"), "attempts", "x.last_ts", F.col("x.key").alias("last_key"), F.col("x.status").alias("last_status"))
 
 
 def trust_anomalies(history: DataFrame, refuted: DataFrame, drop: float, low: float, many: int) -> DataFrame:

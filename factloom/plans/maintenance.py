@@ -10,7 +10,7 @@ from factloom.functions.keys import distinct_strings, trimmed
 from factloom.functions.score import clamp, decay_alpha, neutral
 from factloom.functions.text import fingerprint
 from factloom.functions.temporal import valid_at
-from factloom.operators import compaction, evaluation, graph, ingest, replication, review, search, temporal
+from factloom.operators import compaction, evaluation, filters, graph, ingest, replication, review, search, temporal
 from factloom.operators import epistemics as ep
 from factloom.plans import retrieval
 from factloom.plans.epistemic import _ACT, _EFF, _HIST, _SRC, _VALID, feedback
@@ -30,7 +30,7 @@ def _writes(spark, d):
 
 def _dedup(spark: SparkSession, d: str) -> DataFrame:
     n = temporal.latest(v.nodes(spark, d)).where(valid_at(v.now()))
-    return ingest.dedup(_writes(spark, d), n)
+    return ingest.dedup(_writes(spark, d), n).drop("first")
 
 
 def _credibility(spark, d):
@@ -46,7 +46,7 @@ def _new_and_stored(spark, d, admitted=True):
 
 
 def _admit(spark: SparkSession, d: str) -> DataFrame:
-    new, stored = _new_and_stored(spark, d)
+    new, stored = _new_and_stored(spark, d, admitted=False)
     return ingest.admit(new, stored, _credibility(spark, d))
 
 
@@ -202,20 +202,29 @@ def _repair(spark: SparkSession, d: str) -> DataFrame:
     return n.join(v.vectors(spark, d).select("ns", F.col("node_id").alias("id")), ["ns", "id"], "left_anti")
 
 
+def said(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """Nodes with `content`, what their last entry says."""
+    text = entries.where("node_id is not null").groupBy("ns", F.col("node_id").alias("id")).agg(F.max_by("content", "write_id").alias("content"))
+    return nodes.join(text, ["ns", "id"], "left")
+
+
 def _search(spark: SparkSession, d: str) -> DataFrame:
-    """Substring search over valid nodes; the first of source, label and id that holds it is the reason."""
-    has = lambda c: F.lower(c).contains("kio")
-    n = temporal.valid_nodes(v.nodes(spark, d), v.now())
-    why = F.when(has(F.col("source_id")), "source").when(F.exists("labels", has), "label").when(has(F.col("id")), "id")
-    return n.select("ns", "id", "source_id", why.alias("match_reason")).where("match_reason is not null")
+    return filters.admin_search(said(temporal.valid_nodes(v.nodes(spark, d), v.now()), v.vectors(spark, d)), "Kio")
+
+
+#: (confidence >= 0.5 or valid before 2025) and not working, with an active edge that cites or supports of weight 0.5 or more, from a source of
+#: credibility 0.3 to 1, or a text about a lathe.
+TREE = {
+    "or": [
+        {"and": [{"or": [{"confidenceMin": 0.5}, {"validFromBefore": "2025-01-01"}]}, {"not": {"memType": "working"}}], "edgeTypes": ["cites", "supports"], "edgeWeightMin": 0.5, "sourceCredibilityMin": 0.3, "sourceCredibilityMax": 1.0},
+        {"contentContains": "Lathe"},
+    ]
+}
 
 
 def _filter(spark: SparkSession, d: str) -> DataFrame:
-    """(confidence >= 0.5 or valid from 2025) and not working, with an active edge that cites or supports of weight 0.5 or more, from a source of credibility 0.3 to 1."""
-    n = temporal.valid_nodes(v.nodes(spark, d), v.now()).where(((F.col("confidence") >= 0.5) | (F.col("valid_from") >= _at("2025-01-01 00:00:00"))) & ~F.coalesce(F.col("mem_type") == "working", F.lit(False)))
-    e = graph.active(v.edges(spark, d), v.now(), ["cites", "supports"], 0.5).select("ns", F.col("src").alias("id"))
-    s = _credibility(spark, d).where("credibility between 0.3 and 1.0").select("ns", "source_id")
-    return n.join(e, ["ns", "id"], "left_semi").join(s, ["ns", "source_id"], "left_semi").select("ns", "id", "version_no")
+    n = said(temporal.valid_nodes(v.nodes(spark, d), v.now()), v.vectors(spark, d))
+    return filters.matching(n, TREE, v.edges(spark, d), _credibility(spark, d), v.now()).select("ns", "id", "version_no")
 
 
 def _ratios(spark: SparkSession, d: str) -> DataFrame:
@@ -295,6 +304,7 @@ _NOW = f"TIMESTAMP '{v.AS_OF}'"
 _B = f"TIMESTAMP '{BATCH}'"
 _CR = f"SELECT ns, external_id AS source_id, {_EFF} AS credibility FROM s"
 _FA = "SELECT v.write_id, v.ns, v.node_id, v.vec, v.content AS text, v.received_at, l.labels, l.confidence, l.valid_from, l.valid_until FROM v JOIN latest l ON l.ns = v.ns AND l.id = v.node_id"
+SAID = "SELECT ns, node_id AS id, arg_max(content, write_id) AS content FROM v WHERE node_id IS NOT NULL GROUP BY 1, 2"
 _JAC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_distinct(list_intersect({a}, {b}))) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
 _CON = dict(
     fa=_FA,
@@ -316,7 +326,7 @@ _RANK = lambda m: dict(zip(["c0", "c1", "cv", "c2", "k"], [retrieval._CAND.forma
 _Q5 = "0.4 * greatest(0.0, least(1.0, coalesce(confidence, 0.0))) + 0.3 * coalesce(utility, 0.5) + 0.3 * exp(-0.05 * greatest(0.0, (epoch_us({t}) - epoch_us(valid_from)) / 3600000000.0))".format(t=_NOW)
 SQL = {
     "dedup_write": v.sql(f"SELECT w.write_id, w.fp, l.id AS node_id, CASE WHEN l.id IS NOT NULL THEN 'deduplicated' WHEN w.fp IS NOT NULL AND nth > 1 THEN 'repeats' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY ns, fp ORDER BY received_at, write_id) AS nth FROM (SELECT DISTINCT write_id, ns, received_at, CASE WHEN {_FP} <> '' THEN sha256({_FP}) END AS fp FROM write_requests WHERE dedup)) w LEFT JOIN lf l ON l.ns = w.ns AND l.fingerprint = w.fp", lf=f"SELECT ns, fingerprint, min(id) AS id FROM latest WHERE fingerprint <> '' AND valid_from <= {_NOW} AND (valid_until IS NULL OR {_NOW} <= valid_until) GROUP BY 1, 2"),
-    "admit": v.sql("SELECT write_id, round(most, 6) AS most_similar, round(c, 6) AS credibility, reason = 'admitted' AS admitted, reason, CASE WHEN reason = 'admitted' THEN round(c, 6) END AS multiplier FROM (SELECT *, CASE WHEN c <= 0.05 THEN 'low_credibility' WHEN most >= 0.95 THEN 'near_duplicate' WHEN c * (1 - most) < 0.25 THEN 'below_threshold' ELSE 'admitted' END AS reason FROM (SELECT x.write_id, coalesce(m.most, 0.0) AS most, coalesce(cr.credibility, 0.5) AS c FROM en x LEFT JOIN (SELECT a.write_id, max(round(list_cosine_similarity(a.vec, b.vec), 9)) AS most FROM en a JOIN en b ON a.ns = b.ns WHERE a.received_at >= " + _B + " AND b.received_at < " + _B + " GROUP BY 1 HAVING max(round(list_cosine_similarity(a.vec, b.vec), 9)) > 0) m ON m.write_id = x.write_id LEFT JOIN cr ON cr.ns = x.ns AND cr.source_id = x.source_id WHERE x.received_at >= " + _B + "))", en="SELECT v.*, w.source_id FROM v JOIN (SELECT write_id, max(source_id) AS source_id FROM write_requests GROUP BY 1) w ON w.write_id = v.write_id", cr=_CR),
+    "admit": v.sql("SELECT write_id, round(most, 6) AS most_similar, round(c, 6) AS credibility, reason = 'admitted' AS admitted, reason, CASE WHEN reason = 'admitted' THEN round(c, 6) END AS multiplier FROM (SELECT *, CASE WHEN c <= 0.05 THEN 'low_credibility' WHEN most >= 0.95 THEN 'near_duplicate' WHEN c * (1 - most) < 0.25 THEN 'below_threshold' ELSE 'admitted' END AS reason FROM (SELECT x.write_id, coalesce(m.most, 0.0) AS most, coalesce(cr.credibility, 0.5) AS c FROM ea x LEFT JOIN (SELECT a.write_id, max(round(list_cosine_similarity(a.vec, b.vec), 9)) AS most FROM ea a JOIN en b ON a.ns = b.ns WHERE a.received_at >= " + _B + " AND b.received_at < " + _B + " GROUP BY 1 HAVING max(round(list_cosine_similarity(a.vec, b.vec), 9)) > 0) m ON m.write_id = x.write_id LEFT JOIN cr ON cr.ns = x.ns AND cr.source_id = x.source_id WHERE x.received_at >= " + _B + "))", en="SELECT v.*, w.source_id FROM v JOIN (SELECT write_id, max(source_id) AS source_id FROM write_requests GROUP BY 1) w ON w.write_id = v.write_id", ea="SELECT x.*, w.source_id FROM (" + v.SQL["v"].replace("WHERE admitted AND", "WHERE") + ") x JOIN (SELECT write_id, max(source_id) AS source_id FROM write_requests GROUP BY 1) w ON w.write_id = x.write_id", cr=_CR),
     "detect_conflicts": v.sql("SELECT candidate, existing, round(sim, 6) AS similarity, weight FROM cw WHERE weight >= 0.5", **_CON),
     "conflict_decay": v.sql(f"SELECT ns, id, confidence, round(CASE WHEN lost > 0 THEN greatest(0.1, coalesce(confidence, 0.0) - lost) ELSE confidence END, 6) AS after, conflicts FROM (SELECT ns, id, confidence, sum(CASE WHEN {_NEU.format(x='confidence')} >= 0.8 AND {_NEU.format(x='cc')} < 0.4 AND supporters >= 2 THEN 0.0 ELSE weight * coalesce(cc, 0.0) * 0.3 END) AS lost, count(*) AS conflicts FROM (SELECT cw.*, coalesce(su.supporters, 0) AS supporters FROM cw LEFT JOIN su ON su.ns = cw.ns AND su.dst = cw.id WHERE weight >= 0.5) GROUP BY 1, 2, 3)", act=_ACT, su=_SUP, **_CON),
     "interference": v.sql(f"SELECT c.id, {_NEU.format(x='f.confidence')} >= 0.8 AND {_NEU.format(x='w.confidence')} < 0.4 AND coalesce(supporters, 0) >= 2 AS interference FROM act c JOIN latest w ON w.ns = c.ns AND w.id = c.src JOIN latest f ON f.ns = c.ns AND f.id = c.dst LEFT JOIN su ON su.ns = c.ns AND su.dst = c.dst WHERE c.edge_type = 'contradicts'", act=_ACT, su=_SUP),
@@ -343,8 +353,8 @@ SQL = {
     "kv_ttl": "SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS key, arg_max(ts, event_id) AS set_at, arg_max(ts, event_id) + to_microseconds(CAST(floor(arg_max(value, event_id) * 1000) AS BIGINT) * 1000000) AS expires_at FROM events GROUP BY user_id) WHERE TIMESTAMP '2024-02-01 00:00:00' <= expires_at",
     "snapshot_report": v.sql("SELECT nodes + edges + sources AS lines, nodes, edges, sources, new, changed, unchanged FROM (SELECT (SELECT count(*) FROM n JOIN al ON al.ns = n.ns AND al.id = n.id) AS nodes, (SELECT count(*) FROM act JOIN al ON al.ns = act.ns AND al.id = act.src) AS edges, (SELECT count(*) FROM s) AS sources), (SELECT CAST(sum(CAST(m IS NULL AS BIGINT)) AS BIGINT) AS new, CAST(sum(CAST(vv <> m AS BIGINT)) AS BIGINT) AS changed, CAST(sum(CAST(vv = m AS BIGINT)) AS BIGINT) AS unchanged FROM (SELECT n.ns, n.id, max(version_no) AS vv, max(CASE WHEN tx_time < TIMESTAMP '2025-05-01' THEN version_no END) AS m FROM n JOIN al ON al.ns = n.ns AND al.id = n.id GROUP BY 1, 2))", act=_ACT, al=f"SELECT ns, id FROM ({_VALID})"),
     "vector_index_repair": v.sql("SELECT ns, id FROM vn WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.ns = vn.ns AND v.node_id = vn.id)", vn=_VALID),
-    "admin_search": v.sql("SELECT * FROM (SELECT ns, id, source_id, CASE WHEN contains(lower(source_id), 'kio') THEN 'source' WHEN len(list_filter(labels, lambda l: contains(lower(l), 'kio'))) > 0 THEN 'label' WHEN contains(lower(id), 'kio') THEN 'id' END AS match_reason FROM vn) WHERE match_reason IS NOT NULL", vn=_VALID),
-    "graphql_filter": v.sql("SELECT ns, id, version_no FROM vn WHERE (confidence >= 0.5 OR valid_from >= TIMESTAMP '2025-01-01') AND NOT coalesce(mem_type = 'working', false) AND EXISTS (SELECT 1 FROM act WHERE act.ns = vn.ns AND act.src = vn.id AND edge_type IN ('cites', 'supports') AND weight >= 0.5) AND EXISTS (SELECT 1 FROM cr WHERE cr.ns = vn.ns AND cr.source_id = vn.source_id AND credibility BETWEEN 0.3 AND 1.0)", vn=_VALID, act=_ACT, cr=_CR),
+    "admin_search": v.sql("SELECT ns, id, source_id, match_reason FROM (SELECT vn.*, CASE WHEN contains(lower(content), 'kio') THEN 'text' WHEN contains(lower(source_id), 'kio') THEN 'source' WHEN len(list_filter(labels, lambda l: contains(lower(l), 'kio'))) > 0 THEN 'label' WHEN contains(lower(vn.id), 'kio') THEN 'id' END AS match_reason FROM vn LEFT JOIN sd ON sd.ns = vn.ns AND sd.id = vn.id) WHERE match_reason IS NOT NULL ORDER BY tx_time DESC NULLS LAST, id, ns LIMIT 50", vn=_VALID, sd=SAID),
+    "graphql_filter": v.sql("SELECT vn.ns, vn.id, version_no FROM vn LEFT JOIN sd ON sd.ns = vn.ns AND sd.id = vn.id WHERE contains(lower(coalesce(content, '')), 'lathe') OR ((confidence >= 0.5 OR valid_from < TIMESTAMP '2025-01-01') AND NOT coalesce(mem_type = 'working', false) AND EXISTS (SELECT 1 FROM act WHERE act.ns = vn.ns AND act.src = vn.id AND edge_type IN ('cites', 'supports') AND weight >= 0.5) AND EXISTS (SELECT 1 FROM cr WHERE cr.ns = vn.ns AND cr.source_id = vn.source_id AND credibility BETWEEN 0.3 AND 1.0))", vn=_VALID, sd=SAID, act=_ACT, cr=_CR),
     "admin_ratios": "SELECT ns, count(*) AS writes, coalesce(CAST(sum(CAST(ok AS BIGINT)) AS BIGINT), 0) AS admitted, round(coalesce(sum(CAST(ok AS BIGINT)), 0) / count(*), 6) AS ratio FROM (SELECT write_id, max(ns) AS ns, max(admitted) AS ok FROM write_requests GROUP BY 1) GROUP BY 1",
     "ir_metrics": v.sql(
         "SELECT rv.retrieve_id AS query, round(coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) END), 0.0) / any_value(list_sum(list_transform(range(1, least(nn, 10) + 1), lambda i: 1 / log2(i + 1.0)))), 6) AS ndcg, round(coalesce(sum(CAST(rank <= 10 AS INTEGER)), 0) / any_value(nn), 6) AS recall, round(coalesce(1 / min(rank), 0.0), 6) AS rr, coalesce(sum(CAST(rank <= 10 AS INTEGER)), 0) > 0 AS hit, min(rank) AS first_rank FROM (SELECT *, count(*) OVER (PARTITION BY retrieve_id) AS nn FROM rel) rv LEFT JOIN o ON o.retrieve_id = rv.retrieve_id AND o.id = rv.id GROUP BY 1",
@@ -354,7 +364,7 @@ SQL = {
         **_RANK("general"), o=retrieval._OUT, kb=retrieval._ranked(retrieval.MODES["belief"].weights), ob=retrieval._OUT.replace("FROM k ", "FROM kb ")),
     "admission_sweep": v.sql("SELECT CAST(threshold AS DOUBLE) AS threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT threshold, CASE WHEN sum(t) > 0 THEN sum(t * g) / sum(t) ELSE 0.0 END AS p, CASE WHEN sum(g) > 0 THEN sum(t * g) / sum(g) ELSE 0.0 END AS r FROM (SELECT threshold, CAST(sc >= threshold AS INTEGER) AS t, g FROM x, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS threshold)) GROUP BY 1)", x="SELECT round(greatest(0.0, least(1.0, source_credibility)), 6) AS sc, CAST(kind = 'supports' AS INTEGER) AS g FROM a WHERE kind IN ('supports', 'contradicts') AND source_credibility IS NOT NULL"),
     "retry_recommendations": v.sql("SELECT key, attempts, last_ts, status, delay, family, ready FROM rr", **_REC),
-    "retry_fatigue": v.sql("SELECT family, count(*) AS candidates, CAST(sum(CAST(ready AS BIGINT)) AS BIGINT) AS ready, CAST(sum(attempts) AS BIGINT) AS attempts, max(last_ts) AS last_ts FROM rr GROUP BY 1", **_REC),
+    "retry_fatigue": v.sql("SELECT family, count(*) AS candidates, CAST(sum(CAST(ready AS BIGINT)) AS BIGINT) AS ready, CAST(count(*) - sum(CAST(ready AS BIGINT)) AS BIGINT) AS waiting, CAST(sum(attempts) AS BIGINT) AS attempts, max(last_ts) AS last_ts, arg_max(key, (last_ts, key)) AS last_key, arg_max(status, (last_ts, key)) AS last_status FROM rr GROUP BY 1", **_REC),
     "source_trust_anomaly": v.sql("SELECT source, round(f, 6) AS first, round(l, 6) AS last, n AS refutations, round(greatest(CASE WHEN f - l >= 0.1 THEN 0.65 + f - l END, CASE WHEN l <= 0.49 THEN 0.75 + 0.49 - l END), 6) AS priority, CASE WHEN f - l >= 0.1 THEN 'drop' ELSE 'low_trust' END AS kind FROM (SELECT source, arg_min(credibility, (ts, event)) AS f, arg_max(credibility, (ts, event)) AS l FROM h GROUP BY 1) x JOIN (SELECT source, count(*) FILTER (WHERE outcome = 'refuted') AS n FROM fb GROUP BY 1) y USING (source) WHERE f - l >= 0.1 OR l <= 0.49", fb=_SRC, h=_HIST),
     "content_fingerprint": f"SELECT fp, count(*) AS n, min(write_id) AS first FROM (SELECT DISTINCT write_id, CASE WHEN coalesce({_FP}, '') = '' THEN '' ELSE sha256({_FP}) END AS fp FROM write_requests) GROUP BY 1",
     "labels": v.sql("SELECT label, count(*) AS nodes, round(avg(CASE mem_type WHEN 'episodic' THEN 0.08 WHEN 'semantic' THEN 0.02 WHEN 'procedural' THEN 0.001 WHEN 'working' THEN 999.0 ELSE 0.05 END), 6) AS decay FROM (SELECT DISTINCT ns, id, mem_type, label FROM (SELECT ns, id, mem_type, trim(unnest(labels)) AS label FROM latest) WHERE label <> '') GROUP BY 1"),

@@ -51,6 +51,18 @@ def snapshot(versions: DataFrame, edges: DataFrame, sources: DataFrame, t: Colum
     return line(n, "node").unionByName(line(e, "edge")).unionByName(line(sources, "source"))
 
 
+def snapshot_of(seeds: DataFrame, versions: DataFrame, edges: DataFrame, sources: DataFrame, t: Column, levels: int = 10) -> DataFrame:
+    """A snapshot of what can be reached from the seeds (ns, id) along active edges: all versions of these nodes, the edges among them, and the
+    sources that they name."""
+    from factloom.operators.graph import active, subgraph
+
+    found, e = subgraph(seeds, active(edges, t), levels)
+    n = versions.join(found.select("ns", "id"), ["ns", "id"], "left_semi")
+    s = sources.join(n.select("ns", F.col("source_id").alias("external_id")).distinct(), ["ns", "external_id"], "left_semi")
+    line = lambda df, kind: df.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*df.columns).alias("data"))).alias("value"))
+    return line(n, "node").unionByName(line(e, "edge")).unionByName(line(s, "source"))
+
+
 def write_snapshot(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

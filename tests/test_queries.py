@@ -3,9 +3,9 @@
 import pytest
 from compare import same
 
-from factloom.plans import epistemic, history, language, maintenance, problems, retrieval, streams
+from factloom.plans import epistemic, history, language, maintenance, pipeline, problems, retrieval, streams
 
-SETS = [problems, retrieval, history, epistemic, maintenance, language, streams]
+SETS = [problems, retrieval, history, epistemic, maintenance, pipeline, language, streams]
 NAMED = [(m, k) for m in SETS for k in m.QUERIES]
 
 
