@@ -23,9 +23,11 @@ def trimmed(x: Column | str) -> Column:
 def uuid_key(x: Column | str) -> Column:
     """One spelling for all that a UUID parser takes (upper case, no hyphens, braces, urn:uuid:, outer
     blanks); any other value stays as it is without outer blanks; null and blank give null."""
+    x = as_column(x)
     t = trimmed(x)
     packed = F.regexp_replace(t, _UUID, _CANONICAL)
-    return F.when(F.length(t) == 0, None).otherwise(
+    # most keys are spelled so already: one look tells
+    return F.when((F.length(x) == 36) & x.rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), x).when(F.length(t) == 0, None).otherwise(
         F.when(F.length(t).between(32, 45) & (F.length(packed) == 36), F.when(packed.rlike(rf"^{_HEX}$"), F.lower(packed)).otherwise(t)).otherwise(t)
     )
 

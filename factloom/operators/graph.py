@@ -5,6 +5,7 @@ Loops run once per level or doubling, never per node; each cuts its lineage with
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,31 +36,30 @@ def walk(seeds: DataFrame, edges: DataFrame, max_levels: int) -> DataFrame:
 
     seeds: ns, id. edges: the ones to follow, from src to dst. Cycles, repeated edges and seeds do no harm."""
     step = edges.select("ns", F.col("src").alias("id"), "dst").distinct()
-    seen = cut(seeds.select("ns", "id").distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    fronts = [cut(seeds.select("ns", "id").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, max_levels):
-        out = front.join(step, ["ns", "id"]).select("ns", F.col("dst").alias("id")).distinct()
-        front = cut(out.join(seen, ["ns", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        out = fronts[-1].join(step, ["ns", "id"]).select("ns", F.col("dst").alias("id")).distinct()
+        new = cut(out.join(reduce(DataFrame.unionByName, fronts), ["ns", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        fronts.append(new)
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def walk_paths(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """(ns, seed, id, depth, path): per seed the first path to each node, by fewest hops, then heavier edge, then edge id."""
     step = edges.select("ns", F.col("src").alias("id"), "dst", F.coalesce("weight", F.lit(0.0)).alias("w"), F.col("id").alias("edge"))
-    seen = cut(seeds.select("ns", F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("id")))
-    front = seen
+    fronts = [cut(seeds.select("ns", F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("id")))]
     for depth in range(1, max_hops + 1):
-        out = front.join(step, ["ns", "id"]).join(seen.select("ns", "seed", F.col("id").alias("dst")), ["ns", "seed", "dst"], "left_anti")
+        seen = reduce(DataFrame.unionByName, fronts).select("ns", "seed", F.col("id").alias("dst"))
+        out = fronts[-1].join(step, ["ns", "id"]).join(seen, ["ns", "seed", "dst"], "left_anti")
         best = F.min_by(F.struct("id", "path"), F.struct(-F.col("w"), "edge", "path"))
         out = out.groupBy("ns", "seed", "dst").agg(best.alias("p"))
-        front = cut(out.select("ns", "seed", F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.concat("p.path", F.array("dst")).alias("path")))
-        if front.isEmpty():
+        new = cut(out.select("ns", "seed", F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.concat("p.path", F.array("dst")).alias("path")))
+        if new.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        fronts.append(new)
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def subgraph(seeds: DataFrame, edges: DataFrame, max_levels: int) -> tuple[DataFrame, DataFrame]:
@@ -108,15 +108,22 @@ def provenance_depth(nodes: DataFrame, edges: DataFrame, max_steps: int = 10) ->
     return chains(nodes, edges.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-9))), "derived_from", max_steps).select("ns", "id", F.col("steps").alias("depth"))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (a, b) form stars around a."""
+    ends = e.select("ns", F.col("a").alias("n"), F.lit(0).alias("leaf")).unionByName(e.select("ns", F.col("b").alias("n"), F.lit(1).alias("leaf")))
+    n = ends.groupBy("ns", "n").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("centre"))
+    return n.where("leaf > 1 or (leaf = 1 and centre = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(ns, id, component): connected components, named by their least id: hooking with pointer jumping.
 
     Rounds grow with the logarithm of the longest chain. Alternating large and small star: every node links to
-    the least neighbour it knows, until nothing changes; nodes of a hot centre stay linked by single edges."""
+    the least neighbour it knows, until all are stars: no node is both a centre and a leaf, or a leaf of two. Nodes of a hot centre stay
+    linked by single edges."""
     e = edges.where("src <> dst").select("ns", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     e = cut(e)
-    before = None
-    while True:
+    while not _stars(e):
         both = e.select("ns", "a", "b").unionByName(e.select("ns", F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("ns", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, ["ns", "a"]).select("ns", F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -124,11 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         up = large.groupBy("ns", "b").agg(F.min("a").alias("m"))
         small = large.join(up, ["ns", "b"])
         small = small.select("ns", F.col("m").alias("x"), F.col("b").alias("y")).unionByName(small.select("ns", F.col("m").alias("x"), F.col("a").alias("y")))
-        new = cut(small.where("x <> y").select("ns", F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("ns", "a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before, e = now, new
+        e = cut(small.where("x <> y").select("ns", F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     return e.select("ns", F.col("b").alias("id"), F.col("a").alias("component")).unionByName(e.select("ns", F.col("a").alias("id"), F.col("a").alias("component"))).distinct()
 
 

@@ -13,6 +13,7 @@ from factloom.functions.score import clamp, neutral
 from factloom.functions.temporal import overlap
 from factloom.functions.text import fingerprint
 from factloom.operators import search
+from factloom.operators.graph import components
 from factloom.session import cut
 
 
@@ -47,9 +48,40 @@ def admit(writes: DataFrame, corpus: DataFrame, credibility: DataFrame, threshol
     return w.select("write_id", F.round(most, 6).alias("most_similar"), F.round(cred, 6).alias("credibility"), ok.alias("admitted"), reason.alias("reason"), F.when(ok, F.round(cred, 6)).alias("multiplier"))
 
 
-def first_independent(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+def first_independent(ids: DataFrame, pairs: DataFrame, whole: int = 100_000) -> DataFrame:
     """(id, leader): ids taken in order unless an earlier taken one is their neighbour, which then is their leader (the least of
-    them). pairs: (a, b), a < b. Each round settles every id whose earlier neighbours are all settled."""
+    them). pairs: (a, b), a < b.
+
+    What isn't linked can't matter, so each connected component of up to `whole` pairs is settled at once, by one task; larger
+    ones are settled in rounds over all tasks, in each of which every id follows whose earlier neighbours are settled."""
+    ids = ids.select("id").distinct()
+    asked = lambda x: ids.select(F.col("id").alias(x))
+    pairs = cut(pairs.select("a", "b").distinct().join(asked("a"), "a", "left_semi").join(asked("b"), "b", "left_semi"))
+    of = cut(components(pairs.select(F.lit("").alias("ns"), F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("a"), "component"))
+    placed = pairs.join(of, "a")
+    size = placed.groupBy("component").agg(F.count("*").alias("n"))
+    large = size.where(F.col("n") > whole)
+    small = placed.join(large, "component", "left_anti")
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        before: dict[int, list[int]] = {}
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            before.setdefault(b, []).append(a)
+            before.setdefault(a, [])
+        leader: dict[int, int] = {}
+        for i in sorted(before):
+            leader[i] = min((a for a in before[i] if leader[a] == a), default=i)
+        return pd.DataFrame({"id": list(leader), "leader": list(leader.values())}, dtype="int64")
+
+    led = small.groupBy("component").applyInPandas(greedy, "id bigint, leader bigint")
+    if not large.isEmpty():
+        rest = placed.join(large.select("component"), "component", "left_semi").select("a", "b")
+        led = led.unionByName(_in_rounds(rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct(), rest))
+    return ids.join(led, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
+def _in_rounds(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """first_independent in rounds: each settles every id whose earlier neighbours are all settled."""
     undecided, decided = cut(ids.select("id").distinct()), None
     pairs = cut(pairs.select("a", "b").distinct())
     while not undecided.isEmpty():
@@ -139,20 +171,30 @@ FEEDBACK = {"validated": (0.15, 0.05), "refuted": (None, -0.2), "useful": (0.0,
 def feedback_fold(feedback: DataFrame, confidence: float = 0.5, utility: float = 0.5) -> DataFrame:
     """(id, confidence, utility, events): all feedback on a node in order of (ts, event), clamped to [0, 1] after each.
 
-    feedback: id, ts, event, outcome."""
-    steps = F.sort_array(F.collect_list(F.struct("ts", "event", "outcome")))
-    start = F.struct(F.lit(confidence).alias("c"), F.lit(utility).alias("u"))
+    feedback: id, ts, event, outcome. Each step is x -> min(high, max(low, x + shift)), and such steps compose to one of the same form. So
+    the steps of a node are first composed day by day, then the days, and no list is as long as a node's history."""
+    far = 1e9
+    step = lambda low, high, shift: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(shift).alias("shift"))
+    none = step(-far, far, 0.0)
+    c, u = none, none
+    for kind, (dc, du) in FEEDBACK.items():
+        hit = F.col("outcome") == kind
+        c = F.when(hit, step(0.05, 0.05, 0.0) if dc is None else none if dc == 0 else step(0.0, 1.0, dc)).otherwise(c)
+        u = F.when(hit, step(0.0, 1.0, du)).otherwise(u)
 
-    def one(s: Column, x: Column) -> Column:
-        c, u = s["c"], s["u"]
-        dc = F.when(x["outcome"] == "refuted", 0.05).when(x["outcome"] == "validated", clamp(c + 0.15)).when(x["outcome"] == "stale", clamp(c - 0.1)).otherwise(c)
-        du = u
-        for k, (_, d) in FEEDBACK.items():
-            du = F.when(x["outcome"] == k, clamp(u + d)).otherwise(du)
-        return F.struct(dc.alias("c"), du.alias("u"))
+    def after(f: Column, g: Column) -> Column:
+        bound = lambda x: F.least(g["high"], F.greatest(g["low"], x + g["shift"]))
+        return F.struct(bound(f["low"]).alias("low"), bound(f["high"]).alias("high"), (f["shift"] + g["shift"]).alias("shift"))
 
-    g = feedback.groupBy("id").agg(steps.alias("s"))
-    return g.withColumn("f", F.aggregate("s", start, one)).select("id", F.round("f.c", 6).alias("confidence"), F.round("f.u", 6).alias("utility"), F.size("s").cast("bigint").alias("events"))
+    def composed(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+        s = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, "c", "u"))).alias("s"), F.sum("n").alias("n"))
+        one = lambda x: F.aggregate(F.transform("s", lambda y: y[x]), none, after)
+        return s.select(*key, one("c").alias("c"), one("u").alias("u"), "n")
+
+    steps = feedback.select("id", F.to_date("ts").alias("day"), "ts", "event", c.alias("c"), u.alias("u"), F.lit(1).cast("bigint").alias("n"))
+    whole = composed(composed(steps, ["id", "day"], ["ts", "event"]), ["id"], ["day"])
+    at = lambda x, start: F.round(F.least(F.col(f"{x}.high"), F.greatest(F.col(f"{x}.low"), start + F.col(f"{x}.shift"))), 6)
+    return whole.select("id", at("c", confidence).alias("confidence"), at("u", utility).alias("utility"), F.col("n").alias("events"))
 
 
 def rate_bursts(events: DataFrame, key: list[str], seconds: int, least: int) -> DataFrame:
@@ -182,22 +224,22 @@ def claims(rows: DataFrame, content: str, labels: dict[str, str], relations: dic
 
 
 def extract(texts: DataFrame, extractor: Callable[[str], list[dict]]) -> DataFrame:
-    """(id, name, text, label) of what a callable finds in each text; failures give no row. texts: id bigint, text."""
+    """(id, name, text, label, error) of what a callable finds in each text; a failure gives one row with its message in `error`. texts: id
+    bigint, text. Null and empty texts give nothing."""
 
     def run(pdfs):
         for pdf in pdfs:
             rows = []
             for i, t in zip(pdf.id, pdf.text):
                 try:
-                    found = extractor(t) if t else []
-                except Exception:
-                    found = []
-                rows += [(i, x.get("name"), x.get("text", t), x.get("label")) for x in found]
-            yield pd.DataFrame(rows, columns=["id", "name", "text", "label"])
+                    rows += [(i, x.get("name"), x.get("text", t), x.get("label"), None) for x in (extractor(t) if t else [])]
+                except Exception as e:
+                    rows.append((i, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["id", "name", "text", "label", "error"])
 
-    return texts.select("id", "text").mapInPandas(run, "id bigint, name string, text string, label string")
+    return texts.select("id", "text").mapInPandas(run, "id bigint, name string, text string, label string, error string")
 
 
 def ingest_text(texts: DataFrame, extractor: Callable[[str], list[dict]], admitted: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Extracted entities whose text passes a gate (a function from entities to those kept)."""
-    return admitted(extract(texts, extractor))
+    return admitted(extract(texts, extractor).where("error is null").drop("error"))

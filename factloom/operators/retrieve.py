@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions.score import Weights, decay_alpha, score, session_factor
 from factloom.functions.temporal import edge_active
-from factloom.functions.vector import cosine_similarity
 from factloom.operators import search
 
 
@@ -84,7 +83,8 @@ def fuse(vector: DataFrame, graph: DataFrame | None = None, session: DataFrame |
 def penalise_session(candidates: DataFrame, session_vectors: DataFrame) -> DataFrame:
     """Lower the similarity of candidates (with vec) that resemble a node of the request's session."""
     s = session_vectors.select("retrieve_id", F.col("vec").alias("sv"))
-    most = candidates.join(s, "retrieve_id").groupBy("retrieve_id", "id").agg(F.max(cosine_similarity(F.col("vec"), F.col("sv"))).alias("most"))
+    met = candidates.select("retrieve_id", "id", "vec").where("vec is not null").join(s.where("sv is not null"), "retrieve_id")
+    most = search.paired(met, ["retrieve_id", "id"], "vec", "sv").groupBy("retrieve_id", "id").agg(F.max("similarity").alias("most"))
     return candidates.join(most, ["retrieve_id", "id"], "left").withColumn("similarity", F.col("similarity") * session_factor(F.coalesce("most", F.lit(0.0)))).drop("most")
 
 

@@ -158,6 +158,19 @@ def pairs_within(rows: DataFrame, low: float, high: float, digits: int = 9) -> D
     return near.where((F.col("similarity") >= low) & (F.col("similarity") < high)).select(F.col("query").alias("a"), F.col("row").alias("b"), "similarity")
 
 
+def paired(df: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
+    """`keep` and the cosine `similarity` of two vector columns of one width, batch by batch; 0 where one has no direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                s = np.clip(np.einsum("ij,ij->i", _unit(_matrix(x.column(a))), _unit(_matrix(x.column(b)))), -1, 1)
+                yield pa.RecordBatch.from_arrays([*[x.column(c) for c in keep], pa.array(s)], [*keep, "similarity"])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(*keep, a, b).mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["similarity double"]))
+
+
 # --- index
 
 

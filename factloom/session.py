@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -38,12 +39,22 @@ def ship(spark: SparkSession) -> None:
     sc._factloom_sent = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session on one machine may go without: then a temporary folder serves; on a
+    cluster each machine would see another one, so that is an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="factloom-")
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with checkpoint() in the shared folder of spark.checkpoint.dir. Only where a session names
-    none, as in tests, a temporary folder of this machine serves."""
+    """Cut lineage with checkpoint() in the shared folder. Checkpoints that nothing refers to any more are removed by Spark where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as in SETTINGS."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 

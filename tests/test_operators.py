@@ -237,7 +237,31 @@ def test_extractor_failures_are_skipped(spark):
         return [{"name": w} for w in t.split()]
 
     df = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, None), (4, "")], "id bigint, text string")
-    assert sorted((r.id, r.name) for r in ingest.extract(df, find).collect()) == [(1, "a"), (1, "b")]
+    got = ingest.extract(df, find).collect()
+    assert sorted((r.id, r.name) for r in got if r.error is None) == [(1, "a"), (1, "b")]
+    assert [(r.id, r.name, r.error) for r in got if r.error] == [(2, None, "RuntimeError: ")]
+
+
+def test_independent_sets_of_large_components_go_in_rounds(spark):
+    rng = np.random.default_rng(11)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (120, 2)).tolist() if p[0] != p[1]}
+    ids, links = spark.range(70), spark.createDataFrame(list(pairs), "a bigint, b bigint")
+    whole = {(r.id, r.leader) for r in ingest.first_independent(ids, links).collect()}
+    assert whole == {(r.id, r.leader) for r in ingest.first_independent(ids, links, whole=3).collect()} and len(whole) == 70
+
+
+def test_feedback_over_days(spark):
+    rng = np.random.default_rng(12)
+    kinds = ["validated", "refuted", "useful", "stale"]
+    rows = [(int(rng.integers(3)), T0 + timedelta(hours=int(rng.integers(900))), i, kinds[rng.integers(4)]) for i in range(300)]
+    want = {}
+    for i, _, _, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        c, u, n = want.get(i, (0.5, 0.5, 0))
+        dc, du = ingest.FEEDBACK[k]
+        c = 0.05 if dc is None else c if dc == 0 else min(1, max(0, c + dc))
+        want[i] = (c, min(1, max(0, u + du)), n + 1)
+    got = {r.id: (r.confidence, r.utility, r.events) for r in ingest.feedback_fold(spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, event bigint, outcome string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-6 and abs(got[k][1] - want[k][1]) < 1e-6 and got[k][2] == want[k][2] for k in want)
 
 
 def test_upsert_continues_numbers(spark):
