@@ -63,3 +63,16 @@ def test_agreement_is_krippendorffs(spark):
     # coincidences: a has 2 of 3 pairs apart, b none; 5 values, 2 of them supports
     observed, expected = (2 * 2 * 1 / 2) / 5, 2 * 2 * 3 / (5 * 4)
     assert (r.claims, r.positions) == (2, 5) and abs(r.alpha - (1 - observed / expected)) < 1e-9
+
+
+def test_abilities_as_a_table_give_the_same(spark):
+    """More annotators than are sent to the tasks: the same fit over a joined table."""
+    rng = np.random.default_rng(5)
+    skill, truth = rng.random(20), rng.random(80) < 0.5
+    rows = [(c * 100 + i, f"c{c}", f"s{w}", "supports" if (rng.random() < skill[w]) == truth[c] else "contradicts", T0) for c in range(80) for i, w in enumerate(rng.choice(20, 5, replace=False))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    few, many = consensus.Glad(rounds=6), consensus.Glad(rounds=6, annotators=3)
+    one, other = ({r.claim: (r.consensus, round(r.probability, 6), r.sources) for r in consensus.consensus(df, p=p).collect()} for p in (few, many))
+    assert one == other and len(one) == 80
+    a, b = ({r.source: (r.positions, round(r.ability, 6)) for r in consensus.reliability(df, p=p).collect()} for p in (few, many))
+    assert a == b and len(a) == 20
