@@ -55,7 +55,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager)
+    done = df.checkpoint(eager)
+    # A checkpoint keeps the estimated size of what it was made from, and joins multiply these: in a loop the numbers grow to
+    # thousands of digits. The same rows without an estimate leave broadcasts to adaptive execution, which knows true sizes.
+    jdf = done._jdf
+    plain = df.sparkSession._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False)
+    return DataFrame(plain, df.sparkSession)
 
 
 def micros(x):
