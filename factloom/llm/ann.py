@@ -153,12 +153,16 @@ class Codebooks:
 
     def nearest(self, x: np.ndarray, most: int, within: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cells: of each unit vector up to `most` cells whose cosine is within `within` of the best."""
-        s = x @ self.cells.T
-        most = min(most, s.shape[1])
-        top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-        v = np.take_along_axis(s, top, 1)
-        row, j = np.nonzero(v >= v.max(1, keepdims=True) - within)
-        return row, top[row, j]
+        most = min(most, len(self.cells))
+        rows, cells = [], []
+        for i in range(0, len(x), 1024):  # 1024 rows with 16,384 cells: 64 MB, and the order of as many
+            s = x[i : i + 1024] @ self.cells.T
+            top = np.argpartition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most :]
+            v = np.take_along_axis(s, top, 1)
+            row, j = np.nonzero(v >= v.max(1, keepdims=True) - within)
+            rows.append(row + i)
+            cells.append(top[row, j])
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residual codes (n, levels) by beam search, and the coded vectors."""
