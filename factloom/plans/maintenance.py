@@ -324,7 +324,23 @@ _REC = dict(
 )
 _RANK = lambda m: dict(zip(["c0", "c1", "cv", "c2", "k"], [retrieval._CAND.format(q="q"), retrieval._K.format(key="retrieve_id"), retrieval._BEST, "SELECT * FROM cv", retrieval._ranked(retrieval.MODES[m].weights)]))
 _Q5 = "0.4 * greatest(0.0, least(1.0, coalesce(confidence, 0.0))) + 0.3 * coalesce(utility, 0.5) + 0.3 * exp(-0.05 * greatest(0.0, (epoch_us({t}) - epoch_us(valid_from)) / 3600000000.0))".format(t=_NOW)
+#: Leaders taken one after the other in order of id: the list of those taken so far decides on the next.
+_LEAD = lambda least: dict(
+    p=f"SELECT * FROM (SELECT a.write_id AS a, b.write_id AS b, round(list_cosine_similarity(a.vec, b.vec), 9) AS s FROM v a JOIN v b ON a.ns = b.ns AND a.write_id < b.write_id) WHERE s >= {least}",
+    o="SELECT v.write_id AS id, row_number() OVER (ORDER BY v.write_id) AS i, coalesce(nb, []) AS nb FROM v LEFT JOIN (SELECT b, list(a ORDER BY a) AS nb FROM p GROUP BY 1) x ON x.b = v.write_id",
+    w="SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken UNION ALL SELECT o.i, CASE WHEN list_has_any(w.taken, o.nb) THEN w.taken ELSE list_append(w.taken, o.id) END FROM w JOIN o ON o.i = w.i + 1",
+    ld="SELECT o.id, CASE WHEN list_contains(z.taken, o.id) THEN o.id ELSE list_min(list_filter(o.nb, lambda x: list_contains(z.taken, x))) END AS leader FROM o, (SELECT taken FROM w ORDER BY i DESC LIMIT 1) z",
+)
 SQL = {
+    "near_dup_leaders": v.sql("SELECT id, leader FROM ld", recursive=True, **_LEAD(0.95)),
+    # holds while no cluster is larger than 50, the size above which the rest is clustered again
+    "leader_clusters": v.sql("SELECT id, leader FROM ld WHERE leader IN (SELECT leader FROM ld GROUP BY 1 HAVING count(*) >= 3)", recursive=True, **_LEAD(0.7)),
+    "admit_in_order": v.sql(
+        "SELECT write_id, reason = 'admitted' AS admitted, reason FROM w WHERE i > 0", recursive=True, cr=_CR,
+        ea="SELECT x.*, w.source_id FROM (" + v.SQL["v"].replace("WHERE admitted AND", "WHERE") + ") x JOIN (SELECT write_id, max(source_id) AS source_id FROM write_requests GROUP BY 1) w ON w.write_id = x.write_id",
+        o=f"SELECT ea.write_id, ea.ns, ea.vec, coalesce(cr.credibility, 0.5) AS c, row_number() OVER (PARTITION BY ea.ns ORDER BY ea.received_at, ea.write_id) AS i FROM ea LEFT JOIN cr ON cr.ns = ea.ns AND cr.source_id = ea.source_id WHERE ea.received_at >= {_B}",
+        sm="SELECT x.ns, x.i, list(round(list_cosine_similarity(x.vec, y.vec), 9) ORDER BY y.i) AS s FROM o x JOIN o y ON x.ns = y.ns AND y.i < x.i GROUP BY 1, 2",
+        w="SELECT DISTINCT ns, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS write_id, CAST(NULL AS VARCHAR) AS reason FROM o UNION ALL SELECT ns, i, CASE WHEN why = 'admitted' THEN list_append(kept, i) ELSE kept END, write_id, why FROM (SELECT *, CASE WHEN c <= 0.05 THEN 'low_credibility' WHEN most >= 0.95 THEN 'near_duplicate' WHEN c * (1 - most) < 0.25 THEN 'below_threshold' ELSE 'admitted' END AS why FROM (SELECT o.ns, o.i, w.kept, o.write_id, o.c, greatest(0.0, coalesce(list_max(list_transform(w.kept, lambda k: sm.s[k])), 0.0)) AS most FROM w JOIN o ON o.ns = w.ns AND o.i = w.i + 1 LEFT JOIN sm ON sm.ns = o.ns AND sm.i = o.i))"),
     "dedup_write": v.sql(f"SELECT w.write_id, w.fp, l.id AS node_id, CASE WHEN l.id IS NOT NULL THEN 'deduplicated' WHEN w.fp IS NOT NULL AND nth > 1 THEN 'repeats' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY ns, fp ORDER BY received_at, write_id) AS nth FROM (SELECT DISTINCT write_id, ns, received_at, CASE WHEN {_FP} <> '' THEN sha256({_FP}) END AS fp FROM write_requests WHERE dedup)) w LEFT JOIN lf l ON l.ns = w.ns AND l.fingerprint = w.fp", lf=f"SELECT ns, fingerprint, min(id) AS id FROM latest WHERE fingerprint <> '' AND valid_from <= {_NOW} AND (valid_until IS NULL OR {_NOW} <= valid_until) GROUP BY 1, 2"),
     "admit": v.sql("SELECT write_id, round(most, 6) AS most_similar, round(c, 6) AS credibility, reason = 'admitted' AS admitted, reason, CASE WHEN reason = 'admitted' THEN round(c, 6) END AS multiplier FROM (SELECT *, CASE WHEN c <= 0.05 THEN 'low_credibility' WHEN most >= 0.95 THEN 'near_duplicate' WHEN c * (1 - most) < 0.25 THEN 'below_threshold' ELSE 'admitted' END AS reason FROM (SELECT x.write_id, coalesce(m.most, 0.0) AS most, coalesce(cr.credibility, 0.5) AS c FROM ea x LEFT JOIN (SELECT a.write_id, max(round(list_cosine_similarity(a.vec, b.vec), 9)) AS most FROM ea a JOIN en b ON a.ns = b.ns WHERE a.received_at >= " + _B + " AND b.received_at < " + _B + " GROUP BY 1 HAVING max(round(list_cosine_similarity(a.vec, b.vec), 9)) > 0) m ON m.write_id = x.write_id LEFT JOIN cr ON cr.ns = x.ns AND cr.source_id = x.source_id WHERE x.received_at >= " + _B + "))", en="SELECT v.*, w.source_id FROM v JOIN (SELECT write_id, max(source_id) AS source_id FROM write_requests GROUP BY 1) w ON w.write_id = v.write_id", ea="SELECT x.*, w.source_id FROM (" + v.SQL["v"].replace("WHERE admitted AND", "WHERE") + ") x JOIN (SELECT write_id, max(source_id) AS source_id FROM write_requests GROUP BY 1) w ON w.write_id = x.write_id", cr=_CR),
     "detect_conflicts": v.sql("SELECT candidate, existing, round(sim, 6) AS similarity, weight FROM cw WHERE weight >= 0.5", **_CON),
