@@ -41,14 +41,27 @@ def vector_candidates(requests: DataFrame, entries: DataFrame, k: int, near: sea
     return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
 
 
-def allowed_candidates(requests: DataFrame, entries: DataFrame, nodes: DataFrame, f: Fusion = Fusion(), labels: bool = False) -> DataFrame:
-    """vector_candidates among the entries whose node is valid at the request's t and, with labels, has all its labels."""
+def allowed_candidates(requests: DataFrame, entries: DataFrame, nodes: DataFrame, f: Fusion = Fusion(), labels: bool = False, only: Weights | None = None) -> DataFrame:
+    """vector_candidates among the entries whose node is valid at the request's t and, with labels, has all its labels.
+
+    only: weights of the score; candidates that can't come among the request's top_k by it, as they aren't fused with others, are left
+    out where they are found, so that few are moved."""
     wanted = F.col("labels") if labels else F.lit(None).cast("array<string>")
     most = F.greatest(F.lit(f.candidates), F.col("top_k") * f.times)
-    q = requests.select(F.xxhash64("retrieve_id", "vec").alias("id"), F.col("ns").alias("scope"), "vec", "retrieve_id", "t", most.alias("most"), wanted.alias("wanted"))
-    e = entries.select("ns", "write_id", "node_id", "vec").join(nodes.select("ns", F.col("id").alias("node_id"), "labels", "valid_from", "valid_until"), ["ns", "node_id"])
-    e = e.withColumnsRenamed({"write_id": "id", "ns": "scope"})
-    near = search.topk_allowed(*(search.in_cells(q, e, f.cells) if f.cells else (q, e)))
+    q = requests.select(F.xxhash64("retrieve_id", "vec").alias("id"), F.col("ns").alias("scope"), "vec", "retrieve_id", "t", "top_k", most.alias("most"), wanted.alias("wanted"))
+    e, index = entries.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "node_id", "vec"), {}
+    if f.cells:
+        index = {"cells": search.centroids(e.select("id", "vec"), f.cells), "probes": f.cells.probes}
+        e = search.coded(e, index["cells"])
+    n = nodes.select(F.col("ns").alias("scope"), F.col("id").alias("node_id"), F.col("labels") if labels else F.lit(None).cast("array<string>").alias("labels"), "valid_from", "valid_until", *(["confidence", "utility"] if only else []))
+    e = e.join(n, ["scope", "node_id"])
+    if only:
+        near = search.gathered(q, e, ["retrieve_id", "scope", "t", "top_k"], ["node_id", "valid_from", "valid_until", "confidence", "utility"], **index)
+        near = near.withColumn("score", F.round(score(F.col("similarity") * f.vector, F.col("t"), only)["score"], 6)).where("score > 0")
+        near = near.select("query", "retrieve_id", F.col("scope").alias("ns"), "node_id", "similarity", "score", "top_k")
+        near = search.first_of_runs(near, "query", "node_id", "top_k", "score")
+        return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
+    near = search.topk_allowed(q, e, **index)
     near = near.join(q.select(F.col("id").alias("query"), "retrieve_id", F.col("scope").alias("ns")), "query")
     near = near.join(entries.select(F.col("write_id").alias("row"), "node_id"), "row")
     return near.groupBy("retrieve_id", "ns", F.col("node_id").alias("id")).agg(F.max("similarity").alias("similarity"))
@@ -117,7 +130,8 @@ def retrieve(requests: DataFrame, nodes: DataFrame, entries: DataFrame, w: Weigh
         where = options.pop("where", None)
         options["where"] = has_labels() if where is None else where & has_labels()
     requests = with_top_k(requests)
-    vector = allowed_candidates(requests, entries, nodes, f, labels)
+    alone = f.cells and edges is None and session is None and not options
+    vector = allowed_candidates(requests, entries, nodes, f, labels, w if alone else None)
     graph = graph_candidates(requests, edges) if edges is not None else None
     return rank(fuse(vector, graph, session, f), nodes, requests, w, **options)
 

@@ -11,11 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one block, and queries multiplied at a time: 8192 x 512 products are 32 MB.
 BLOCK, STEP = 8192, 512
+#: Queries that one task keeps, with up to 80 rows each: 2.6 million rows. Twice as many where fewer rows are asked for.
+CHUNK = 32768
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -83,73 +86,238 @@ def _near(queries: DataFrame, rows: DataFrame, k: int | None, least: float, stri
     return both.mapInArrow(_scan(k, least, strict), "query bigint, row bigint, similarity double").withColumn("similarity", F.round("similarity", digits))
 
 
-def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict: bool = True, digits: int = 9) -> DataFrame:
-    """Of each query (id, scope, vec) the k most similar rows (id, scope, vec) of its scope by cosine above `least`; exact.
+def coded(df: DataFrame, cells: np.ndarray | None) -> DataFrame:
+    """df with vec as bytes, four an element (wide: eight) where that loses nothing, and the cell nearest to it (0 without cells)."""
+    books = df.sparkSession.sparkContext.broadcast(cells) if cells is not None and len(cells) else None
 
-    Similarities are rounded, ties go to the smaller row id. Ids are bigint."""
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
-    return _near(queries, rows, k, least, strict, digits).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _scan_allowed(least: float):
-    """As _scan, over rows with since, until and tags, and queries with since (their point in time), most and tags (the wanted ones)."""
-    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, STEP):
+                b = whole.slice(i, STEP)
+                x = _matrix(b.column("vec"))
+                cell = (_unit(x) @ books.value.T).argmax(1) if books else np.zeros(len(x))
+                short = x.astype(np.float32)
+                wide = not (short == x).all()
+                data = np.ascontiguousarray(x if wide else short)
+                ends = np.arange(len(x) + 1, dtype=np.int32) * (data.nbytes // len(x))
+                vec = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                more = {"vec": vec, "wide": pa.array(np.full(len(x), wide)), "cell": pa.array(cell.astype(np.int32))}
+                yield pa.RecordBatch.from_pydict({c: more.get(c, b.column(c) if c in b.schema.names else None) for c in [*b.schema.names, "wide", "cell"]})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema} | {"vec": "binary"}
+    return df.where("scope is not null").mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "wide boolean", "cell int"]))
+
+
+def _decoded(vec: pa.Array, wide: pa.Array) -> np.ndarray:
+    """Unit vectors of what coded made."""
+    wide = wide.to_numpy(zero_copy_only=False)
+    if wide.any() and not wide.all():
+        parts = [(m, _decoded(vec.filter(pa.array(m)), pa.array(wide[m]))) for m in (wide, ~wide)]
+        x = np.empty((len(wide), parts[0][1].shape[1]))
+        for m, part in parts:
+            x[m] = part
+        return x
+    vec = pa.concat_arrays([vec.cast(pa.binary())])
+    ends = np.frombuffer(vec.buffers()[1], np.int32)[vec.offset : vec.offset + len(vec) + 1]
+    data = np.frombuffer(vec.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return _unit(data.view(np.float64 if wide[0] else np.float32).astype(np.float64).reshape(len(vec), -1))
+
+
+class _Best:
+    """Of each query of one group the `most` best rows so far. cut: what a row must reach to be among them."""
+
+    def __init__(self, batches: list[pa.RecordBatch], least: float, strict: bool, digits: int, allowed: bool, cells: np.ndarray | None, probes: int):
+        b = pa.Table.from_batches(batches).combine_chunks()
+        col = lambda c: b.column(c).combine_chunks()
+        self.queries, self.x, self.most = b, np.concatenate([_decoded(p.column("vec"), p.column("wide")) for p in batches]), col("most").to_numpy()
+        self.least, self.strict, self.digits, self.allowed = least, strict, digits, allowed
+        self.cut = np.full(len(self.x), least)
+        if allowed:
+            self.t, self.wanted = _micros(col("since"), np.iinfo(np.int64).min), [list(dict.fromkeys(t or ())) for t in col("tags").to_pylist()]
+            self.asks = np.array([bool(t) for t in self.wanted])
+        self.asked = None
+        if cells is not None and probes < len(cells):
+            near = np.concatenate([np.argpartition(-(self.x[i : i + STEP] @ cells.T), probes - 1, axis=1)[:, :probes].astype(np.uint16 if len(cells) <= 1 << 16 else np.int32) for i in range(0, len(self.x), STEP)]).ravel()
+            order = np.argsort(near, kind="stable")
+            self.start = np.searchsorted(near[order], np.arange(len(cells) + 1))
+            self.asked = (order // probes).astype(np.int32)
+        self.state = (np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.fresh, self.n, self.held = [], 0, []
+        self.rows = 0
+
+    def add(self, cell: int, b: pa.RecordBatch, carry: list[str]) -> None:
+        """Meet rows of one cell."""
+        every = np.arange(len(self.x), dtype=np.int32) if self.asked is None else self.asked[self.start[cell] : self.start[cell + 1]]
+        if not len(every):
+            return
+        y, own = _decoded(b.column("vec"), b.column("wide")), b.column("id").to_numpy()
+        if self.allowed:
+            since, until = _micros(b.column("since"), np.iinfo(np.int64).max), _micros(b.column("until"), np.iinfo(np.int64).max)
+            tags, has = [set(t or ()) for t in b.column("tags").to_pylist()], {}
+        step, picked = max(64, (1 << 22) // len(own)), np.zeros(len(own), bool)
+        found = []
+        for i in range(0, len(every), step):
+            qs = every[i : i + step]
+            s = self.x[qs] @ y.T
+            pick = s >= (self.cut[qs] - 10.0**-self.digits)[:, None]
+            if self.allowed:
+                at = self.t[qs, None]
+                pick &= since <= at
+                pick &= at <= until
+                for j in np.nonzero(self.asks[qs])[0]:
+                    for w in self.wanted[qs[j]]:
+                        if w not in has:
+                            has[w] = np.fromiter((w in h for h in tags), bool, len(tags))
+                        pick[j] &= has[w]
+            k = int(self.most[qs].max())
+            if 2 * k < len(own) and np.count_nonzero(pick) > 4 * k * len(qs):
+                s[~pick] = -np.inf
+                pick &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 10.0**-self.digits  # ties at the cut stay
+            q, r = np.nonzero(pick)
+            v = np.clip(s[q, r], -1, 1)
+            keep = v > self.least if self.strict else v >= self.least
+            q, r = qs[q[keep]], r[keep]
+            picked[r] = True
+            found.append((q, np.round(v[keep], self.digits), r))
+            self.n += len(q)
+        place = np.cumsum(picked) - 1 + self.rows
+        self.fresh += [(q, v, own[r], place[r]) for q, v, r in found]
+        if carry:
+            self.held.append(pa.Table.from_batches([b.select(carry)]).filter(pa.array(picked)))
+            self.rows += int(picked.sum())
+        if self.n > max(1 << 21, len(self.state[0])):
+            self.settle()
+
+    def settle(self) -> None:
+        """Bring state and what is fresh down to the best; of equal ones those with smaller ids."""
+        q, v, ids, at = (np.concatenate(x) for x in zip(self.state, *self.fresh))
+        self.fresh, self.n = [], 0
+        order = np.lexsort((ids, -v, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.most[q] - 1
+        self.cut[q[last]] = v[order[last]]
+        keep = place < self.most[q]
+        order = order[keep]
+        self.state = (q[keep], v[order], ids[order], at[order])
+        if self.held:
+            used, at = np.unique(self.state[3], return_inverse=True)
+            self.held, self.rows = [pa.concat_tables(self.held).take(pa.array(used)).combine_chunks()], len(used)
+            self.state = (*self.state[:3], at)
+
+    def out(self, told: list[str], carry: list[str]) -> Iterator[pa.RecordBatch]:
+        """The best rows, query after query. told, carry: columns of the queries and of the rows that go with them."""
+        self.settle()
+        q, v, ids, at = self.state
+        rows = pa.concat_tables(self.held) if self.held else None
+        for i in range(0, len(q), BLOCK):
+            one = pa.array(q[i : i + BLOCK])
+            cols = {"query": self.queries.column("id").take(one), "row": pa.array(ids[i : i + BLOCK]), "similarity": pa.array(v[i : i + BLOCK])}
+            cols |= {c: self.queries.column(c).take(one) for c in told} | {c: rows.column(c).take(pa.array(at[i : i + BLOCK])) for c in carry}
+            yield from pa.table(cols).combine_chunks().to_batches()
+
+
+def _nearest(queries: DataFrame, rows: DataFrame, least: float, strict: bool, digits: int, allowed: bool = False, cells: np.ndarray | None = None, probes: int = 0, told: list[str] | None = None, carry: list[str] | None = None, chunk: int | None = None) -> DataFrame:
+    """Of each query (id, scope, vec, most) the `most` nearest rows (id, scope, vec) of its scope, found by one task: (query, row, similarity).
+
+    Queries of a scope are dealt to chunks, rows go to each chunk of their scope once, in the order of their cells, and meet the queries of the chunk that look
+    at their cell (rows may be `coded` before). So no query is copied, and no more than `most` rows of a query leave a task. allowed: as topk_allowed, with since, until and tags.
+    told, carry: more columns of queries and rows to be given; a query's rows come together, the best first."""
+    books = queries.sparkSession.sparkContext.broadcast(cells) if cells is not None and len(cells) else None
+    told, carry, chunk = told or [], carry or [], chunk or CHUNK
+    filters = ["since", "until", "tags"] if allowed else []
+    cols = ["id", "scope", "vec", "most", *filters]
+    also = [c for c in told if c not in cols]
+    types = {f.name: f.dataType for f in [*rows.select(*carry).schema, *queries.select(*told).schema]}
+    many = F.broadcast(queries.where("scope is not null").groupBy("scope").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))  # as many rows as there are chunks, at most
+    none = lambda names: [F.lit(None).cast(types[c]).alias(c) for c in names]
+    asked = coded(queries.select(*cols, *also), None).join(many, "scope", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    met = rows.withColumn("most", F.lit(0))
+    met = (met if "cell" in met.columns else coded(met.select(*cols, *carry), cells)).where("scope is not null").join(many, "scope", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    keys = ["scope", "chunk", "side", "cell"]
+    both = asked.withColumn("side", F.lit(0)).select(*keys, *cols[:1], *cols[2:], "wide", *also, *none(carry)).unionByName(met.withColumn("side", F.lit(1)).select(*keys, *cols[:1], *cols[2:], "wide", *none(also), *carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts, whole = None, [], None
+        group, first, best = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            scope, block, side = b.column("scope").to_pylist(), b.column("block").to_numpy(), b.column("side").to_numpy()
-            edge = [0, *[i for i in range(1, b.num_rows) if scope[i] != scope[i - 1] or block[i] != block[i - 1] or side[i] != side[i - 1]], b.num_rows]
+            scope, (chunk, side, cell) = np.array(b.column("scope").to_pylist(), object), (b.column(c).to_numpy() for c in keys[1:])
+            new = (scope[1:] != scope[:-1]).astype(bool) | (np.diff(chunk) != 0) | (np.diff(side) != 0) | (np.diff(cell) != 0)
+            edge = [0, *(np.nonzero(new)[0] + 1).tolist(), b.num_rows]
             for a, z in zip(edge, edge[1:]):
-                if (scope[a], block[a]) != group:
-                    group, parts, whole = (scope[a], block[a]), [], None
-                c = b.slice(a, z - a)
-                x, own, tags = _unit(_matrix(c.column("vec"))), c.column("id").to_numpy(), [set(t or ()) for t in c.column("tags").to_pylist()]
+                if (scope[a], chunk[a]) != group:
+                    if best:
+                        yield from best.out(told, carry)
+                    group, first, best = (scope[a], chunk[a]), [], None
                 if side[a] == 0:
-                    parts.append((own, x, _micros(c.column("since"), high), _micros(c.column("until"), high), tags))
-                    continue
-                if not parts:
-                    continue
-                if whole is None:
-                    rows, y, since, until = (np.concatenate(v) for v in list(zip(*parts))[:4])
-                    has: dict[str, np.ndarray] = {}
-                    held = [t for p in parts for t in p[4]]
-                    whole = True
-                t, most = _micros(c.column("since"), low), c.column("most").to_numpy()
-                for i in range(0, len(own), STEP):
-                    at = t[i : i + STEP, None]
-                    ok = (since <= at) & (at <= until)
-                    for j, wanted in enumerate(tags[i : i + STEP]):
-                        for w in wanted:
-                            if w not in has:
-                                has[w] = np.fromiter((w in h for h in held), bool, len(held))
-                            ok[j] &= has[w]
-                    s = np.where(ok, np.clip(x[i : i + STEP] @ y.T, -1, 1), -np.inf)
-                    k = int(most[i : i + STEP].max())
-                    pick = s > least
-                    if k < s.shape[1]:
-                        pick &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    q, r = np.nonzero(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i : i + STEP][q]), pa.array(rows[r]), pa.array(s[q, r]), pa.array(most[i : i + STEP][q])], ["query", "row", "similarity", "most"])
+                    first.append(b.slice(a, z - a))
+                elif first:
+                    best = best or _Best(first, least, strict, digits, allowed, books and books.value, probes)
+                    for i in range(a, z, BLOCK):
+                        best.add(int(cell[a]), b.slice(i, min(BLOCK, z - i)), carry)
+        if best:
+            yield from best.out(told, carry)
+
+    schema = ", ".join(["query bigint, row bigint, similarity double", *(f"`{c}` {types[c].simpleString()}" for c in [*told, *carry])])
+    return both.repartition("scope", "chunk").sortWithinPartitions(*keys).mapInArrow(run, schema).withColumn("similarity", F.round("similarity", digits))
 
-    return run
 
+def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict: bool = True, digits: int = 9, cells: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """Of each query (id, scope, vec) the k most similar rows (id, scope, vec) of its scope by cosine above `least`; exact without cells.
 
-def topk_allowed(queries: DataFrame, rows: DataFrame, least: float = 0.0, digits: int = 9) -> DataFrame:
+    Similarities are rounded, ties go to the smaller row id. Ids are bigint."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
+    near = _nearest(queries.withColumn("most", F.lit(k)), rows, least, strict, digits, cells=cells, probes=probes, chunk=min(2 * CHUNK, max(1, CHUNK * 80 // max(k, 1))))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def topk_allowed(queries: DataFrame, rows: DataFrame, least: float = 0.0, digits: int = 9, cells: np.ndarray | None = None, probes: int = 0) -> DataFrame:
     """As topk, but of each query (also t, most, wanted) the `most` nearest among the rows (also valid_from, valid_until, labels) that
     are valid at t and have all wanted labels: filtered before the cut. A null t or valid_from is never valid; null labels are none."""
-    n = rows.groupBy("scope").agg(F.count("*").alias("n"))
-    blocks = n.select("scope", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.select("id", "scope", "vec", F.col("valid_from").alias("since"), F.col("valid_until").alias("until"), F.lit(0).alias("most"), F.col("labels").alias("tags"))
-    placed = placed.join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("side", F.lit(0))
-    asked = queries.where("most > 0").select("id", "scope", "vec", F.col("t").alias("since"), F.col("t").alias("until"), F.col("most").cast("int").alias("most"), F.col("wanted").alias("tags"))
-    asked = asked.join(blocks, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    both = placed.unionByName(asked).select("scope", "block", "side", "id", "vec", "since", "until", "most", "tags").repartition("scope", "block").sortWithinPartitions("scope", "block", "side")
-    near = both.mapInArrow(_scan_allowed(least), "query bigint, row bigint, similarity double, most int").withColumn("similarity", F.round("similarity", digits)).where(F.col("similarity") > least)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
-    return near.withColumn("rank", rank).where("rank <= most").drop("most")
+    return gathered(queries, rows, ["most"], [], least, digits, cells, probes).withColumn("rank", rank).where("rank <= most").drop("most")
+
+
+def gathered(queries: DataFrame, rows: DataFrame, told: list[str], carry: list[str], least: float = 0.0, digits: int = 9, cells: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """As topk_allowed, with columns of the queries (told) and rows (carry), no rank, and what a query finds together in one partition. If several queries have one id, each finds `most`."""
+    asked = queries.where("most > 0").select("*", F.col("t").alias("since"), F.col("t").alias("until"), F.col("wanted").alias("tags")).withColumn("most", F.col("most").cast("int"))
+    met = rows.select("*", F.col("valid_from").alias("since"), F.col("valid_until").alias("until"), F.col("labels").alias("tags"))
+    return _nearest(asked, met, least, True, digits, True, cells, probes, told, carry).where(F.col("similarity") > least)
+
+
+def first_of_runs(df: DataFrame, key: str, item: str, most: str, by: str) -> DataFrame:
+    """Of neighbouring rows of one key the first `most` items by `by`, largest first, then by item, no matter what other partitions
+    hold. Of several rows of one item the most similar counts, whose `by` is the largest, too."""
+
+    def cut(t: pa.Table) -> pa.Table:
+        k = t.column(key).to_numpy()
+        t = t.append_column("_run", pa.array(np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))))
+        t = t.take(pc.sort_indices(t, [("_run", "ascending"), (item, "ascending"), ("similarity", "descending")]))
+        run, x = t.column("_run").to_numpy(), t.column(item).to_numpy()
+        t = t.filter(pa.array(np.concatenate([[True], (run[1:] != run[:-1]) | (x[1:] != x[:-1]).astype(bool)])))
+        t = t.take(pc.sort_indices(t, [("_run", "ascending"), (by, "descending"), (item, "ascending")]))
+        run = t.column("_run").to_numpy()
+        return t.filter(pa.array(np.arange(t.num_rows) - np.searchsorted(run, run) < t.column(most).to_numpy())).drop_columns("_run")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(key).to_numpy()
+            if rest and k[0] == rest[0].column(key)[0].as_py() == k[-1]:
+                rest.append(b)
+                continue
+            last = int(np.nonzero(k != k[-1])[0][-1]) + 1 if k[0] != k[-1] else 0
+            whole = pa.Table.from_batches([*rest, b.slice(0, last)])
+            rest = [b.slice(last)]
+            if whole.num_rows:
+                yield from cut(whole).combine_chunks().to_batches()
+        if rest:
+            yield from cut(pa.Table.from_batches(rest)).combine_chunks().to_batches()
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
 def pairs_within(rows: DataFrame, low: float, high: float, digits: int = 9) -> DataFrame:
@@ -233,8 +401,7 @@ def in_cells(queries: DataFrame, rows: DataFrame, p: Cells = Cells(), cells: np.
 
 def topk_cells(queries: DataFrame, rows: DataFrame, k: int, p: Cells = Cells(), **options) -> DataFrame:
     """topk over an index of cells."""
-    cols = ["id", "scope", "vec"]
-    return topk(*in_cells(queries.select(*cols), rows.select(*cols), p), k, **options)
+    return topk(queries, rows, k, cells=centroids(rows.select("id", "vec"), p), probes=p.probes, **options)
 
 
 def pairs_cells(rows: DataFrame, low: float, high: float, p: Cells = Cells(), **options) -> DataFrame:

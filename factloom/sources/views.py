@@ -65,13 +65,13 @@ def vectors(spark: SparkSession, d: str, admitted: bool = True) -> DataFrame:
     """Entries of the vector index: usable vectors of admitted write requests; admitted=False: of all write requests."""
     w = table(spark, d, "write_requests").where(usable(F.col("vector"), DIM))
     w = w.where("admitted") if admitted else w
-    return w.select("write_id", "ns", uuid_key("node_id").alias("node_id"), F.col("vector").cast("array<double>").alias("vec"), "content", "received_at").dropDuplicates(["write_id"])
+    return w.select("write_id", "ns", uuid_key("node_id").alias("node_id"), F.col("vector").alias("vec"), "content", "received_at").dropDuplicates(["write_id"]).withColumn("vec", F.col("vec").cast("array<double>"))
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Retrieve requests with a usable vector; t is their point in time."""
     r = table(spark, d, "retrieve_requests").where(usable(F.col("vector"), DIM))
-    return r.select("retrieve_id", "ns", F.col("vector").cast("array<double>").alias("vec"), F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(10)).alias("top_k"), "labels", F.coalesce("as_of", "requested_at").alias("t"), "seed_ids").dropDuplicates(["retrieve_id"])
+    return r.select("retrieve_id", "ns", F.col("vector").alias("vec"), F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(10)).alias("top_k"), "labels", F.coalesce("as_of", "requested_at").alias("t"), "seed_ids").dropDuplicates(["retrieve_id"]).withColumn("vec", F.col("vec").cast("array<double>"))
 
 
 _GOOD = f"len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"

@@ -168,6 +168,49 @@ def test_cells_find_what_topk_finds(spark):
     assert search.topk_cells(entries(spark, q), entries(spark, x[:0]), 7).count() == 0
 
 
+def test_topk_in_chunks_matches_brute_force(spark, monkeypatch):
+    """Several chunks of a scope, settled often, equal vectors, vectors that need eight bytes an element and such that don't."""
+    monkeypatch.setattr(search, "CHUNK", 30)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (300, 8)).astype(float)
+    x[::7] += rng.standard_normal((43, 8))
+    q = np.concatenate([x[:100], rng.standard_normal((50, 8))])
+    got = {}
+    for r in search.topk(entries(spark, q), entries(spark, x), 5).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.row))
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1), 1e-300)[:, None]
+    s = np.round(unit(q) @ unit(x).T, 9)
+    for i in range(150):
+        assert [j for _, j in sorted(got.get(i, []))] == sorted(np.nonzero(s[i] > 0)[0], key=lambda j: (-s[i, j], j))[:5]
+
+
+def moved(spark):
+    """Bytes shuffled in this session."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_retrieve_in_cells_moves_little_and_keeps_all(spark, monkeypatch):
+    """No more than four times the input is shuffled; with all cells looked at, and in many chunks, it is the exact search."""
+    import os
+
+    from factloom.plans import retrieval
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    before = moved(spark)
+    retrieval._in_cells(spark, folder).collect()
+    assert moved(spark) - before < 4 * sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("nodes", "retrieve_requests", "write_requests"))
+    monkeypatch.setattr(search, "CHUNK", 50)
+    q, n, e = retrieval._parts(spark, folder)
+    w, rows = score.MODES["general"].weights, lambda df: sorted(map(tuple, df.collect()))
+    all_ = retrieve.Fusion(cells=search.Cells(probes=1 << 20))
+    assert rows(retrieve.retrieve(q, n, e, w, f=all_)) == rows(retrieve.retrieve(q, n, e, w))
+    assert rows(retrieve.retrieve(q, n, e, w, f=all_, labels=True)) == rows(retrieve.retrieve(q, n, e, w, labels=True))
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_recall_of_cells_on_the_tables(spark, folder):
     """recall@10 of the index with its own parameters against the exact search, all requests against all entries."""
