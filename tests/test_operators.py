@@ -211,6 +211,20 @@ def test_retrieve_in_cells_moves_little_and_keeps_all(spark, monkeypatch):
     assert rows(retrieve.retrieve(q, n, e, w, f=all_, labels=True)) == rows(retrieve.retrieve(q, n, e, w, labels=True))
 
 
+def test_vector_cells_recall_moves_little(spark):
+    """No more than four times the input is shuffled by the exact search, that in cells and their comparison."""
+    import os
+
+    from factloom.plans import retrieval
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    before = moved(spark)
+    assert retrieval._cells_recall(spark, folder).first().enough
+    assert moved(spark) - before < 4 * sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("retrieve_requests", "write_requests"))
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_recall_of_cells_on_the_tables(spark, folder):
     """recall@10 of the index with its own parameters against the exact search, all requests against all entries."""
