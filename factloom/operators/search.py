@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BLOCK, STEP = 8192, 512
 #: Queries that one task keeps, with up to 80 rows each: 2.6 million rows. Twice as many where fewer rows are asked for.
 CHUNK = 32768
+#: Order of what one task gets.
+KEYS = ["scope", "chunk", "side", "cell"]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -217,50 +219,88 @@ class _Best:
             yield from pa.table(cols).combine_chunks().to_batches()
 
 
-def _nearest(queries: DataFrame, rows: DataFrame, least: float, strict: bool, digits: int, allowed: bool = False, cells: np.ndarray | None = None, probes: int = 0, told: list[str] | None = None, carry: list[str] | None = None, chunk: int | None = None) -> DataFrame:
-    """Of each query (id, scope, vec, most) the `most` nearest rows (id, scope, vec) of its scope, found by one task: (query, row, similarity).
+class _Whole(_Best):
+    """_Best over all rows, which come cell by cell and are met in blocks."""
 
-    Queries of a scope are dealt to chunks, rows go to each chunk of their scope once, in the order of their cells, and meet the queries of the chunk that look
-    at their cell (rows may be `coded` before). So no query is copied, and no more than `most` rows of a query leave a task. allowed: as topk_allowed, with since, until and tags.
-    told, carry: more columns of queries and rows to be given; a query's rows come together, the best first."""
-    books = queries.sparkSession.sparkContext.broadcast(cells) if cells is not None and len(cells) else None
-    told, carry, chunk = told or [], carry or [], chunk or CHUNK
-    filters = ["since", "until", "tags"] if allowed else []
+    def __init__(self, batches: list[pa.RecordBatch], least: float, digits: int):
+        super().__init__(batches, least, True, digits, False, None, 0)
+        self.waiting: list[pa.RecordBatch] = []
+
+    def add(self, cell: int, b: pa.RecordBatch, carry: list[str]) -> None:
+        self.waiting.append(b)
+        if sum(x.num_rows for x in self.waiting) >= BLOCK:
+            self.meet()
+
+    def meet(self) -> None:
+        if self.waiting:
+            super().add(0, pa.Table.from_batches(self.waiting).combine_chunks().to_batches()[0], [])
+            self.waiting = []
+
+
+def _dealt(queries: DataFrame, rows: DataFrame, filters: list[str], cells: np.ndarray | None, told: list[str], carry: list[str], chunk: int, counted: DataFrame | None = None) -> DataFrame:
+    """Queries of a scope (side 0) dealt to chunks, and rows (side 1) once for each chunk of their scope: each chunk in one partition, queries first, then rows in the order of their cells.
+    Both may be `coded` before. counted: the number n of queries by scope, where it was found in another way."""
     cols = ["id", "scope", "vec", "most", *filters]
     also = [c for c in told if c not in cols]
     types = {f.name: f.dataType for f in [*rows.select(*carry).schema, *queries.select(*told).schema]}
-    many = F.broadcast(queries.where("scope is not null").groupBy("scope").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))  # as many rows as there are chunks, at most
+    counted = queries.where("scope is not null").groupBy("scope").agg(F.count("*").alias("n")) if counted is None else counted
+    many = F.broadcast(counted.select("scope", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")).where("chunks > 1"))  # as many rows as there are chunks, at most
     none = lambda names: [F.lit(None).cast(types[c]).alias(c) for c in names]
-    asked = coded(queries.select(*cols, *also), None).join(many, "scope", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    asked = queries if "cell" in queries.columns else coded(queries.select(*cols, *also), None)
+    asked = asked.join(many, "scope", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int"))
     met = rows.withColumn("most", F.lit(0))
     met = (met if "cell" in met.columns else coded(met.select(*cols, *carry), cells)).where("scope is not null").join(many, "scope", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    keys = ["scope", "chunk", "side", "cell"]
-    both = asked.withColumn("side", F.lit(0)).select(*keys, *cols[:1], *cols[2:], "wide", *also, *none(carry)).unionByName(met.withColumn("side", F.lit(1)).select(*keys, *cols[:1], *cols[2:], "wide", *none(also), *carry))
+    both = asked.withColumn("side", F.lit(0)).select(*KEYS, *cols[:1], *cols[2:], "wide", *also, *none(carry)).unionByName(met.withColumn("side", F.lit(1)).select(*KEYS, *cols[:1], *cols[2:], "wide", *none(also), *carry))
+    return both.repartition("scope", "chunk").sortWithinPartitions(*KEYS)
+
+
+def _met(begin: Callable[[list[pa.RecordBatch]], list[_Best]], out: Callable[..., Iterator[pa.RecordBatch]], carry: list[str]):
+    """Over what _dealt gives: begin makes searches from a chunk's queries, all of them meet its rows, and out gives what they found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, first, best = None, [], None
+        group, first, best = None, [], []
         for b in batches:
             if not b.num_rows:
                 continue
-            scope, (chunk, side, cell) = np.array(b.column("scope").to_pylist(), object), (b.column(c).to_numpy() for c in keys[1:])
+            scope, (chunk, side, cell) = np.array(b.column("scope").to_pylist(), object), (b.column(c).to_numpy() for c in KEYS[1:])
             new = (scope[1:] != scope[:-1]).astype(bool) | (np.diff(chunk) != 0) | (np.diff(side) != 0) | (np.diff(cell) != 0)
             edge = [0, *(np.nonzero(new)[0] + 1).tolist(), b.num_rows]
             for a, z in zip(edge, edge[1:]):
                 if (scope[a], chunk[a]) != group:
                     if best:
-                        yield from best.out(told, carry)
-                    group, first, best = (scope[a], chunk[a]), [], None
+                        yield from out(*best)
+                    group, first, best = (scope[a], chunk[a]), [], []
                 if side[a] == 0:
                     first.append(b.slice(a, z - a))
                 elif first:
-                    best = best or _Best(first, least, strict, digits, allowed, books and books.value, probes)
+                    best = best or begin(first)
                     for i in range(a, z, BLOCK):
-                        best.add(int(cell[a]), b.slice(i, min(BLOCK, z - i)), carry)
+                        for x in best:
+                            x.add(int(cell[a]), b.slice(i, min(BLOCK, z - i)), carry)
         if best:
-            yield from best.out(told, carry)
+            yield from out(*best)
+
+    return run
 
+
+def _nearest(queries: DataFrame, rows: DataFrame, least: float, strict: bool, digits: int, allowed: bool = False, cells: np.ndarray | None = None, probes: int = 0, told: list[str] | None = None, carry: list[str] | None = None, chunk: int | None = None) -> DataFrame:
+    """Of each query (id, scope, vec, most) the `most` nearest rows (id, scope, vec) of its scope, found by one task: (query, row, similarity).
+
+    Queries of a scope are dealt to chunks, rows go to each chunk of their scope once, in the order of their cells, and meet the queries of the chunk that look
+    at their cell (rows may be `coded` before). So no query is copied, and no more than `most` rows of a query leave a task. allowed: as topk_allowed, with since, until and tags.
+    told, carry: more columns of queries and rows to be given; a query's rows come together, the best first."""
+    books = queries.sparkSession.sparkContext.broadcast(cells) if cells is not None and len(cells) else None
+    told, carry = told or [], carry or []
+    types = {f.name: f.dataType for f in [*rows.select(*carry).schema, *queries.select(*told).schema]}
+    both = _dealt(queries, rows, ["since", "until", "tags"] if allowed else [], cells, told, carry, chunk or CHUNK)
+    run = _met(lambda first: [_Best(first, least, strict, digits, allowed, books and books.value, probes)], lambda best: best.out(told, carry), carry)
     schema = ", ".join(["query bigint, row bigint, similarity double", *(f"`{c}` {types[c].simpleString()}" for c in [*told, *carry])])
-    return both.repartition("scope", "chunk").sortWithinPartitions(*keys).mapInArrow(run, schema).withColumn("similarity", F.round("similarity", digits))
+    return both.mapInArrow(run, schema).withColumn("similarity", F.round("similarity", digits))
+
+
+def _chunk(k: int) -> int:
+    """Queries that one task keeps with k rows each."""
+    return min(2 * CHUNK, max(1, CHUNK * 80 // max(k, 1)))
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict: bool = True, digits: int = 9, cells: np.ndarray | None = None, probes: int = 0) -> DataFrame:
@@ -268,7 +308,7 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0, strict
 
     Similarities are rounded, ties go to the smaller row id. Ids are bigint."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "row"))
-    near = _nearest(queries.withColumn("most", F.lit(k)), rows, least, strict, digits, cells=cells, probes=probes, chunk=min(2 * CHUNK, max(1, CHUNK * 80 // max(k, 1))))
+    near = _nearest(queries.withColumn("most", F.lit(k)), rows, least, strict, digits, cells=cells, probes=probes, chunk=_chunk(k))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -404,6 +444,40 @@ def topk_cells(queries: DataFrame, rows: DataFrame, k: int, p: Cells = Cells(),
     return topk(queries, rows, k, cells=centroids(rows.select("id", "vec"), p), probes=p.probes, **options)
 
 
+def agreement(queries: DataFrame, rows: DataFrame, k: int, of: int, coarse: int, p: Cells = Cells(), least: float = 0.0, digits: int = 9) -> DataFrame:
+    """How many rows are a query's k nearest (n), and how many of these topk_cells finds (found). Queries of one scope and vector find the same and are one row: (query, the smallest
+    id, queries, n, found), if there is any. The k are the first of the `of` nearest by similarity to `coarse` digits, then by id. Both searches are made by one task from the same rows,
+    so these are moved once, and what they find isn't."""
+    asked = coded(queries.select("id", "scope", "vec"), None).groupBy("scope", "vec", "wide").agg(F.min("id").alias("id"), F.count("*").alias("queries")).withColumns({"cell": F.lit(0), "most": F.lit(of)})
+    counted = queries.where("scope is not null").groupBy("scope").agg(F.count_distinct(F.xxhash64("vec")).alias("n"))
+    cells = centroids(rows.select("id", "vec"), p)
+    books = queries.sparkSession.sparkContext.broadcast(cells) if len(cells) else None
+    unit = 10 ** (digits - coarse)
+
+    def begin(first: list[pa.RecordBatch]) -> list[_Best]:
+        some = _Best(first, least, True, digits, False, books and books.value, p.probes)
+        some.most = np.full(len(some.x), k, np.int32)
+        return [_Whole(first, least, digits), some]
+
+    def out(every: _Whole, some: _Best) -> Iterator[pa.RecordBatch]:
+        every.meet()
+        every.settle()
+        some.settle()
+        q, v, ids, _ = every.state
+        v = (np.rint(v * 10.0**digits).astype(np.int64) + unit // 2) // unit  # half up, as Spark rounds
+        order = np.lexsort((ids, -v, q))
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+        q, code = q[order].astype(np.int64), np.unique(np.concatenate([ids[order], some.state[2]]), return_inverse=True)[1]
+        many = int(code.max(initial=0)) + 1
+        hit = np.isin(q * many + code[: len(q)], some.state[0].astype(np.int64) * many + code[len(q) :])
+        n = np.bincount(q, minlength=len(every.x))
+        has = np.nonzero(n)[0]
+        told = (every.queries.column(c).combine_chunks().take(pa.array(has)) for c in ("id", "queries"))
+        yield pa.RecordBatch.from_arrays([*told, pa.array(n[has]), pa.array(np.bincount(q[hit], minlength=len(n))[has])], ["query", "queries", "n", "found"])
+
+    return _dealt(asked, rows, [], cells, ["queries"], [], _chunk(of), counted).mapInArrow(_met(begin, out, []), "query bigint, queries bigint, n bigint, found bigint")
+
+
 def pairs_cells(rows: DataFrame, low: float, high: float, p: Cells = Cells(), **options) -> DataFrame:
     """pairs_within over an index of cells: pairs of which one lies in a cell that the other looks at."""
     asked, placed = in_cells(rows.select("id", "scope", "vec"), rows.select("id", "scope", "vec"), p)

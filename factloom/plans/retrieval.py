@@ -79,9 +79,10 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 def _cells_recall(spark: SparkSession, d: str) -> DataFrame:
     """Whether the search in cells finds 0.95 or more of the ten nearest entries of all requests."""
-    true = _topk(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("retrieve_id").orderBy(F.desc("similarity"), "write_id"))).where("n <= 10").select("retrieve_id", "write_id")
-    found = _cells(spark, d).select("retrieve_id", "write_id").withColumn("found", F.lit(1))
-    return true.join(found, ["retrieve_id", "write_id"], "left").agg((F.count("found") >= 0.95 * F.count("*")).alias("enough"))
+    q, e = v.requests(spark, d, narrow=True), v.vectors(spark, d, narrow=True)
+    n = search.agreement(q.select(F.col("retrieve_id").alias("id"), F.col("ns").alias("scope"), "vec"), e.select(F.col("write_id").alias("id"), F.col("ns").alias("scope"), "vec"), 10, of=20, coarse=6)
+    total = lambda c: F.coalesce(F.sum(F.col("queries") * F.col(c)), F.lit(0))
+    return n.agg((total("found") >= 0.95 * total("n")).alias("enough"))
 
 
 def _in_cells(spark: SparkSession, d: str) -> DataFrame:

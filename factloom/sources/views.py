@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.keys import uuid_key
 from factloom.functions.vector import usable
+from factloom.session import cut
 from factloom.sources.tables import table
 
 DIM = 64
@@ -16,6 +17,8 @@ DIM = 64
 NODE = ["labels", "source_id", "mem_type", "epistemic_type", "utility", "fingerprint", "confidence", "tx_time", "valid_from", "valid_until"]
 #: The clock of queries that need one.
 AS_OF = "2025-06-01 00:00:00"
+#: Repeated keys that are broadcast, 8 MB of them at most.
+FEW = 1_000_000
 
 _TRIM = "trim({x}, chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(133)||chr(160)||chr(8232)||chr(8233)||chr(12288))"
 
@@ -37,6 +40,17 @@ def _whole(df: DataFrame, key: list[str], labels: str | None = None) -> DataFram
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def _once(df: DataFrame, key: str, narrow: bool) -> DataFrame:
+    """One row of each key. narrow: repeated keys are found by themselves, so that only their rows are shuffled; above FEW of them all rows are."""
+    if not narrow:
+        return df.dropDuplicates([key])
+    twice = cut(df.groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"))
+    if twice.count() > FEW:
+        return df.dropDuplicates([key])
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(F.broadcast(twice), same, "left_anti").unionByName(df.join(F.broadcast(twice), same, "left_semi").dropDuplicates([key]))
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """Versions. Of repeated rows one, whole; a null valid_from is tx_time. All versions of a node lie in one partition,
     so that what follows by (ns, id) needs no other shuffle."""
@@ -61,17 +75,17 @@ def assertions(spark: SparkSession, d: str) -> DataFrame:
     return _whole(a, ["assertion_id"])
 
 
-def vectors(spark: SparkSession, d: str, admitted: bool = True) -> DataFrame:
-    """Entries of the vector index: usable vectors of admitted write requests; admitted=False: of all write requests."""
+def vectors(spark: SparkSession, d: str, admitted: bool = True, narrow: bool = False) -> DataFrame:
+    """Entries of the vector index: usable vectors of admitted write requests; admitted=False: of all write requests. narrow: see _once."""
     w = table(spark, d, "write_requests").where(usable(F.col("vector"), DIM))
     w = w.where("admitted") if admitted else w
-    return w.select("write_id", "ns", uuid_key("node_id").alias("node_id"), F.col("vector").alias("vec"), "content", "received_at").dropDuplicates(["write_id"]).withColumn("vec", F.col("vec").cast("array<double>"))
+    return _once(w.select("write_id", "ns", uuid_key("node_id").alias("node_id"), F.col("vector").alias("vec"), "content", "received_at"), "write_id", narrow).withColumn("vec", F.col("vec").cast("array<double>"))
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieve requests with a usable vector; t is their point in time."""
+def requests(spark: SparkSession, d: str, narrow: bool = False) -> DataFrame:
+    """Retrieve requests with a usable vector; t is their point in time. narrow: see _once."""
     r = table(spark, d, "retrieve_requests").where(usable(F.col("vector"), DIM))
-    return r.select("retrieve_id", "ns", F.col("vector").alias("vec"), F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(10)).alias("top_k"), "labels", F.coalesce("as_of", "requested_at").alias("t"), "seed_ids").dropDuplicates(["retrieve_id"]).withColumn("vec", F.col("vec").cast("array<double>"))
+    return _once(r.select("retrieve_id", "ns", F.col("vector").alias("vec"), F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(10)).alias("top_k"), "labels", F.coalesce("as_of", "requested_at").alias("t"), "seed_ids"), "retrieve_id", narrow).withColumn("vec", F.col("vec").cast("array<double>"))
 
 
 _GOOD = f"len(vector) = {DIM} AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"

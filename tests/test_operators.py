@@ -225,6 +225,58 @@ def test_vector_cells_recall_moves_little(spark):
     assert moved(spark) - before < 4 * sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("retrieve_requests", "write_requests"))
 
 
+def test_vector_cells_recall_moves_rows_once(spark, monkeypatch):
+    """With as many chunks of requests as at 1 GB, less than twice the input is shuffled: one search's rows, and nothing that was found."""
+    import os
+
+    from factloom.plans import retrieval
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(search, "CHUNK", 50)
+    before = moved(spark)
+    assert retrieval._cells_recall(spark, folder).first().enough
+    assert moved(spark) - before < 2 * sum(os.path.getsize(f"{folder}/{t}.parquet") for t in ("retrieve_requests", "write_requests"))
+
+
+@pytest.mark.parametrize("probes", [1, 3, 1000])
+def test_agreement_is_that_of_the_two_searches(spark, monkeypatch, probes):
+    """Several chunks, equal vectors, similarities that are equal to two digits only, scopes of one side only."""
+    monkeypatch.setattr(search, "CHUNK", 25)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x, q = rng.standard_normal((400, 8)), rng.standard_normal((120, 8))
+    x[::9], q[::5] = x[1], q[1]
+    named = lambda a, other: entries(spark, a).withColumn("scope", F.expr(f"CASE WHEN id % 40 = 39 THEN '{other}' WHEN id % 40 = 38 THEN NULL WHEN id % 3 = 0 THEN 'y' ELSE 'x' END"))
+    queries, rows, p = named(q, "q"), named(x, "r"), search.Cells(probes=probes)
+    true, found = {}, {}
+    for r in search.topk(queries, rows, 12).collect():
+        true.setdefault(r.query, []).append((-round(r.similarity + 1e-12, 2), r.row))
+    for r in search.topk_cells(queries, rows, 6, p).collect():
+        found.setdefault(r.query, set()).add(r.row)
+    true = {i: {j for _, j in sorted(t)[:6]} for i, t in true.items()}
+    want = {i: (len(t), len(t & found.get(i, set()))) for i, t in true.items()}
+    same = {}
+    for r in queries.collect():
+        same.setdefault((r.scope, tuple(r.vec)), []).append(r.id)
+    got = {r.query: r for r in search.agreement(queries, rows, 6, of=12, coarse=2, p=p).collect()}
+    assert {i: (got[min(ids)].n, got[min(ids)].found) for ids in same.values() if min(ids) in got for i in ids} == want
+    assert {i: r.queries for i, r in got.items()} == {min(ids): len(ids) for ids in same.values() if min(ids) in want}
+    assert sum(f for _, f in want.values()) < sum(n for n, _ in want.values()) or probes == 1000
+    assert search.agreement(queries, rows.limit(0), 6, of=12, coarse=2, p=p).count() == 0
+
+
+def test_views_with_keys_found_apart(spark, monkeypatch):
+    from factloom.sources import views
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d"), (None, "d")], "k bigint, v string")
+    want = [(1, "a"), (2, "b"), (3, "c"), (None, "d")]
+    for few in (1000, 1):
+        monkeypatch.setattr(views, "FEW", few)
+        assert sorted(map(tuple, views._once(df, "k", True).collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_recall_of_cells_on_the_tables(spark, folder):
     """recall@10 of the index with its own parameters against the exact search, all requests against all entries."""
